@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from framewright.llm.op5_byte_bpe import op5_byte_bpe
 from framewright.llm.op9_exact_dedup import SQL as SQL_9
 from framewright.llm.op9_exact_dedup import op9_exact_dedup
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
