@@ -144,3 +144,13 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Like run_hashes, for runs of 64-bit values instead of bytes."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    up, down = _power(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values | np.uint64(1)) * up[: len(values)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))

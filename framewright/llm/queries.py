@@ -6,6 +6,7 @@ from framewright.llm.op1_warc import op1_warc
 from framewright.llm.op3_html_text import op3_html_text
 from framewright.llm.op4_toxicity import op4_toxicity
 from framewright.llm.op5_byte_bpe import op5_byte_bpe
+from framewright.llm.op6_decontaminate import op6_decontaminate
 from framewright.llm.op7_language_id import op7_language_id
 from framewright.llm.op9_exact_dedup import SQL as SQL_9
 from framewright.llm.op9_exact_dedup import op9_exact_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
