@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framewright.llm.op10_substring_dedup import op10_substring_dedup
 from framewright.llm.op1_warc import op1_warc
 from framewright.llm.op3_html_text import op3_html_text
 from framewright.llm.op4_toxicity import op4_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL = {
