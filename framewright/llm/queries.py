@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framewright.llm.op10_substring_dedup import op10_substring_dedup
 from framewright.llm.op1_warc import op1_warc
+from framewright.llm.op2_line_chunks import op2_line_chunks
 from framewright.llm.op3_html_text import op3_html_text
 from framewright.llm.op4_toxicity import op4_toxicity
 from framewright.llm.op5_byte_bpe import op5_byte_bpe
@@ -14,6 +15,7 @@ from framewright.llm.op9_exact_dedup import op9_exact_dedup
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_line_chunks": op2_line_chunks,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
