@@ -151,5 +151,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, l
     return grouped.select("doc_id", "contaminated", "n_items", "b.item_id", "b.overlap", "b.first_word", "b.last_word")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that no item contaminates; nothing is shuffled."""
+    spark, k = docs.sparkSession, docs.columns.index(text_col)
+
+    def clean_by(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at, part in in_batches(as_bytes(batch.column(k))):
+                    for doc, *_ in shared.value.verified(*words_of(part), share, least):
+                        keep[at + doc] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for items in _parts(benchmark):
+        docs = docs.mapInArrow(clean_by(spark.sparkContext.broadcast(Index(items))), docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -196,24 +196,28 @@ def train(labelled: DataFrame, per_lang: int = 1500) -> tuple[Model | None, dict
     return model, seen
 
 
+def verdicts(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, list[float | None], np.ndarray]:
+    """Language, score, entropy and rejection of each text."""
+    lang, score, entropy, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts), np.ones(len(texts), bool)
+    if model is not None:
+        mean, size = model.means(texts)
+        best = mean.argmax(axis=1)
+        odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(size, 40)[:, None])
+        sure = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
+        for i, t in enumerate(texts):
+            if any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t[64:])):
+                lang[i], score[i], entropy[i] = model.langs[best[i]], sure[i], -mean[i, best[i]]
+                rejected[i] = entropy[i] > model.limit[best[i]] and size[i] >= 20
+    return lang, score, entropy, rejected
+
+
 def _identified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
         for batch in batches:
-            ids = batch.column(0)
             texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(1))]
             for at, part in in_batches(texts, 300_000):
-                lang, score, entropy, rejected = [UNKNOWN] * len(part), np.zeros(len(part)), [None] * len(part), np.ones(len(part), bool)
-                if model is not None:
-                    mean, size = model.means(part)
-                    best = mean.argmax(axis=1)
-                    odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(size, 40)[:, None])
-                    sure = odds[np.arange(len(part)), best] / odds.sum(axis=1)
-                    for i, t in enumerate(part):
-                        if any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t[64:])):
-                            lang[i], score[i], entropy[i] = model.langs[best[i]], sure[i], -mean[i, best[i]]
-                            rejected[i] = entropy[i] > model.limit[best[i]] and size[i] >= 20
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
+                lang, score, entropy, rejected = verdicts(shared.value, part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return run
 
@@ -225,6 +229,20 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return base.mapInArrow(_identified(shared), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose prediction is not rejected; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    k = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(k))]
+            keep = [~verdicts(shared.value, part)[3] for _, part in in_batches(texts, 300_000)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that op7 does not learn from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
