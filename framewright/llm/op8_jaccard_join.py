@@ -40,7 +40,7 @@ PERCENT = 85
 SEEN, PER_COUNT, FREQUENT = 4, 3_000_000, 500_000
 SKETCH_WORDS = 8
 BLOCK = 256
-#: Bits of the filter that tells which texts verification needs; a full filter costs time only.
+#: Most bits, as a power of two, of the filter that tells which texts verification needs; a full filter costs time only.
 FILTER_BITS = 26
 
 
@@ -219,25 +219,29 @@ def _needed(shared):
     """Rows whose doc_id the filter knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        power, bits = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield batch.filter(pa.array(bits[_slot(ids.view(np.uint64))]))
+            slot = _slot(batch.column(0).to_numpy().view(np.uint64), power)
+            yield batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _slot(ids: np.ndarray, power: int) -> np.ndarray:
+    return (mix(ids) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slots(power: int):
     """(word, bits) of the filter from doc_ids."""
-    for batch in batches:
-        s = np.unique(_slot(batch.column(0).to_numpy().view(np.uint64)))
-        word, start = np.unique(s >> 6, return_index=True)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (s & 63).astype(np.uint64), start) if len(s) else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(bits))], names=["word", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.unique(_slot(batch.column(0).to_numpy().view(np.uint64), power))
+            word, start = np.unique(s >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (s & 63).astype(np.uint64), start) if len(s) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(bits))], names=["word", "bits"])
+
+    return run
 
 
 def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -245,10 +249,11 @@ def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = base.sparkSession
     pairs = stash(pairs, "pairs")
     both = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    words = both.mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    power = min(FILTER_BITS, max(12, (32 * pairs.count()).bit_length()))
+    words = both.mapInArrow(_slots(power), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (power - 6), np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    shared = spark.sparkContext.broadcast((power, bits))
     texts = base.where("doc_id IS NOT NULL").mapInArrow(_needed(shared), "doc_id long, text binary")
     # a doc_id that several rows carry stands for its class by one of them; any of the class will do, so rows of other classes go
     texts = texts.mapInArrow(_with_class, "doc_id long, text binary, cls long")
