@@ -36,7 +36,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_batches(texts: Iterable[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def in_batches(texts: Iterable[bytes], limit: int = 400_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `limit` bytes in all, each with the index of its first; a longer text is a run of its own."""
     start, held, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -68,7 +68,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64; kept up to 4 million, more are made for one call."""
+    """Powers 0..n-1 of the base and of its inverse modulo 2**64; kept up to a million, more are made for one call."""
     if len(_powers[0]) >= n:
         return _powers[0][:n], _powers[1][:n]
     made = []
@@ -76,7 +76,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         a = np.full(n, b, np.uint64)
         a[0] = 1
         made.append(np.cumprod(a, dtype=np.uint64))
-    if n <= 4_000_000:
+    if n <= 1_000_000:
         _powers[:] = made
     return made[0], made[1]
 

@@ -37,7 +37,7 @@ from framewright.llm.components import components
 SHINGLE = 4
 PERCENT = 85
 #: Frequent shingles: at least SEEN times in one task's window of PER_COUNT shingles; at most FREQUENT of them are sorted behind the others.
-SEEN, PER_COUNT, FREQUENT = 4, 3_000_000, 500_000
+SEEN, PER_COUNT, FREQUENT = 3, 1_000_000, 500_000
 SKETCH_WORDS = 8
 BLOCK = 256
 #: Most bits, as a power of two, of the filter that tells which texts verification needs; a full filter costs time only.
@@ -85,40 +85,59 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]
             yield ids[at : at + len(part)], part, sets, class_of(sets)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, n) for shingles that several different texts of a window hold."""
+FIRST = "doc_id long, n long, cls long, sketch binary, shingle long, seen long"
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows: (doc_id, n, cls, sketch) of each text, and (shingle, seen) of shingles that several different texts of a window hold."""
     held: list[np.ndarray] = []
-    size, seen = 0, set()
+    size, known = 0, set()
+    names = [x.split()[0] for x in FIRST.split(", ")]
 
     def out() -> Iterator[pa.RecordBatch]:
         s, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= SEEN
-        yield pa.RecordBatch.from_arrays([pa.array(signed(s[keep])), pa.array(n[keep])], names=["shingle", "n"])
+        s, n = s[n >= SEEN], n[n >= SEEN]
+        none = pa.nulls(len(s), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(s), pa.binary()), pa.array(signed(s)), pa.array(n)], names=names)
 
-    for _, _, sets, classes in _each(batches):
+    for ids, _, sets, classes in _each(batches):
+        none = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(classes)), pa.array([sketch(s) for s in sets], pa.binary()), none, none], names=names)
         for s, c in zip(sets, classes.tolist(), strict=True):
-            if c not in seen:
-                seen.add(c)
+            if c not in known:
+                known.add(c)
                 held.append(s)
                 size += len(s)
         if size > PER_COUNT:
             yield from out()
-            held, size, seen = [], 0, set()
+            held, size, known = [], 0, set()
     if held:
         yield from out()
 
 
-def _rank(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set from rare to frequent, and how many of it are rare; equally frequent shingles by hash."""
-    if not len(keys):
-        return s, len(s)
-    at = np.searchsorted(keys, s)
-    at[at == len(keys)] = 0
-    n = np.where(keys[at] == s, counts[at], 0)
-    return s[np.lexsort((s, n))], int((n == 0).sum())
+class Frequency:
+    """The frequent shingles, sorted, with counts; a small bitmap answers for most of the others."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[(keys >> np.uint64(42)).astype(np.int64)] = True
+
+    def ranked(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """A sorted set from rare to frequent, and how many of it are rare; equally frequent shingles by hash."""
+        maybe = np.flatnonzero(self.bitmap[(s >> np.uint64(42)).astype(np.int64)])
+        if not len(maybe):
+            return s, len(s)
+        at = np.searchsorted(self.keys, s[maybe])
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == s[maybe]
+        often, n = maybe[hit], self.counts[at[hit]]
+        rare = np.ones(len(s), bool)
+        rare[often] = False
+        return np.concatenate([s[rare], s[often[np.argsort(n, kind="stable")]]]), len(s) - len(often)
 
 
-CLASSES = "doc_id long, n long, cls long, prio long, sketch binary"
 POSTINGS = "token long, cls long, prio long"
 
 
@@ -126,19 +145,9 @@ def _prio(rare: int, cls: int) -> int:
     return min(rare, (1 << 15) - 1) << 48 | cls & ((1 << 48) - 1)
 
 
-def _classes(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        for ids, _, sets, classes in _each(batches):
-            prio = [_prio(_rank(s, keys, counts)[1], c) for s, c in zip(sets, classes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(classes)), pa.array(prio, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=[x.split()[0] for x in CLASSES.split(", ")])
-
-    return run
-
-
 def _postings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        frequency: Frequency = shared.value
         seen: set[int] = set()
         for _, _, sets, classes in _each(batches):
             tokens, cls, prio = [], [], []
@@ -146,7 +155,7 @@ def _postings(shared):
                 if c in seen or not len(s):
                     continue
                 seen.add(c)
-                ranked, rare = _rank(s, keys, counts)
+                ranked, rare = frequency.ranked(s)
                 short = ranked[: len(s) - least_overlap(len(s)) + 1]
                 tokens.append(short)
                 cls.append(np.full(len(short), c, np.uint64))
@@ -216,7 +225,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed(shared):
-    """Rows whose doc_id the filter knows."""
+    """Rows whose first column the filter may know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power, bits = shared.value
@@ -232,7 +241,7 @@ def _slot(ids: np.ndarray, power: int) -> np.ndarray:
 
 
 def _slots(power: int):
-    """(word, bits) of the filter from doc_ids."""
+    """(word, bits) of the filter from ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,16 +253,20 @@ def _slots(power: int):
     return run
 
 
+def _filter_of(ids: DataFrame):
+    """A broadcast filter over the one column of `ids`, of at most 2**FILTER_BITS bits however many there are; it errs towards yes."""
+    power = min(FILTER_BITS, max(12, (16 * ids.count()).bit_length()))
+    words = ids.mapInArrow(_slots(power), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast((power, bits))
+
+
 def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts link."""
-    spark = base.sparkSession
     pairs = stash(pairs, "pairs")
     both = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    power = min(FILTER_BITS, max(12, (32 * pairs.count()).bit_length()))
-    words = both.mapInArrow(_slots(power), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (power - 6), np.uint64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast((power, bits))
+    shared = _filter_of(both)
     texts = base.where("doc_id IS NOT NULL").mapInArrow(_needed(shared), "doc_id long, text binary")
     # a doc_id that several rows carry stands for its class by one of them; any of the class will do, so rows of other classes go
     texts = texts.mapInArrow(_with_class, "doc_id long, text binary, cls long")
@@ -280,25 +293,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    frequent = base.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    keys, counts = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], counts[order]))
-    of_docs = stash(base.mapInArrow(_classes(shared), CLASSES), "classes")
+    first = stash(base.mapInArrow(_first_pass, FIRST), "first")
+    frequent = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast(Frequency(frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
+    of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
     parts = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH_WORDS)]
     sketches = [f"s{k}" for k in range(SKETCH_WORDS)]
     # min of the sketch is any of the class: all are equal
-    classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", "prio", *parts)
-    classes = stash(classes.groupBy("cls", "n", "prio").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
+    classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", *parts)
+    classes = stash(classes.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
 
-    postings = base.where("doc_id IS NOT NULL").mapInArrow(_postings(shared), POSTINGS)
+    postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(_postings(shared), POSTINGS), "postings")
     hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("hub < other OR c0 < c1").select("token", "hub")
-    lists = postings.join(hubs, "token").select("token", "cls", "prio", "hub").distinct()
-    lists = stash(lists, "lists")
+    hubs = stash(hubs, "hubs")
+    shorter = postings.mapInArrow(_needed(_filter_of(hubs.select("token"))), POSTINGS)
+    lists = stash(shorter.join(hubs, "token").select("token", "cls", "prio", "hub").distinct(), "lists")
+    hub_of = lists.select("prio", F.col("cls").alias("hub_cls")).distinct()
 
     def candidates(found: DataFrame) -> DataFrame:
         """Pairs of representatives from (hub prio, cls), behind sizes and sketches."""
-        x = found.select("hub", "cls").distinct().join(classes.alias("b"), "cls").join(classes.withColumnRenamed("cls", "hub_cls").withColumnRenamed("prio", "hub_prio").alias("a"), F.expr("hub = a.hub_prio AND cls <> hub_cls"))
+        named = found.select("hub", "cls").distinct().join(hub_of, F.expr("hub = prio AND cls <> hub_cls")).select("hub_cls", "cls")
+        x = named.join(classes.alias("b"), "cls").join(classes.withColumnRenamed("cls", "hub_cls").alias("a"), "hub_cls")
         return x.where(_apart("a", "b")).select(F.col("a.rep").alias("a"), F.col("hub_cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("cls").alias("b_cls"))
 
     links = stash(_links(base, candidates(lists)), "links")
