@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import shared_dir, table
+from framewright.llm.common import shared_dir, small_batches, table
 from framewright.llm.op5_byte_bpe import round_trip
 from framewright.llm.op6_decontaminate import without_contaminated
 from framewright.llm.op7_language_id import trained_on, without_rejected
@@ -27,21 +27,25 @@ def _dropped(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models reject go: no letters, or a cross-entropy above the language's limit."""
+    small_batches(spark)
     return without_rejected(docs, trained_on(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one stays that exact dedup names."""
+    small_batches(spark)
     return _dropped(docs, exact_dedup(docs).select("doc_id", F.col("kept").alias("stays")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked texts the document with the smallest doc_id stays."""
+    small_batches(spark)
     return _dropped(docs, jaccard_components(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,6 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document that is left."""
     import public_tokenizers
 
+    small_batches(spark)
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("exact")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of every contract here: space and U+0009 to U+000D.
@@ -15,8 +16,43 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def lean(run):
+    """A function for mapInArrow that hands free memory back to the system when its task ends, as workers outlive tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, by whatever file system the path names."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -137,8 +173,6 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def as_bytes(column) -> list[bytes]:
     """The values of an Arrow string or binary column as bytes, null as empty."""
-    import pyarrow as pa
-
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     return [b"" if x is None else x for x in column.to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import LOWER, as_bytes, in_batches, joined, run_hashes, signed, span_hashes, table, word_spans
+from framewright.llm.common import LOWER, as_bytes, in_batches, joined, lean, run_hashes, signed, span_hashes, table, word_spans
 
 RUN, WORDS, PIECE = 2, 20, 16
 LAST = (1 << 63) - 1
@@ -127,11 +127,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_sentences, n_removed, n_chars and text without the removed sentences."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = base.mapInArrow(_runs, "hash long, doc long")
+    runs = base.mapInArrow(lean(_runs), "hash long, doc long")
     first = runs.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
     later = runs.join(first, "hash").where("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
     matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return matched.mapInArrow(_cleaned, CLEANED)
+    return matched.mapInArrow(lean(_cleaned), CLEANED)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, shared_dir, stash, table
+from framewright.llm.common import as_bytes, lean, shared_dir, stash, table
 
 END = b"\r\n\r\n"
 #: Records of one archive at most, and the bytes of a range.
@@ -115,9 +115,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One record per row of `pages` into WARC files below `path`."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html"))
-    first = base.select("page_id", "html").mapInArrow(_digests, "digest string, check binary, page_id long").groupBy("digest", "check").agg(F.min("page_id").alias("first_id"))
-    rows = base.mapInArrow(_payloads, PAYLOAD).join(first, ["digest", "check"])
-    lines = rows.select("page_id", "url", "first_id", "n", "digest", "packed").mapInArrow(_records, "value binary")
+    first = base.select("page_id", "html").mapInArrow(lean(_digests), "digest string, check binary, page_id long").groupBy("digest", "check").agg(F.min("page_id").alias("first_id"))
+    rows = base.mapInArrow(lean(_payloads), PAYLOAD).join(first, ["digest", "check"])
+    lines = rows.select("page_id", "url", "first_id", "n", "digest", "packed").mapInArrow(lean(_records), "value binary")
     lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -196,7 +196,7 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 def read_archives(spark: SparkSession, path: str, block: int = RANGE) -> DataFrame:
     """The records of all archives below `path` that are reachable from their file's start, in the columns of CANDIDATE."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    candidates = stash(files.select(F.col("path").alias("file"), "content").mapInArrow(_candidates(block), CANDIDATE), "warc-candidates")
+    candidates = stash(files.select(F.col("path").alias("file"), "content").mapInArrow(lean(_candidates(block)), CANDIDATE), "warc-candidates")
     starts = candidates.where("at = 0").select("file", F.lit(0).cast("long").alias("at"))
     targets = candidates.where("exit >= 0").select("file", F.col("exit").alias("at")).distinct()
     # only what some chain leaves a range for can be an entry

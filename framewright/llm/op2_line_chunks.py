@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, joined, mix, run_hashes, signed, span_hashes, table
+from framewright.llm.common import as_bytes, in_batches, joined, lean, mix, run_hashes, signed, span_hashes, table
 
 WINDOW, EVERY, MOST, LEAST = 2, 4, 16, 2
 HELD_BYTES = 48_000_000
@@ -133,11 +133,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_removed (lines), n_chars and text without the removed chunks."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    contents = base.mapInArrow(_chunks, "hash long, content binary, first long, last long").groupBy("hash", "content").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    contents = base.mapInArrow(lean(_chunks), "hash long, content binary, first long, last long").groupBy("hash", "content").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     repeated = contents.where("first < last").select("hash", "first")
-    later = base.mapInArrow(_owned, "hash long, doc long").join(repeated, "hash").where("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
+    later = base.mapInArrow(lean(_owned), "hash long, doc long").join(repeated, "hash").where("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
     matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return matched.mapInArrow(_cleaned, CLEANED)
+    return matched.mapInArrow(lean(_cleaned), CLEANED)
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

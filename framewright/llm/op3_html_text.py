@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, table
+from framewright.llm.common import as_bytes, lean, table
 
 # Element names by their role in HTML.
 BLOCK = frozenset(
@@ -217,7 +217,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return base.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return base.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, table
+from framewright.llm.common import as_bytes, lean, table
 
 LEVEL = 9
 #: Words of a dictionary, bytes of a window (a longer word is cut into such windows), windows a task keeps measured.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = marked.where("toxic = 1").orderBy(*by_hash).limit(per_class).unionByName(marked.where("toxic = 0").orderBy(*by_hash).limit(per_class))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").dropDuplicates()
-    counts = texts.mapInArrow(_word_counts, "kind string, item string, toxic int, n long").groupBy("kind", "item").agg(F.sum(F.expr("CASE WHEN toxic = 1 THEN n ELSE 0 END")).alias("t"), F.sum(F.expr("CASE WHEN toxic = 0 THEN n ELSE 0 END")).alias("o"))
+    counts = texts.mapInArrow(lean(_word_counts), "kind string, item string, toxic int, n long").groupBy("kind", "item").agg(F.sum(F.expr("CASE WHEN toxic = 1 THEN n ELSE 0 END")).alias("t"), F.sum(F.expr("CASE WHEN toxic = 0 THEN n ELSE 0 END")).alias("o"))
     n1, n0 = min(per_class, seen[1]), min(per_class, seen[0])
     counts = counts.withColumn("ratio", (F.col("t") / n1) / ((F.col("o") + 0.5) / n0)).where(F.expr(f"kind = 'w' OR t >= {max(LEAST_TEXTS, LEAST_SHARE * n1)} AND ratio >= {LEAST_RATIO}"))
     usual = {r["item"]: r["o"] for r in counts.where("kind = 'w' AND ratio < 2").orderBy(F.desc("o"), "item").limit(4 * DICTIONARY_WORDS).collect()}
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
             against |= {g: max(n, against.get(g, 0)) for g in grams(word, 4)}
     model = _with_words([w for w in chosen if all(against.get(g, 0) <= texts_of[w] for g in grams(w, 4))], ordinary)
     shared = spark.sparkContext.broadcast(model)
-    measured = texts.mapInArrow(_evidence(shared), "toxic int, margins string").groupBy("toxic", "margins").agg(F.count(F.lit(1)).alias("n")).collect()
+    measured = texts.mapInArrow(lean(_evidence(shared)), "toxic int, margins string").groupBy("toxic", "margins").agg(F.count(F.lit(1)).alias("n")).collect()
     cases = [(r["toxic"], [int(x) for x in r["margins"].split(",") if x], r["n"] * (seen[r["toxic"]] / (n1 if r["toxic"] else n0))) for r in measured]
     weigh = lambda t, wrong: sum(w for toxic, m, w in cases if (max(m, default=0) >= t) != bool(toxic)) if wrong else 0
     model.threshold = min(range(1, 13), key=lambda t: (weigh(t, True), t))
@@ -207,7 +207,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, score in 0..1, predicted (1 from 0.5 on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = base.mapInArrow(_scored(shared), "doc_id long, score double")
+    scored = base.mapInArrow(lean(_scored(shared)), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

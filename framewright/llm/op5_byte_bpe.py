@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, table
+from framewright.llm.common import as_bytes, lean, table
 
 #: Pieces that a task keeps encoded.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 # Code points that the pattern library counts as letters or numbers and the reference
 # encoder's older Unicode tables do not.
@@ -141,7 +141,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), pa.array(decimal, pa.string()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "ids_text", "n_tokens", "decoded"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, ids binary, ids_text string, n_tokens long, decoded binary")
+    return base.mapInArrow(lean(run), "doc_id long, ids binary, ids_text string, n_tokens long, decoded binary")
 
 
 def _coded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str):
@@ -172,7 +172,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             )
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return base.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

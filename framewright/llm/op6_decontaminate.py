@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, mix, table, words_of
+from framewright.llm.common import as_bytes, in_batches, lean, mix, table, words_of
 
 #: 1: the word counts; 0: any word will do.
 MASKS = ("1110110111", "1101011011", "1011101101", "11111111")
@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, l
     """One row per document: doc_id, contaminated, n_items, and of the best item: item_id, overlap (share of its words matched), first_word, last_word."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passes = [base.mapInArrow(_searched(spark.sparkContext.broadcast(Index(items)), share, least), HIT) for items in _parts(benchmark)]
+    passes = [base.mapInArrow(lean(_searched(spark.sparkContext.broadcast(Index(items)), share, least)), HIT) for items in _parts(benchmark)]
     if len(passes) == 1:
         return passes[0]
     found = passes[0]
@@ -167,7 +167,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = S
         return run
 
     for items in _parts(benchmark):
-        docs = docs.mapInArrow(clean_by(spark.sparkContext.broadcast(Index(items))), docs.schema)
+        docs = docs.mapInArrow(lean(clean_by(spark.sparkContext.broadcast(Index(items)))), docs.schema)
     return docs
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, table
+from framewright.llm.common import as_bytes, in_batches, lean, table
 
 ORDER = 5
 BITS = 12
@@ -181,14 +181,14 @@ def train(labelled: DataFrame, per_lang: int = 1500) -> tuple[Model | None, dict
     share = F.create_map(*[F.lit(x) for a in langs for x in (a, min(1_000_000, -(-1_000_000 * per_lang // seen[a])))])
     sample = rows.where(place < share[F.col("lang")])
     held = F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(HOLD)) == 0
-    counts = sample.where(~held).select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.where(~held).select("lang", "text").mapInArrow(lean(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.select(F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int").alias("k"), "gram", "n").toArrow()
     if not got.num_rows:
         return None, seen
     k, gram, n = (got.column(c).to_numpy() for c in ("k", "gram", "n"))
     model = build_model(langs, k.astype(np.int64) - 1, gram.view(np.uint64), n)
     shared = spark.sparkContext.broadcast(model)
-    limits = sample.where(held).select("lang", "text").mapInArrow(_entropies(shared, langs), "k int, entropy double, size long")
+    limits = sample.where(held).select("lang", "text").mapInArrow(lean(_entropies(shared, langs)), "k int, entropy double, size long")
     limits = limits.where("size >= 20").groupBy("k").agg(F.avg("entropy").alias("m"), F.max("entropy").alias("top"))
     for r in limits.collect():
         # above all that unseen labelled text showed, and at least halfway from its mean to a uniform guess
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score (probability among the learned languages), entropy (nats per character), rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_identified(shared), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return base.mapInArrow(lean(_identified(shared)), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text
             keep = [~verdicts(shared.value, part)[3] for _, part in in_batches(texts, 300_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

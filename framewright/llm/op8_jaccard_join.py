@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, chained, in_batches, mix, signed, span_hashes, stash, table, words_of
+from framewright.llm.common import as_bytes, chained, in_batches, lean, mix, signed, span_hashes, stash, table, words_of
 from framewright.llm.components import components
 
 SHINGLE = 4
@@ -256,7 +256,7 @@ def _slots(power: int):
 def _filter_of(ids: DataFrame):
     """A broadcast filter over the one column of `ids`, of at most 2**FILTER_BITS bits however many there are; it errs towards yes."""
     power = min(FILTER_BITS, max(12, (16 * ids.count()).bit_length()))
-    words = ids.mapInArrow(_slots(power), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = ids.mapInArrow(lean(_slots(power)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (power - 6), np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return ids.sparkSession.sparkContext.broadcast((power, bits))
@@ -267,20 +267,24 @@ def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = stash(pairs, "pairs")
     both = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
     shared = _filter_of(both)
-    texts = base.where("doc_id IS NOT NULL").mapInArrow(_needed(shared), "doc_id long, text binary")
     # a doc_id that several rows carry stands for its class by one of them; any of the class will do, so rows of other classes go
-    texts = texts.mapInArrow(_with_class, "doc_id long, text binary, cls long")
+    texts = base.where("doc_id IS NOT NULL").mapInArrow(lean(_needed_texts(shared)), "doc_id long, text binary, cls long")
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))
     blocked = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").select("a", "a_cls", "b", "b_cls", block.alias("block"))
     hubs = blocked.select("a", "a_cls", "block").distinct()
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("cls").alias(f"{side}_cls"), "text").dropDuplicates([side, f"{side}_cls"])
     rows = hubs.join(of("a"), ["a", "a_cls"]).select("a", "block", F.lit(None).cast("long").alias("b"), "text").unionByName(blocked.join(of("b"), ["b", "b_cls"]).select("a", "block", "b", "text"))
-    return rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a long, b long")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(lean(_verified), "a long, b long")
 
 
-def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts, _, classes in _each(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(signed(classes))], names=["doc_id", "text", "cls"])
+def _needed_texts(shared):
+    """The texts that the filter may know, with their classes; one function, so that a task needs one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, _, classes in _each(_needed(shared)(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(signed(classes))], names=["doc_id", "text", "cls"])
+
+    return run
 
 
 def _apart(a: str, b: str) -> str:
@@ -293,7 +297,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    first = stash(base.mapInArrow(_first_pass, FIRST), "first")
+    first = stash(base.mapInArrow(lean(_first_pass), FIRST), "first")
     frequent = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast(Frequency(frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
     of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
@@ -303,10 +307,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", *parts)
     classes = stash(classes.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
 
-    postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(_postings(shared), POSTINGS), "postings")
+    postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(lean(_postings(shared)), POSTINGS), "postings")
     hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("hub < other OR c0 < c1").select("token", "hub")
     hubs = stash(hubs, "hubs")
-    shorter = postings.mapInArrow(_needed(_filter_of(hubs.select("token"))), POSTINGS)
+    shorter = postings.mapInArrow(lean(_needed(_filter_of(hubs.select("token")))), POSTINGS)
     lists = stash(shorter.join(hubs, "token").select("token", "cls", "prio", "hub").distinct(), "lists")
     hub_of = lists.select("prio", F.col("cls").alias("hub_cls")).distinct()
 

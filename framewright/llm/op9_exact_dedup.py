@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import ASCII_SPACE, as_bytes, table
+from framewright.llm.common import ASCII_SPACE, as_bytes, lean, table
 
 #: Bytes of content that a task holds for stage 1; beyond it the entries go out and the task starts afresh.
 HELD_BYTES = 48_000_000
@@ -115,12 +115,12 @@ def _merged(entries: DataFrame, *keys: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per row of `docs`: doc_id, n_chars, keep_id, group_size, kept, digest (SHA-256 of the normalised text, binary)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    entries = base.mapInArrow(_combine(salts), ENTRY)
+    entries = base.mapInArrow(lean(_combine(salts)), ENTRY)
     salted = _merged(entries, "digest", "check", "content", "salt")
     winners = _merged(salted, "digest", "check", "content").select(
         "digest", "check", F.col("n").alias("group_size"), F.expr(f"CAST(nullif({HALF}BD - pmod(best, {SPAN}BD), {HALF}BD) AS LONG)").alias("keep_id")
     )
-    joined = base.mapInArrow(_members, MEMBER).join(winners, ["digest", "check"])
+    joined = base.mapInArrow(lean(_members), MEMBER).join(winners, ["digest", "check"])
     return joined.select("doc_id", "n_chars", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
