@@ -38,7 +38,7 @@ SHINGLE = 4
 PERCENT = 85
 #: Frequent shingles: at least SEEN times in one task's window of PER_COUNT shingles; at most FREQUENT of them are sorted behind the others.
 SEEN, PER_COUNT, FREQUENT = 3, 1_000_000, 500_000
-SKETCH_WORDS = 8
+SKETCH_WORDS, WIDE_FROM = 8, 512
 BLOCK = 256
 #: Most bits, as a power of two, of the filter that tells which texts verification needs; a full filter costs time only.
 FILTER_BITS = 26
@@ -72,6 +72,32 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """For a set too large for `sketch` to tell much: parities of about half as many buckets as it has shingles, a power of two."""
+    if len(s) <= WIDE_FROM:
+        return None
+    buckets = 1 << (len(s) - 1).bit_length() - 1
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the longer is folded to the shorter one's buckets."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, a_cls, b, b_cls) whose wide sketches, where both have one, allow a link."""
+    for batch in batches:
+        keep = [x is None or y is None or wide_apart(x, y) <= most for x, y, most in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+
 def least_overlap(n: int) -> int:
     """The fewest shingles that a set of n shares with any set it links to."""
     return -(-PERCENT * n // 100)
@@ -85,7 +111,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]
             yield ids[at : at + len(part)], part, sets, class_of(sets)
 
 
-FIRST = "doc_id long, n long, cls long, sketch binary, shingle long, seen long"
+FIRST = "doc_id long, n long, cls long, sketch binary, wide binary, shingle long, seen long"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +124,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n = np.unique(np.concatenate(held), return_counts=True)
         s, n = s[n >= SEEN], n[n >= SEEN]
         none = pa.nulls(len(s), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(s), pa.binary()), pa.array(signed(s)), pa.array(n)], names=names)
+        nothing = pa.nulls(len(s), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, none, nothing, nothing, pa.array(signed(s)), pa.array(n)], names=names)
 
     for ids, _, sets, classes in _each(batches):
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(classes)), pa.array([sketch(s) for s in sets], pa.binary()), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(classes)), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()), none, none], names=names)
         for s, c in zip(sets, classes.tolist(), strict=True):
             if c not in known:
                 known.add(c)
@@ -300,12 +327,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = stash(base.mapInArrow(lean(_first_pass), FIRST), "first")
     frequent = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast(Frequency(frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
-    of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
+    of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch", "wide")
     parts = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH_WORDS)]
     sketches = [f"s{k}" for k in range(SKETCH_WORDS)]
     # min of the sketch is any of the class: all are equal
     classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", *parts)
     classes = stash(classes.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
+    wides = stash(of_docs.where("wide IS NOT NULL").select("doc_id", "cls", "wide").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).select("cls", "wide").dropDuplicates(["cls"]), "wide")
+
+    def narrowed(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, a_cls, b, b_cls, most) behind the wide sketches, which only the pairs that got this far fetch."""
+        pairs = pairs.join(wides.select(F.col("cls").alias("a_cls"), F.col("wide").alias("a_wide")), "a_cls", "left").join(wides.select(F.col("cls").alias("b_cls"), F.col("wide").alias("b_wide")), "b_cls", "left")
+        return pairs.select("a", "a_cls", "b", "b_cls", "a_wide", "b_wide", "most").mapInArrow(lean(_near_enough), "a long, a_cls long, b long, b_cls long")
 
     postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(lean(_postings(shared)), POSTINGS), "postings")
     hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("hub < other OR c0 < c1").select("token", "hub")
@@ -314,11 +347,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = stash(shorter.join(hubs, "token").select("token", "cls", "prio", "hub").distinct(), "lists")
     hub_of = lists.select("prio", F.col("cls").alias("hub_cls")).distinct()
 
+    most = F.expr(f"((a.n + b.n) * {100 - PERCENT}) div {100 + PERCENT}").alias("most")
+
     def candidates(found: DataFrame) -> DataFrame:
         """Pairs of representatives from (hub prio, cls), behind sizes and sketches."""
         named = found.select("hub", "cls").distinct().join(hub_of, F.expr("hub = prio AND cls <> hub_cls")).select("hub_cls", "cls")
         x = named.join(classes.alias("b"), "cls").join(classes.withColumnRenamed("cls", "hub_cls").alias("a"), "hub_cls")
-        return x.where(_apart("a", "b")).select(F.col("a.rep").alias("a"), F.col("hub_cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("cls").alias("b_cls"))
+        return narrowed(x.where(_apart("a", "b")).select(F.col("a.rep").alias("a"), F.col("hub_cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("cls").alias("b_cls"), most))
 
     links = stash(_links(base, candidates(lists)), "links")
     for last in (False, True):
@@ -336,8 +371,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             full = named.join(classes.select("cls", "n", *sketches), "cls")
             left, right = full.alias("a"), full.alias("b")
             rest = left.join(right, F.expr(f"a.token = b.token AND a.label < b.label AND {_apart('a', 'b')}"))
-            rest = rest.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls")).distinct()
-            links = stash(links.unionByName(_links(base, rest)), "links")
+            rest = rest.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls"), most).distinct()
+            links = stash(links.unionByName(_links(base, narrowed(rest))), "links")
     labels = components(links)
     of_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("cls", F.col("n").alias("cn"), F.coalesce("label", "rep").alias("component"))
     found = of_docs.join(of_class, (of_docs["cls"] == of_class["cls"]) & (of_docs["n"] == of_class["cn"]) & (of_docs["n"] > 0), "left")
