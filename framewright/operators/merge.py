@@ -46,7 +46,7 @@ def decision(checks: DataFrame) -> DataFrame:
     rank = F.lit(None).cast("int")
     for k, c in enumerate(RANK):
         rank = F.when(F.col("status") == c, k).otherwise(rank)
-    return checks.agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("checks")).select(F.coalesce(F.element_at(F.array(*[F.lit(c) for c in RANK]), F.col("r") + 1), F.lit("unknown")).alias("decision"), "checks")
+    return checks.agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("checks")).select(F.when(F.col("r").isNull(), "unknown").otherwise(F.element_at(F.array(*[F.lit(c) for c in RANK]), F.coalesce("r", F.lit(0)) + 1)).alias("decision"), "checks")
 
 
 def unknown_remap_keys(remap: DataFrame, tasks: DataFrame) -> DataFrame:

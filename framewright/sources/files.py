@@ -24,7 +24,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), uri, size_bytes, kind (metadata, data, media, other) and stream of every file below `root`; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
-    relative = F.substring_index(F.col("path"), F.concat(F.lit(base.rstrip("/")), F.lit("/")), -1)
+    relative = F.substring_index(F.col("path"), base.rstrip("/") + "/", -1)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     rows = files.select(relative.alias("path"), F.col("path").alias("uri"), F.col("length").alias("size_bytes"), suffix.alias("_suffix"))
     kind = F.when(F.col("path").startswith("meta/"), "metadata").when(F.col("_suffix").isin(*VIDEO_SUFFIXES), "media").when(F.col("path").startswith("data/"), "data").otherwise("other")

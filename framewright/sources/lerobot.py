@@ -46,7 +46,7 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 def read(spark: SparkSession, root: str) -> Bundle:
     """The bundle of the data set at `root`; the version in info.json decides, else the layout where only one is there."""
     root = root.rstrip("/")
-    listed = files.inventory(spark, root).cache()
+    listed = files.inventory(spark, root)
     paths = {r["path"] for r in listed.where("kind = 'metadata'").select("path").collect()}
     problems = _empty(spark, model.FINDING)
     one = spark.range(1)
@@ -71,7 +71,9 @@ def read(spark: SparkSession, root: str) -> Bundle:
     major = 2 if stated.startswith("2.") else 3 if stated.startswith("3.") else 3 if v30 and not v21 else 2 if v21 and not v30 else 0
     if major == 3 and v21 or major == 2 and v30:
         problems = problems.unionByName(problem("LEROBOT_LAYOUT_VERSION_MISMATCH", "meta"))
-    features = metadata.features(info).cache()
+    # a declaration is small; as local rows it cannot go stale the way a cached plan over rewritten files does
+    declared = metadata.features(info)
+    features = spark.createDataFrame(declared.collect(), declared.schema)
     cameras = [r["feature"] for r in features.where("dtype = 'video'").orderBy("feature").collect()]
     size = int(row["chunks_size"]) if row is not None and row["chunks_size"] else CHUNK
     data, video = (row["data_path"], row["video_path"]) if row is not None else (None, None)
@@ -132,7 +134,7 @@ def _v21(spark, root, paths, cameras, size, data, video):
 
 def _tables(spark, listed, prefix: str):
     """The readable Parquet files below `prefix` as one frame, and findings for the others."""
-    found = files.footers(spark, listed.where(F.col("path").startswith(prefix) & F.col("path").endswith(".parquet"))).cache()
+    found = files.footers(spark, listed.where(F.col("path").startswith(prefix) & F.col("path").endswith(".parquet")))
     good = {r["path"] for r in found.where("error IS NULL").select("path").collect()}
     uris = [r["uri"] for r in listed.select("path", "uri").where(F.col("path").startswith(prefix)).collect() if r["path"] in good]
     return (spark.read.option("mergeSchema", "true").parquet(*uris) if uris else None), found

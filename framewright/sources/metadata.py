@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def json_objects(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, body (VARIANT; null if the text is no JSON object) and the text, one row per file."""
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     body = F.try_parse_json("text")
     return rows.withColumn("body", F.when(F.schema_of_variant(body).startswith("OBJECT"), body))
 
 
 def json_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, line (from 1), text and body of every non-blank line; body is null where the line is no JSON object."""
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     body = F.try_parse_json("text")
     return rows.where(F.trim("text") != "").select("path", (F.col("line") + 1).cast("long").alias("line"), "text", F.when(F.schema_of_variant(body).startswith("OBJECT"), body).alias("body"))
 
