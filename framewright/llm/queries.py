@@ -10,6 +10,7 @@ from framewright.llm.op4_toxicity import op4_toxicity
 from framewright.llm.op5_byte_bpe import op5_byte_bpe
 from framewright.llm.op6_decontaminate import op6_decontaminate
 from framewright.llm.op7_language_id import op7_language_id
+from framewright.llm.op8_jaccard_join import SQL as SQL_8
 from framewright.llm.op8_jaccard_join import op8_jaccard_join
 from framewright.llm.op9_exact_dedup import SQL as SQL_9
 from framewright.llm.op9_exact_dedup import op9_exact_dedup
@@ -28,5 +29,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_jaccard_join": SQL_8,
     "op9_exact_dedup": SQL_9,
 }
