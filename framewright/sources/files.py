@@ -80,7 +80,7 @@ def footers(spark: SparkSession, files: DataFrame) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], FOOTER)
     content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("uri"), "content")
-    return content.join(F.broadcast(uris), "uri").select("path", "content").mapInArrow(_footers, FOOTER)
+    return content.join(uris, "uri").select("path", "content").mapInArrow(_footers, FOOTER)
 
 
 def footer_findings(found: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def checksums(spark: SparkSession, files: DataFrame) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "path string, sha256 string")
     content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("uri"), F.sha2("content", 256).alias("sha256"))
-    return content.join(F.broadcast(files.select("path", "uri")), "uri").select("path", "sha256")
+    return content.join(files.select("path", "uri"), "uri").select("path", "sha256")
 
 
 def path_policy(root: str, follow: bool = False) -> list[tuple[str, str]]:
