@@ -33,6 +33,8 @@ LEVEL = 9
 DICTIONARY_WORDS, WINDOW, KEPT = 1500, 48, 500_000
 #: A 5-gram marks toxic text from this many texts, this share of toxic texts and this ratio of shares on.
 LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
+#: A word with such 5-grams goes into the toxic dictionary from this share of toxic texts on.
+WORD_SHARE = 0.003
 BEFORE = bytes([*range(1, 9), *range(14, 32), *range(0x80, 0xA0)])
 AFTER = bytes(range(0xC0, 0xE0))
 BINS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
@@ -166,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     marks = {r["item"]: r["ratio"] * min(r["t"], 50) for r in counts.where("kind = 'g'").orderBy(F.desc(F.col("ratio") * F.least(F.col("t"), F.lit(50))), "item").limit(4 * DICTIONARY_WORDS).collect()}
     if not marks:
         return Model()
-    of_marks = counts.where(f"kind = 'w' AND ratio >= {LEAST_RATIO / 4} AND o = 0").orderBy(F.desc("t"), "item").limit(40 * DICTIONARY_WORDS)
+    of_marks = counts.where(f"kind = 'w' AND ratio >= {LEAST_RATIO / 4} AND o = 0 AND t >= {max(2, WORD_SHARE * n1)}").orderBy(F.desc("t"), "item").limit(40 * DICTIONARY_WORDS)
     texts_of = {r["item"]: r["t"] for r in of_marks.collect()}
     strength = {w: max((marks.get(g, 0) for g in grams(w)), default=0) for w in texts_of}
     chosen = [w for w, x in sorted(strength.items(), key=lambda x: (-x[1], x[0])) if x > 0][:DICTIONARY_WORDS]
