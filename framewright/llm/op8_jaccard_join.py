@@ -356,23 +356,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return narrowed(x.where(_apart("a", "b")).select(F.col("a.rep").alias("a"), F.col("hub_cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("cls").alias("b_cls"), most))
 
     links = stash(_links(base, candidates(lists)), "links")
-    for last in (False, True):
-        labels = components(links)
-        named = lists.join(classes.select("cls", "rep"), "cls").join(labels, F.col("rep") == F.col("v"), "left").select("token", "cls", "prio", "rep", F.coalesce("label", "rep").alias("label"))
+    def apart(rest: DataFrame) -> DataFrame:
+        """The entries (token, cls, prio, rep, label) of lists that hold several components."""
+        named = rest.join(classes.select("cls", "rep"), "cls").join(components(links), F.col("rep") == F.col("v"), "left").select("token", "cls", "prio", "rep", F.coalesce("label", "rep").alias("label"))
         mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        named = stash(named.join(mixed, "token"), "mixed")
-        if not last:
-            # the second hub: the first class of the list's largest label, so that it is of another component than at least one other
-            other = named.groupBy("token").agg(F.max("label").alias("label"))
-            second = named.join(other, ["token", "label"]).groupBy("token").agg(F.min("prio").alias("hub"), F.first("label").alias("hub_label"))
-            found = named.join(second, "token").where("label <> hub_label")
-            links = stash(links.unionByName(_links(base, candidates(found))), "links")
-        else:
-            full = named.join(classes.select("cls", "n", *sketches), "cls")
-            left, right = full.alias("a"), full.alias("b")
-            rest = left.join(right, F.expr(f"a.token = b.token AND a.label < b.label AND {_apart('a', 'b')}"))
-            rest = rest.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls"), most).distinct()
-            links = stash(links.unionByName(_links(base, narrowed(rest))), "links")
+        return stash(named.join(mixed, "token"), "mixed")
+
+    # a hub has met its whole list and leaves it
+    rest = lists.where("prio <> hub").select("token", "cls", "prio")
+    named = apart(rest)
+    # the second hub: the first class of the list's largest label, so that it is of another component than at least one other
+    other = named.groupBy("token").agg(F.max("label").alias("label"))
+    second = stash(named.join(other, ["token", "label"]).groupBy("token").agg(F.min("prio").alias("hub"), F.first("label").alias("hub_label")), "second")
+    links = stash(links.unionByName(_links(base, candidates(named.join(second, "token").where("label <> hub_label")))), "links")
+    named = apart(named.select("token", "cls", "prio").join(second, "token").where("prio <> hub").select("token", "cls", "prio"))
+    full = named.join(classes.select("cls", "n", *sketches), "cls")
+    left, right = full.alias("a"), full.alias("b")
+    pairs = left.join(right, F.expr(f"a.token = b.token AND a.label < b.label AND {_apart('a', 'b')}"))
+    pairs = pairs.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls"), most).distinct()
+    links = stash(links.unionByName(_links(base, narrowed(pairs))), "links")
     labels = components(links)
     of_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("cls", F.col("n").alias("cn"), F.coalesce("label", "rep").alias("component"))
     found = of_docs.join(of_class, (of_docs["cls"] == of_class["cls"]) & (of_docs["n"] == of_class["cn"]) & (of_docs["n"] > 0), "left")
