@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import model
-from framewright.operators import diff, findings, keys, sequence
-from framewright.sources import files, lerobot, metadata
+from framewright.operators import diff, findings, keys, numeric, sequence
+from framewright.sources import files, frames, lerobot, metadata
 
 
 def metadata_findings(b: lerobot.Bundle) -> DataFrame:
@@ -71,11 +71,77 @@ def shard_findings(b: lerobot.Bundle, footers: DataFrame) -> DataFrame:
     return out.unionByName(model.findings(spans.where("overrun > 0"), "LEROBOT_EPISODE_RANGE_OUT_OF_BOUNDS", path=F.col("path"), episode_index=F.col("last_owner"), evidence=F.col("overrun").cast("string")))
 
 
-def audit(spark: SparkSession, root: str) -> DataFrame:
-    """All findings of metadata, footers and schemas of the data set at `root`, enriched, de-duplicated and ordered."""
+ORDER = ["frame_index", "index", "path", "row"]
+
+
+def frame_findings(rows: DataFrame, b: lerobot.Bundle, fps: float | None, whole: bool) -> DataFrame:
+    """Checks over frame rows: duplicate and missing indexes, task references, time; what needs every row only when `whole`."""
+    e, f = F.col("episode_index"), F.col("frame_index")
+    found = model.findings(keys.duplicate_keys(rows, ["episode_index", "frame_index"]), "LEROBOT_FRAME_INDEX_DUPLICATE", episode_index=e, frame_index=f, evidence=F.col("n").cast("string"))
+    add = lambda df, code, **c: found.unionByName(model.findings(df, code, **c))
+    found = add(keys.duplicate_keys(rows, ["index"]), "LEROBOT_GLOBAL_INDEX_DUPLICATE", location=F.col("index").cast("string"), evidence=F.col("n").cast("string"))
+    if whole:
+        # holes over the whole index: each row asks for its predecessor, so no task orders all rows
+        present = rows.where("index >= 0").select("index").distinct()
+        lost = present.where("index > 0").join(present.select((F.col("index") + 1).alias("index")), "index", "left_anti")
+        found = add(lost, "LEROBOT_GLOBAL_INDEX_NON_CONTIGUOUS", location=F.col("index").cast("string"))
+        found = add(keys.gaps(rows.where("episode_index IS NOT NULL AND frame_index IS NOT NULL"), ["episode_index"], "frame_index"), "LEROBOT_FRAME_INDEX_NON_CONTIGUOUS", episode_index=e, frame_index=F.col("first_missing"), evidence=F.col("n_missing").cast("string"))
+        counts = keys.row_count_mismatch(rows.where("episode_index IS NOT NULL"), b.episodes, "episode_index", "length")
+        found = add(counts, "LEROBOT_EPISODE_ROW_COUNT_MISMATCH", episode_index=e, evidence=F.concat_ws("/", "expected", "observed"))
+    found = add(keys.orphans(rows, b.tasks, "task_index"), "LEROBOT_TASK_REFERENCE_INVALID", episode_index=e, frame_index=f, path=F.col("path"), location=F.col("row").cast("string"), evidence=F.col("task_index").cast("string"))
+    timed = rows.where(numeric.finite(F.col("timestamp")))
+    found = add(sequence.non_monotonic(timed, ["episode_index"], ORDER, "timestamp"), "LEROBOT_TIMESTAMP_NON_MONOTONIC", episode_index=e, frame_index=f, path=F.col("path"))
+    return add(sequence.off_grid(timed, "timestamp", "frame_index", fps or 0), "LEROBOT_TIMESTAMP_OFF_GRID", episode_index=e, frame_index=f, path=F.col("path"))
+
+
+def vector_findings(rows: DataFrame, features: list[tuple[str, list[int] | None]], stats: DataFrame | None, whole: bool) -> DataFrame:
+    """Shapes and finiteness of every vector feature and, when all rows were read, stored statistics against recomputed ones."""
+    found = model.findings(rows.limit(0), "LEROBOT_NUMERIC_NON_FINITE")
+    place = {"episode_index": F.col("episode_index"), "frame_index": F.col("frame_index"), "path": F.col("path")}
+    for name, shape in features:
+        odd = numeric.non_finite(rows.withColumnRenamed(name, "_v"), ["episode_index", "frame_index", "path", "row"], "_v")
+        found = found.unionByName(model.findings(odd, "LEROBOT_NUMERIC_NON_FINITE", feature_key=F.lit(name), location=F.concat_ws(":", "row", "dim"), **place))
+        if shape and len(shape) == 1:
+            wrong = rows.where(F.col(f"`{name}`").isNotNull()).groupBy("path", F.size(f"`{name}`").alias("width")).agg(F.count(F.lit(1)).alias("n")).where(F.col("width") != shape[0])
+            found = found.unionByName(model.findings(wrong, "LEROBOT_FEATURE_SHAPE_MISMATCH", feature_key=F.lit(name), path=F.col("path"), evidence=F.col("width").cast("string")))
+        if stats is None or not whole:
+            continue
+        own = stats.where(F.col("feature") == name)
+        lost = numeric.stats_incomplete(rows.sparkSession.createDataFrame([(name,)], "feature string"), own.groupBy("feature").pivot("field", ["min", "max", "mean", "std", "count"]).agg(F.first("value")), ["min", "max", "mean", "std", "count"])
+        found = found.unionByName(model.findings(lost, "LEROBOT_STATS_FIELD_MISSING", feature_key=F.col("feature"), evidence=F.col("field")))
+        bad = own.where(~numeric.finite(F.col("value")))
+        found = found.unionByName(model.findings(bad, "LEROBOT_STATS_NON_FINITE", feature_key=F.col("feature"), evidence=F.concat_ws(":", "field", "dim")))
+        now = numeric.moments(rows.withColumnRenamed(name, "_v"), "_v")
+        wide = own.where("field <> 'count'").groupBy("dim").pivot("field", ["min", "max", "mean", "std"]).agg(F.first("value"))
+        differs = numeric.stats_mismatch(wide, now)
+        found = found.unionByName(model.findings(differs, "LEROBOT_STATS_VALUE_MISMATCH", feature_key=F.lit(name), location=F.concat_ws(":", "field", "dim"), evidence=F.concat_ws("/", "stored", "recomputed")))
+        n = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        counted = own.where("field = 'count'").join(n, how="cross").where("value <> _n")
+        found = found.unionByName(model.findings(counted, "LEROBOT_STATS_COUNT_MISMATCH", feature_key=F.lit(name), evidence=F.concat_ws("/", "value", "_n")))
+    return found
+
+
+NUMERIC = ("float", "float16", "float32", "float64", "double", "int", "int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64")
+
+
+def audit(spark: SparkSession, root: str, integrity: str = "metadata") -> DataFrame:
+    """All findings of the data set at `root`, enriched, de-duplicated and ordered.
+
+    `metadata` looks at metadata, footers and schemas; `sample` also at the rows of the first, middle and last shard; `full` at every row.
+    """
     b = lerobot.read(spark, root)
     shards = files.footers(spark, b.inventory.where("kind = 'data' AND path LIKE '%.parquet'"))
     found = metadata_findings(b).unionByName(files.footer_findings(shards)).unionByName(schema_findings(b.features, shards)).unionByName(shard_findings(b, shards))
+    if integrity != "metadata":
+        vectors = [(r["feature"], r["shape"]) for r in b.features.where(F.col("dtype").isin(*NUMERIC)).orderBy("feature").collect() if r["feature"] not in frames.STANDARD]
+        rows = frames.read(spark, root, frames.selected(shards, integrity), [v for v, _ in vectors])
+        fps = (b.info.select("fps").first() or [None])[0]
+        there = b.inventory.where("path = 'meta/stats.json'").limit(1).count()
+        stats = metadata.stats(spark, f"{root.rstrip('/')}/meta/stats.json") if there else None
+        whole = integrity == "full"
+        found = found.unionByName(frame_findings(rows, b, fps, whole)).unionByName(vector_findings(rows, vectors, stats, whole))
+        if stats is None and whole:
+            found = found.unionByName(model.findings(spark.range(1), "LEROBOT_STATS_MISSING", path=F.lit("meta/stats.json")))
     found = findings.enrich(found, model.registry(spark))
     return findings.ordered(findings.deduplicated(found, ["code", "path", "episode_index", "frame_index", "feature_key", "location", "evidence"], ["layer", "code"]))
 

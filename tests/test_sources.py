@@ -158,3 +158,50 @@ def test_changes_between_versions(spark, v30, v21):
     found = {(r["component"], r["kind"]) for r in changes(a, b).collect()}
     assert {("tasks", "removed"), ("episodes", "content_changed"), ("inventory_data", "removed"), ("inventory_data", "added")} <= found
     assert diff.overall(changes(a, b)).first()["class"] == "material"
+
+
+@pytest.fixture
+def clean(v30):
+    """Two episodes of two frames with statistics that hold."""
+    action = pa.FixedSizeListArray.from_arrays(pa.array([0, 1, 0, 3, 2, 5, 2, 7], pa.float32()), 2)
+    frames = {"index": pa.array([0, 1, 2, 3]), "episode_index": pa.array([0, 0, 1, 1]), "frame_index": pa.array([0, 1, 0, 1]), "timestamp": pa.array([0.0, 0.1, 0.0, 0.1], pa.float32()), "task_index": pa.array([0, 0, 1, 1]), "action": action}
+    put_table(v30, "data/chunk-000/file-000.parquet", frames)
+    put(v30, "meta/info.json", json.dumps({"codebase_version": "v3.0", "fps": 10, "total_episodes": 2, "total_frames": 4, "total_tasks": 2, "features": {k: v for k, v in FEATURES.items() if k != "cam"}}))
+    put(v30, "meta/stats.json", json.dumps({"action": {"min": [0, 1], "max": [2, 7], "mean": [1, 4], "std": [1, 5**0.5], "count": [4]}}))
+    return v30, frames
+
+
+def full(spark, root):
+    from framewright.plans.audit import audit
+
+    return sorted({r["code"] for r in audit(spark, root, "full").collect()})
+
+
+def test_full_audit_of_a_clean_set(spark, clean):
+    assert full(spark, clean[0]) == []
+
+
+def test_full_audit_finds_row_defects(spark, clean):
+    root, frames = clean
+    action = pa.FixedSizeListArray.from_arrays(pa.array([0, 1, 0, float("nan"), 2, 5, 2, 7], pa.float32()), 2)
+    put_table(root, "data/chunk-000/file-000.parquet", frames | {"index": pa.array([0, 1, 1, 4]), "frame_index": pa.array([0, 0, 0, 2]), "timestamp": pa.array([0.0, 0.0, 0.5, 0.2], pa.float32()), "task_index": pa.array([0, None, 1, 9]), "action": action})
+    assert full(spark, root) == sorted([
+        "LEROBOT_FRAME_INDEX_DUPLICATE", "LEROBOT_GLOBAL_INDEX_DUPLICATE", "LEROBOT_GLOBAL_INDEX_NON_CONTIGUOUS", "LEROBOT_FRAME_INDEX_NON_CONTIGUOUS", "LEROBOT_TASK_REFERENCE_INVALID",
+        "LEROBOT_TIMESTAMP_NON_MONOTONIC", "LEROBOT_TIMESTAMP_OFF_GRID", "LEROBOT_NUMERIC_NON_FINITE", "LEROBOT_STATS_VALUE_MISMATCH",
+    ])
+
+
+def test_full_audit_of_statistics(spark, clean):
+    root, _ = clean
+    put(root, "meta/stats.json", json.dumps({"action": {"min": [0, 1], "max": [2, 7.5], "mean": [1, 4], "count": [5]}}))
+    assert full(spark, root) == ["LEROBOT_STATS_COUNT_MISMATCH", "LEROBOT_STATS_FIELD_MISSING", "LEROBOT_STATS_VALUE_MISMATCH"]
+    os.remove(f"{root}/meta/stats.json")
+    assert full(spark, root) == ["LEROBOT_STATS_MISSING"]
+
+
+def test_samples_read_three_shards(spark):
+    from framewright.sources import frames
+
+    feet = spark.createDataFrame([(f"data/{k:02d}", 1, [], None, False) for k in range(9)], "path string, num_rows long, columns array<struct<name string, type string>>, error string, unfinalized boolean")
+    assert sorted(r["path"] for r in frames.selected(feet, "sample").collect()) == ["data/00", "data/04", "data/08"]
+    assert frames.selected(feet, "metadata").count() == 0 and frames.selected(feet, "full").count() == 9
