@@ -128,3 +128,18 @@ def component_status(before: DataFrame, after: DataFrame) -> DataFrame:
     """changed or unchanged for each component from its fingerprints (component, fingerprint)."""
     both = before.select("component", F.col("fingerprint").alias("b")).join(after.select("component", F.col("fingerprint").alias("a")), "component", "full_outer")
     return both.select("component", F.when(F.col("a").eqNullSafe(F.col("b")), "unchanged").otherwise("changed").alias("status"))
+
+
+def facts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changed facts (component, name, value) of source, format and coverage: the kind is <name>_changed, for coverage just changed."""
+    both = before.select("component", "name", F.col("value").alias("b")).join(after.select("component", "name", F.col("value").alias("a")), ["component", "name"], "full_outer").where("NOT a <=> b")
+    kind = F.when(F.col("component") == "coverage", "changed").otherwise(F.concat("name", F.lit("_changed")))
+    cls = F.lit(None).cast("string")
+    for (component, k), c in CLASSES.items():
+        cls = F.when((F.col("component") == component) & (kind == k), c).otherwise(cls)
+    return both.select("component", kind.alias("kind"), F.concat(F.lit("/"), "component", F.lit("/"), pointer(F.col("name"))).alias("path"), F.coalesce(cls, F.lit("material")).alias("class"), F.col("b").alias("before"), F.col("a").alias("after"))
+
+
+def regressions(changes: DataFrame, components: Sequence[str] = ("features", "format", "video_streams")) -> DataFrame:
+    """Breaking changes of the components that a merge must not break."""
+    return changes.where((F.col("class") == "breaking") & F.col("component").isin(*components))

@@ -75,3 +75,53 @@ def license_check(licenses: DataFrame, markers: Sequence[str]) -> DataFrame:
     for m in markers:
         hit = hit | F.lower("license").contains(m)
     return licenses.select("source", F.when(F.col("license").isNull() | (F.trim("license") == ""), "unknown").when(hit, "incompatible").otherwise("direct").alias("status"))
+
+
+def format_check(facts: DataFrame) -> DataFrame:
+    """(check, status) over inputs (source, major): one supported major version is direct, a mix of 2 and 3 needs a transform, anything else is incompatible or, if missing, unknown."""
+    g = facts.agg(F.countDistinct("major").alias("n"), F.count_if(F.col("major").isNull()).alias("lost"), F.count_if(~F.col("major").isin(2, 3)).alias("other"))
+    status = F.when(F.col("other") > 0, "incompatible").when(F.col("lost") > 0, "unknown").when(F.col("n") > 1, "transform_required").otherwise("direct")
+    return g.select(F.lit("format_and_version").alias("check"), status.alias("status"))
+
+
+def coordinates_check(contracts: DataFrame) -> DataFrame:
+    """(key, status) over control contracts (source, feature, key, value): a differing coordinate or normalization is incompatible, one that some inputs state and others do not is unknown."""
+    n = contracts.agg(F.countDistinct("source").alias("_n"))
+    g = contracts.groupBy("feature", "key").agg(F.countDistinct("value").alias("n"), F.countDistinct(F.when(F.col("value").isNotNull(), F.col("source"))).alias("told"))
+    return g.join(F.broadcast(n), how="cross").select("feature", "key", F.when(F.col("n") > 1, "incompatible").when(F.col("told") < F.col("_n"), "unknown").otherwise("direct").alias("status"))
+
+
+def timing_check(streams: DataFrame) -> DataFrame:
+    """(camera, status, reason) over streams (source, camera, fps, resolution, codec): a camera that an input lacks or another fps is incompatible; another resolution or codec needs a transform."""
+    n = streams.agg(F.countDistinct("source").alias("_n"))
+    g = streams.groupBy("camera").agg(F.countDistinct("source").alias("n"), F.countDistinct("fps").alias("fps"), F.countDistinct("resolution").alias("resolution"), F.countDistinct("codec").alias("codec"), F.count_if(F.col("fps").isNull() | F.col("resolution").isNull()).alias("lost"))
+    reason = F.when(F.col("n") < F.col("_n"), "missing").when(F.col("fps") > 1, "fps").when(F.col("lost") > 0, "unknown").when(F.col("resolution") > 1, "resolution").when(F.col("codec") > 1, "codec")
+    status = F.when(reason.isNull(), "direct").when(reason.isin("missing", "fps"), "incompatible").when(reason == "unknown", "unknown").otherwise("transform_required")
+    return g.join(F.broadcast(n), how="cross").select("camera", status.alias("status"), F.coalesce(reason, F.lit("same")).alias("reason"))
+
+
+def lineage_check(sources: DataFrame) -> DataFrame:
+    """(identity, status) over sources (identity, revision): the same identity and revision twice is incompatible, an unpinned one unknown."""
+    g = sources.groupBy("identity", "revision").agg(F.count(F.lit(1)).alias("n"))
+    pinned = F.coalesce(F.col("revision").rlike("^[0-9a-f]{40}$"), F.lit(False))
+    return g.select("identity", F.when(F.col("n") > 1, "incompatible").when(~pinned, "unknown").otherwise("direct").alias("status"))
+
+
+def task_check(tasks: DataFrame, references: DataFrame) -> DataFrame:
+    """(source, task, reason) over tasks (source, task_index, task) and episode references (source, task): duplicate texts, duplicate indexes, undeclared references."""
+    dup = lambda c, why: tasks.groupBy("source", c).agg(F.count(F.lit(1)).alias("n"), F.min("task").alias("_t")).where("n > 1").select("source", F.col("_t").alias("task"), F.lit(why).alias("reason"))
+    lost = references.join(tasks.select("source", "task").distinct(), ["source", "task"], "left_anti").select("source", "task", F.lit("undeclared").alias("reason")).distinct()
+    return dup("task", "duplicate_text").unionByName(dup("task_index", "duplicate_index")).unionByName(lost)
+
+
+def task_remap(tasks: DataFrame) -> DataFrame:
+    """(source, task_index, task, merged_index): one index per distinct text over all inputs, in order of text; task tables are dimensions."""
+    merged = tasks.select("task").distinct()
+    from framewright.operators.sequence import ordinal
+
+    return tasks.join(ordinal(merged, ["task"], "merged_index"), "task").select("source", "task_index", "task", "merged_index")
+
+
+def verification(checks: DataFrame) -> DataFrame:
+    """passed if every check (check, status) passed, unverified without checks, else failed."""
+    return checks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "passed").alias("bad")).select(F.when(F.col("n") == 0, "unverified").when(F.col("bad") > 0, "failed").otherwise("passed").alias("status"), "n", "bad")

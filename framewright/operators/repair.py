@@ -44,3 +44,27 @@ def receipt(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """failed if any expected value is not there, unverified without expectations, else verified."""
     both = expected.join(actual.select("pointer", F.col("declared").alias("now")), "pointer", "left")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("after").eqNullSafe(F.col("now"))).alias("wrong")).select(F.when(F.col("n") == 0, "unverified").when(F.col("wrong") > 0, "failed").otherwise("verified").alias("status"), "n", "wrong")
+
+
+def refused(plan: DataFrame) -> DataFrame:
+    """Steps of a plan (pointer, before, after) that may not be applied: a place outside POINTERS, a repeated place, a negative or missing value."""
+    n = plan.groupBy("pointer").agg(F.count(F.lit(1)).alias("_n"))
+    reason = F.when(~F.col("pointer").isin(*POINTERS), "pointer").when(F.col("_n") > 1, "repeated").when(F.coalesce(F.col("after"), F.lit(-1)) < 0, "value")
+    return plan.join(n, "pointer").withColumn("reason", reason).where("reason IS NOT NULL").drop("_n")
+
+
+# Words in a code that make leaving it unresolved risky for training.
+RISKY = ("RANGE", "INDEX", "TIMESTAMP", "NON_FINITE", "SHAPE", "UNREADABLE", "MISSING")
+
+
+def unresolved(after: DataFrame) -> DataFrame:
+    """Findings that a repair leaves, with their risk: high for errors whose code has a word of RISKY, medium for other errors, else low."""
+    hit = F.lit(False)
+    for w in RISKY:
+        hit = hit | F.col("code").contains(w)
+    return after.withColumn("risk", F.when((F.col("severity") == "error") & hit, "high").when(F.col("severity") == "error", "medium").otherwise("low"))
+
+
+def stale(plan: DataFrame, now: DataFrame) -> DataFrame:
+    """Steps whose place no longer holds the value that the plan saw; such a plan must be made anew."""
+    return plan.join(now.select("pointer", F.col("declared").alias("now")), "pointer", "left").where("NOT before <=> now")
