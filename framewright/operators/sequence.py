@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import materialised
+
 #: Where an index is missing, its row comes last.
 LAST = (1 << 63) - 1
 
@@ -95,6 +97,19 @@ def out_of_range(segments: DataFrame, videos: DataFrame, path: str, end: str, du
     return segments.join(videos.select(path, duration, fps), path).where(F.col(end) > F.col(duration) + F.when(F.col(fps) > 0, 1 / F.col(fps)).otherwise(0))
 
 
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows sorted range by range, with _part and the place _within it; written down, as the ranges come from a sample and would differ between two reads."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    fixed = materialised(dealt, "ranged")
+    return fixed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_within", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def _before(parts: DataFrame, value: Column) -> DataFrame:
+    """For each range the sum of `value` over all ranges before it; one row per range."""
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+
+
 def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", group: Sequence[str] = ()) -> DataFrame:
     """Rank from 0 by `order`.
 
@@ -102,11 +117,8 @@ def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", group: S
     """
     if group:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
+    parts = _ranged(df, order)
+    return parts.join(F.broadcast(_before(parts, F.lit(1))), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
 
 
 def sample_ends(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -146,13 +158,11 @@ def budget_prefix(df: DataFrame, order: Sequence[str], size: str, budget: int) -
 
     Range by range the sums and the cut are found like `ordinal` finds ranks.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sums = parts.groupBy("_part").agg(F.sum(F.coalesce(F.col(size), F.lit(budget + 1)).cast("decimal(38,0)")).alias("_s"))
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    own = F.sum(F.coalesce(F.col(size), F.lit(budget + 1)).cast("decimal(38,0)")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    run = parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("running", F.col("_own") + F.col("_before"))
-    return run.where(F.col("running") <= budget).withColumn("running", F.col("running").cast("long")).drop("_part", "_own", "_before")
+    amount = F.coalesce(F.col(size), F.lit(budget + 1)).cast("decimal(38,0)")
+    parts = _ranged(df, order)
+    own = F.sum(amount).over(Window.partitionBy("_part").orderBy("_within").rowsBetween(Window.unboundedPreceding, 0))
+    run = parts.withColumn("_own", own).join(F.broadcast(_before(parts, amount)), "_part").withColumn("running", F.col("_own") + F.col("_before"))
+    return run.where(F.col("running") <= budget).withColumn("running", F.col("running").cast("long")).drop("_part", "_within", "_own", "_before")
 
 
 def stride_sample(df: DataFrame, group: Sequence[str], order: Sequence[str], points: int) -> DataFrame:

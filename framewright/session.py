@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "framewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,3 +22,19 @@ def build_session(name: str = "framewright", master: str | None = None, **conf:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`, else one below the warehouse (single-machine tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/framewright-shared"
+
+
+def materialised(df: DataFrame, what: str = "frame") -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again.
+
+    It cuts the lineage, survives lost executors, and fixes values that depend on how rows happen to be dealt.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

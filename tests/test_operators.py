@@ -58,13 +58,16 @@ def test_two_kinds_of_samples_differ(spark):
     assert sorted(r["id"] for r in sequence.sample_ends(df, ["id"]).collect()) == [0, 1, 3]
 
 
-def test_ordinals_and_budgets_over_many_partitions(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ordinals_and_budgets_over_many_partitions(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     df = spark.range(1000).repartition(7)
     got = sequence.ordinal(df, ["id"]).collect()
     assert all(r["id"] == r["ordinal"] for r in got) and len(got) == 1000
     sizes = df.withColumn("size", F.when(F.col("id") == 40, F.lit(None)).otherwise(F.lit(1)))
     assert sequence.budget_prefix(sizes, ["id"], "size", 500).count() == 40
     assert sequence.budget_prefix(df.withColumn("size", F.lit(7)), ["id"], "size", 70).count() == 10
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_moments_drop_rows_with_any_odd_element(spark):
