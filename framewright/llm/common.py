@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -10,10 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.session import materialised, shared_dir
+
 #: The white space of every contract here: space and U+0009 to U+000D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
-MASK = (1 << 64) - 1
+#: Written into the shared folder and read again: cuts the lineage and survives lost executors.
+stash = materialised
+
+__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "chained", "in_batches", "joined", "lean", "mix", "run_hashes", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
 
 
 #: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
@@ -56,22 +60,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`, else one below the warehouse (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/framewright-shared"
-
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_batches(texts: Iterable[bytes], limit: int = 400_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `limit` bytes in all, each with the index of its first; a longer text is a run of its own."""
     start, held, size = 0, [], 0
