@@ -3,7 +3,7 @@
 A seed is the hash of the words at the kept positions of a fixed mask; words at ignored positions may
 differ. Each benchmark item gives a seed for each mask and offset, each document one for each mask and word;
 equal seeds are hits. Around a hit the item is laid over the document and the best-scoring aligned stretch (a
-match counts 1, a substituted word -2) is found; the document is contaminated by the item when that
+match counts 1, a substituted word -1) is found; the document is contaminated by the item when that
 stretch holds at least `share` of the item's words as matches and at least `least` of them (all, for a shorter item).
 Words are runs of other than ASCII white space, A-Z lower-cased.
 
@@ -99,7 +99,7 @@ class Index:
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     """First and last index and matches of the stretch with the highest score, by prefix sums and their running minimum."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.argmin(total[: end + 1]))
