@@ -37,7 +37,7 @@ from framewright.llm.components import components
 SHINGLE = 4
 PERCENT = 85
 #: Frequent shingles: at least SEEN times in one task's window of PER_COUNT shingles; at most FREQUENT of them are sorted behind the others.
-SEEN, PER_COUNT, FREQUENT = 3, 1_000_000, 500_000
+SEEN, PER_COUNT, FREQUENT = 2, 3_000_000, 1_000_000
 SKETCH_WORDS, WIDE_FROM = 8, 512
 BLOCK = 256
 #: Most bits, as a power of two, of the filter that tells which texts verification needs; a full filter costs time only.
