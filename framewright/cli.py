@@ -1,4 +1,4 @@
-"""python -m framewright.cli audit|diff|totals ROOT [ROOT]: exit 0 accepted, 2 a negative verdict, 1 a failure."""
+"""python -m framewright.cli audit ROOT | diff ROOT ROOT | readiness ROOT --profile FILE: exit 0 accepted, 2 a negative verdict, 1 a failure."""
 
 from __future__ import annotations
 
@@ -12,17 +12,23 @@ from framewright.sources import lerobot
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="framewright")
-    parser.add_argument("command", choices=("audit", "diff"))
+    parser.add_argument("command", choices=("audit", "diff", "readiness"))
     parser.add_argument("roots", nargs="+")
     parser.add_argument("--output", required=True)
+    parser.add_argument("--integrity", choices=("metadata", "sample", "full"), default="metadata")
+    parser.add_argument("--profile")
     given = parser.parse_args(args)
     if given.command == "diff" and len(given.roots) != 2:
         parser.error("diff takes two roots")
+    if given.command == "readiness" and not given.profile:
+        parser.error("readiness takes a profile")
     spark = build_session()
     if given.command == "audit":
-        result = render.audit_json(audit.audit(spark, given.roots[0]))
+        result = render.audit_json(audit.audit(spark, given.roots[0], given.integrity))
         render.write_json(given.output, result)
         return 0 if result["accepted"] else 2
+    if given.command == "readiness":
+        return _readiness(spark, given)
     from framewright.operators import diff
 
     changes = audit.changes(*(lerobot.read(spark, r) for r in given.roots))
@@ -31,6 +37,21 @@ def main(args: list[str] | None = None) -> int:
     return 2 if top["class"] == "breaking" else 0
 
 
+def _readiness(spark, given) -> int:
+    from framewright.plans import profiles
+
+    with open(given.profile, encoding="utf-8") as f:
+        profile = profiles.load(f.read())
+    root = given.roots[0]
+    coverage = spark.createDataFrame([("meta.info", "complete", given.integrity), ("data.rows", {"metadata": "unavailable", "sample": "partial", "full": "complete"}[given.integrity], given.integrity)], "capability string, status string, integrity string")
+    status, blockers, gaps = profiles.evaluate(spark, profile, lerobot.read(spark, root), audit.audit(spark, root, given.integrity), coverage)
+    verdict = status.first()["status"]
+    blocking, open_gaps = render.report_rows(blockers), render.report_rows(gaps)
+    render.write_json(given.output, {"status": verdict, "blockers": blocking, "gaps": open_gaps})
+    render.write_text(f"{given.output}.md", render.readiness_markdown(verdict, [{"code": b["code"], "key": b["about"]} for b in blocking], open_gaps))
+    return 0 if verdict == "READY" else 2
+
+
 if __name__ == "__main__":
     try:
         sys.exit(main())

@@ -99,3 +99,20 @@ def test_media_helpers(spark):
     assert [tuple(r) for r in got.collect()] == [(3, "cam", "videos/cam/episode_000003.mp4")]
     probed = media.probe(files.withColumn("uri", F.lit("file:/nowhere.mp4")))
     assert {r["error"] for r in probed.collect()} <= {"no decoder", "cannot open"}
+
+
+def test_command_line(spark, v30, tmp_path):  # noqa: F811
+    from framewright import cli
+
+    out, profile = str(tmp_path / "out.json"), str(tmp_path / "profile.json")
+    assert cli.main(["audit", v30, "--output", out]) == 2
+    with open(out) as f:
+        assert {x["code"] for x in json.load(f)["findings"]} == {"LEROBOT_FEATURE_COLUMN_MISSING", "LEROBOT_VIDEO_RELATION_MISSING"}
+    assert cli.main(["diff", v30, v30, "--output", out]) == 0
+    with open(profile, "w") as f:
+        json.dump({"features": {"action": {}}, "capabilities": {"data.rows": "full"}}, f)
+    assert cli.main(["readiness", v30, "--profile", profile, "--output", out]) == 2
+    with open(out) as f:
+        assert json.load(f)["status"] == "BLOCKED"
+    with pytest.raises(SystemExit):
+        cli.main(["diff", v30, "--output", out])
