@@ -49,24 +49,32 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every row, and the compressed payload for the smallest page_id of each batch's equal payloads."""
+    """Digests of every row, and the compressed payload unless the task has seen it with a smaller page_id."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=6).compress
+    seen: dict[bytes, int] = {}
     for batch in batches:
         ids, urls, texts = batch.column(0).to_pylist(), batch.column(1), as_bytes(batch.column(2))
-        least: dict[bytes, int | None] = {}
-        for i, t in zip(ids, texts, strict=True):
-            if t not in least or i is not None and (least[t] is None or i < least[t]):
-                least[t] = i
+        checks = [hashlib.blake2b(t, digest_size=8).digest() for t in texts]
+        carried = []
+        least: dict[bytes, int] = {}
+        for i, c in zip(ids, checks, strict=True):
+            if i is not None:
+                least[c] = min(i, least.get(c, i))
+        for i, c, t in zip(ids, checks, texts, strict=True):
+            best = min((x for x in (least.get(c), seen.get(c)) if x is not None), default=None)
+            carried.append(pack(t) if i == best else None)
+        for c, i in least.items():
+            seen[c] = min(i, seen.get(c, i))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 urls,
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([sha1_base32(t) for t in texts], pa.string()),
-                pa.array([hashlib.blake2b(t, digest_size=8).digest() for t in texts], pa.binary()),
-                pa.array([pack(t) if least[t] == i else None for i, t in zip(ids, texts, strict=True)], pa.binary()),
+                pa.array(checks, pa.binary()),
+                pa.array(carried, pa.binary()),
             ],
             names=["page_id", "url", "n", "digest", "check", "packed"],
         )
