@@ -5,7 +5,8 @@ with the number of tags it took and the characters that lie in links. Each line'
 ratios are smoothed by a Gaussian over neighbouring lines, and two-means clustering of the smoothed
 values gives the threshold between content and the rest. A region is what one sectioning element holds (article, main, section,
 else the body); a region whose characters lie mostly in content lines is selected with all its lines, so
-that short paragraphs stay; an article or main element, where a page has one, is preferred. Elements that are no
+that short paragraphs stay; an article or main element, where a page has one, is preferred. A section inside an article or main
+is judged together with it and by itself, and stays if either holds; one that is mostly links only by itself. Elements that are no
 content by what they are (nav, footer, script, form, ...) or by the name they go by (class or id such as ad, menu, cookie,
 comment) are left out before that.
 
@@ -17,6 +18,7 @@ equal results; ties of the clustering fall to content. Only the named columns ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -64,6 +66,7 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = ["page"]
+        self.homes: list[int] = [0]
         self.stack: list[tuple[str, int]] = []
         self.skip: int | None = None
         self.region, self.links, self.tags, self.link_chars = 0, 0, 0, 0
@@ -115,7 +118,9 @@ class _Events(HTMLParser):
         self.stack.append((tag, self.region))
         self.links += tag == "a"
         if tag in REGION and self.skip is None:
+            home = self.homes[self.region]
             self.kinds.append(tag)
+            self.homes.append(home if tag == "section" and self.kinds[home] in ("article", "main") else len(self.homes))
             self.region = len(self.kinds) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -193,13 +198,19 @@ def main_text(html: str) -> str:
     ratio = np.array([max(0, len(x.text) - x.link_chars) / max(1, x.tags) for x in lines])
     smooth = smoothed(ratio)
     content = smooth >= min(two_means(smooth), float(np.median(smooth)) + 1e-9)
-    size, in_content, own = {}, {}, {}
+    size, in_content, linked = Counter(), Counter(), Counter()
     for x, c in zip(lines, content, strict=True):
-        size[x.region] = size.get(x.region, 0) + len(x.text)
-        in_content[x.region] = in_content.get(x.region, 0) + c * (len(x.text) - x.link_chars)
-        own[x.region] = own.get(x.region, 0) + 1
-    preferred = {r for r in size if parser.kinds[r] in ("article", "main")}
-    chosen = {r for r in (preferred or size) if in_content[r] * 2 >= size[r]}
+        size[x.region] += len(x.text)
+        in_content[x.region] += c * (len(x.text) - x.link_chars)
+        linked[x.region] += x.link_chars
+    # the region with which each is judged: a section of an article or main with that, unless it is mostly links
+    whole = {r: r if linked[r] * 2 > size[r] else parser.homes[r] for r in size}
+    whole_size, whole_content = Counter(), Counter()
+    for r, w in whole.items():
+        whole_size[w] += size[r]
+        whole_content[w] += in_content[r]
+    preferred = {r for r in size if parser.kinds[parser.homes[r]] in ("article", "main")}
+    chosen = {r for r in (preferred or size) if in_content[r] * 2 >= size[r] or whole_content[whole[r]] * 2 >= whole_size[whole[r]]}
     chosen = chosen or preferred
     if chosen:
         return "\n".join(x.text for x in lines if x.region in chosen)

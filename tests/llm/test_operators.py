@@ -161,6 +161,18 @@ def test_main_text(html, text):
     assert op3_html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<main><h1>T</h1><section><p>" + "long text " * 20 + "</p></section></main>", "T\n" + ("long text " * 20).strip()),
+        ("<article><h1>T</h1><section><h2>A</h2><p>" + "first part " * 20 + "</p><section><h3>B</h3><p>short</p></section></section></article>", "T\nA\n" + ("first part " * 20).strip() + "\nB\nshort"),
+        ("<main><h1>T</h1><section><p>" + "long text " * 20 + "</p></section><section><a href='/1'>one</a> <a href='/2'>two</a></section></main>", "T\n" + ("long text " * 20).strip()),
+    ],
+)
+def test_sections_below_a_heading_belong_to_their_article(html, text):
+    assert op3_html_text.main_text(html) == text
+
+
 def test_extract_text_edges(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "<article><p>" + "w " * 50_000 + "</p></article>", "x"), (3, "u", "<p>é</p>", "x")]
     got = sorted((r["page_id"], r["n_chars"], r["url"]) for r in op3_html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
