@@ -8,7 +8,9 @@ else the body); a region whose characters lie mostly in content lines is selecte
 that short paragraphs stay; an article or main element, where a page has one, is preferred. A section inside an article or main
 is judged together with it and by itself, and stays if either holds; one that is mostly links only by itself. Elements that are no
 content by what they are (nav, footer, script, form, ...) or by the name they go by (class or id such as ad, menu, cookie,
-comment) are left out before that.
+comment) are left out before that. A compound name counts outside article and main if one of its parts is such a name, inside if it is a class all of whose
+parts are; a heading goes only by a class as it stands. An element that holds a main never goes by name, one that holds an article not by a
+compound name, unless that is what lists of comments or other pages are called. A page that loses all its lines is read again without names.
 
 Null, empty and markup-free pages give what text there is: null and empty give an empty text, a page
 without tags its whole text as one block. Unclosed, crossed and truncated markup is read as far as it goes. Repeated rows get
@@ -46,6 +48,9 @@ NAMED = frozenset(
 )
 #: Of these, what an article's own title block is called, too.
 TITLED = frozenset("header banner masthead".split())
+#: Of these, what holds articles that are not the page's own.
+OTHERS = frozenset("comment comments commentlist disqus promo promoted promotion related reply replies respond sponsor sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: p and these end when one of the same kind, or for p any block, begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 2.0
@@ -60,14 +65,19 @@ class Line:
 
 
 class _Events(HTMLParser):
-    """Turns parser events into lines; `skip` is the depth of the stack at which a dropped element began."""
+    """Turns parser events into lines; `skip` is the depth of the stack at which a dropped element began.
 
-    def __init__(self) -> None:
+    Elements are counted as they start; those of `spared` do not go by name, none does without `named`. `holders` gets those that went by name though they hold an article or main.
+    """
+
+    def __init__(self, named: bool = True, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.named, self.spared, self.holders = named, spared, set()
+        self.count, self.why = 0, ""
         self.lines: list[Line] = []
         self.kinds: list[str] = ["page"]
         self.homes: list[int] = [0]
-        self.stack: list[tuple[str, int]] = []
+        self.stack: list[tuple[str, int, int]] = []
         self.skip: int | None = None
         self.region, self.links, self.tags, self.link_chars = 0, 0, 0, 0
         self.held: list[str] = []
@@ -83,7 +93,7 @@ class _Events(HTMLParser):
     def _pop(self, to: int) -> None:
         """Close what is open above depth `to`."""
         while len(self.stack) > to:
-            tag, region = self.stack.pop()
+            tag, region, _ = self.stack.pop()
             self.region = region
             self.links -= tag == "a"
         if self.skip is not None and len(self.stack) <= self.skip:
@@ -109,13 +119,17 @@ class _Events(HTMLParser):
             if tag == "br" and self.skip is None:
                 self.held.append(" ")
             return
-        if self.skip is None and (tag in DROPPED or attrs and _boilerplate(tag, attrs, self.stack)):
-            self.flush()
-            self.skip = len(self.stack)
-        elif tag == "header" and self.skip is None and not any(t in ("article", "main") for t, _ in self.stack):
-            self.flush()
-            self.skip = len(self.stack)
-        self.stack.append((tag, self.region))
+        self.count += 1
+        if self.skip is None:
+            why = "kind" if tag in DROPPED else _boilerplate(tag, attrs, self.stack, self.named and self.count not in self.spared) if attrs else ""
+            if not why and tag == "header" and not any(t in ("article", "main") for t, *_ in self.stack):
+                why = "kind"
+            if why:
+                self.flush()
+                self.skip, self.why = len(self.stack), why
+        elif tag == "main" and self.why != "kind" or tag == "article" and self.why == "compound":
+            self.holders.update(n for *_, n in self.stack[self.skip :])
+        self.stack.append((tag, self.region, self.count))
         self.links += tag == "a"
         if tag in REGION and self.skip is None:
             home = self.homes[self.region]
@@ -148,21 +162,25 @@ class _Events(HTMLParser):
                 self.link_chars += len(data)
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], stack: list[tuple[str, int]]) -> bool:
-    """By class, id or role: a name of NAMED as it stands, or as a part of a compound name outside article, main and body."""
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], stack: list[tuple[str, int, int]], named: bool) -> str:
+    """Why an element goes by its attributes: "kind" (hidden), "name" (one of NAMED as it stands, or a part of OTHERS), "compound" (a part of a name), or "" if it does not."""
     if tag in ("html", "body"):
-        return False
-    inside = tag in ("article", "main") or any(t in ("article", "main") for t, _ in stack)
+        return ""
+    inside = tag in ("article", "main") or any(t in ("article", "main") for t, *_ in stack)
+    found = ""
     for key, value in attrs:
-        if key in ("class", "id", "role") and value:
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "kind"
+        if named and key in ("class", "id", "role") and value and not (tag in HEADINGS and key == "id"):
             for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
                 if name in NAMED and not (inside and name in TITLED):
-                    return True
-                if tag not in ("article", "main") and not NAMED.isdisjoint(set(re.split(r"[^a-z]+", name)) - TITLED):
-                    return True
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+                    found = "name"
+                elif tag not in ("article", "main") and tag not in HEADINGS and not found:
+                    parts = {p for p in re.split(r"[^a-z]+", name) if p}
+                    counted = parts & (NAMED - TITLED)
+                    if counted and (not inside or key == "class" and counted == parts):
+                        found = "compound" if parts.isdisjoint(OTHERS) else "name"
+    return found
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -187,11 +205,20 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str) -> str:
-    parser = _Events()
+def _read(html: str, named: bool = True, spared: frozenset[int] = frozenset()) -> _Events:
+    parser = _Events(named, spared)
     parser.feed(html)
     parser.close()
     parser.flush()
+    return parser
+
+
+def main_text(html: str) -> str:
+    parser = _read(html)
+    if parser.holders:
+        parser = _read(html, spared=frozenset(parser.holders))
+    if not parser.lines:
+        parser = _read(html, named=False)
     lines = parser.lines
     if not lines:
         return ""

@@ -173,6 +173,24 @@ def test_sections_below_a_heading_belong_to_their_article(html, text):
     assert op3_html_text.main_text(html) == text
 
 
+LONG = ("long text " * 20).strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><h1>T</h1><h2 id='related-work'>Related work</h2><p>{LONG}</p></article>", f"T\nRelated work\n{LONG}"),
+        (f"<article><h1>T</h1><section id='privacy-and-security'><p>{LONG}</p></section><p class='ad-hoc'>{LONG}</p></article>", f"T\n{LONG}\n{LONG}"),
+        (f"<div class='content-sidebar-wrap'><div class='has-sidebar'><main><p>{LONG}</p></main></div><div class='sidebar'>no</div></div><div>no</div>", LONG),
+        (f"<div class='no-ads-wrap'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='comments-area'><article>no no no</article></div>", LONG),
+        (f"<div hidden><main>no</main></div><div class='widget-page'><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_compound_names_leave_the_main_text(html, text):
+    assert op3_html_text.main_text(html) == text
+
+
 def test_extract_text_edges(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "<article><p>" + "w " * 50_000 + "</p></article>", "x"), (3, "u", "<p>é</p>", "x")]
     got = sorted((r["page_id"], r["n_chars"], r["url"]) for r in op3_html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
