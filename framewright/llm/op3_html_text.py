@@ -104,15 +104,16 @@ class _Events(HTMLParser):
         for depth in range(len(self.stack) - 1, -1, -1):
             name = self.stack[depth][0]
             if names and name in names or name == "p" and tag in BLOCK:
-                return self._pop(depth)
-            if name in BLOCK:
-                return None
-        return None
+                self._pop(depth)
+            elif name in BLOCK or name in DROPPED:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
-        if block and self.skip is None:
-            self.flush()
+        if block:
+            if self.skip is None:
+                self.flush()
+            # inside a dropped element, too: its own end may be an implied one
             self._close_before(tag)
         self.tags += 1
         if tag in VOID:

@@ -191,6 +191,20 @@ def test_compound_names_leave_the_main_text(html, text):
     assert op3_html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p class='notice'>x<p>text<p>text</article>", "text\ntext"),
+        ("<article><ul><li class='ad'>x<li>text<li class='ad'><p>x<li>more</ul></article>", "text\nmore"),
+        ("<article><table><tr class='ad'><td>x<tr><td>text</table></article>", "text"),
+        ("<article><p>text <button><div>x</div>y</button> more</p></article>", "text\nmore"),
+        ("<article><p class='ad'>x<nav><p>y<p>z</nav><p>text</article>", "text"),
+    ],
+)
+def test_implied_end_tags_end_a_dropped_element(html, text):
+    assert op3_html_text.main_text(html) == text
+
+
 def test_extract_text_edges(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "<article><p>" + "w " * 50_000 + "</p></article>", "x"), (3, "u", "<p>é</p>", "x")]
     got = sorted((r["page_id"], r["n_chars"], r["url"]) for r in op3_html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
