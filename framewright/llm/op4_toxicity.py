@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text; t
 toxic one adds the words that mark toxic text. A window is a word between its delimiters. Its margin is the
 length it compresses to with the ordinary dictionary less the length with the toxic one; a carrier string that both
 dictionaries hold stands before and after it, so that zstandard emits a compressed block even for a short window. The words that a
-dictionary gets are chosen from labelled texts: those holding character 5-grams that occur in a far larger share of toxic than
+dictionary gets are chosen from labelled texts: those that occur, or hold character 5-grams that occur, in a far larger share of toxic than
 of ordinary texts go to the toxic one, those in most ordinary texts to the ordinary one.
 
 A text's evidence is the sum of its distinct windows' margins above a threshold; threshold and the monotone map from
@@ -33,7 +33,8 @@ LEVEL = 9
 DICTIONARY_WORDS, WINDOW, KEPT = 1500, 48, 500_000
 #: A 5-gram marks toxic text from this many texts, this share of toxic texts and this ratio of shares on.
 LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
-#: A word with such 5-grams goes into the toxic dictionary from this share of toxic texts on.
+#: A word that has such 5-grams, or is so marked itself, goes into the toxic dictionary from this share of toxic texts on; ordinary texts
+#: may hold it, as long as the ratio of shares is reached, so a larger sample does not evict it.
 WORD_SHARE = 0.003
 BEFORE = bytes([*range(1, 9), *range(14, 32), *range(0x80, 0xA0)])
 AFTER = bytes(range(0xC0, 0xE0))
@@ -166,19 +167,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     usual = {r["item"]: r["o"] for r in counts.where("kind = 'w' AND ratio < 2").orderBy(F.desc("o"), "item").limit(4 * DICTIONARY_WORDS).collect()}
     ordinary = list(usual)[:DICTIONARY_WORDS]
     marks = {r["item"]: r["ratio"] * min(r["t"], 50) for r in counts.where("kind = 'g'").orderBy(F.desc(F.col("ratio") * F.least(F.col("t"), F.lit(50))), "item").limit(4 * DICTIONARY_WORDS).collect()}
-    if not marks:
+    of_marks = counts.where(f"kind = 'w' AND ratio >= {LEAST_RATIO / 4} AND (o = 0 OR ratio >= {LEAST_RATIO}) AND t >= {max(2, WORD_SHARE * n1)}").orderBy(F.desc("t"), "item").limit(40 * DICTIONARY_WORDS)
+    found = of_marks.collect()
+    texts_of = {r["item"]: r["t"] for r in found}
+    own = {r["item"]: r["ratio"] * min(r["t"], 50) for r in found if r["ratio"] >= LEAST_RATIO and r["t"] >= max(LEAST_TEXTS, LEAST_SHARE * n1)}
+    if not marks and not own:
         return Model()
-    of_marks = counts.where(f"kind = 'w' AND ratio >= {LEAST_RATIO / 4} AND o = 0 AND t >= {max(2, WORD_SHARE * n1)}").orderBy(F.desc("t"), "item").limit(40 * DICTIONARY_WORDS)
-    texts_of = {r["item"]: r["t"] for r in of_marks.collect()}
-    strength = {w: max((marks.get(g, 0) for g in grams(w)), default=0) for w in texts_of}
+    strength = {w: max([own.get(w, 0), *(marks.get(g, 0) for g in grams(w))]) for w in texts_of}
     chosen = [w for w, x in sorted(strength.items(), key=lambda x: (-x[1], x[0])) if x > 0][:DICTIONARY_WORDS]
     model = _with_words(chosen, ordinary)
-    # a chosen word that shortens a usual word which is more frequent than itself goes out again
+    # a chosen word that shortens a usual word whose share of ordinary texts is larger than its own of toxic texts goes out again
     against: dict[str, int] = {}
     for word, n in usual.items():
         if model._measure(word.encode("utf-8", "surrogatepass")) > 1:
             against |= {g: max(n, against.get(g, 0)) for g in grams(word, 4)}
-    model = _with_words([w for w in chosen if all(against.get(g, 0) <= texts_of[w] for g in grams(w, 4))], ordinary)
+    model = _with_words([w for w in chosen if all(against.get(g, 0) / n0 <= texts_of[w] / n1 for g in grams(w, 4))], ordinary)
     shared = spark.sparkContext.broadcast(model)
     measured = texts.mapInArrow(lean(_evidence(shared)), "toxic int, margins string").groupBy("toxic", "margins").agg(F.count(F.lit(1)).alias("n")).collect()
     cases = [(r["toxic"], [int(x) for x in r["margins"].split(",") if x], r["n"] * (seen[r["toxic"]] / (n1 if r["toxic"] else n0))) for r in measured]

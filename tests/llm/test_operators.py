@@ -241,6 +241,17 @@ def test_toxicity_held_out_accuracy(spark):
     assert op4_toxicity.toxicity(docs, op4_toxicity.train(docs, marked.where("toxic = 1"))).agg({"score": "max"}).first()[0] == 0
 
 
+def test_toxicity_keeps_words_that_an_ordinary_text_quotes(spark):
+    texts, labels = toxic_corpus(600)
+    quoted = [a + b for a in ("grobbelnix", "vilewretch", "stinkomat") for b in ("", "s", "er")]
+    for k, word in zip([k for k, t in labels if not t], quoted, strict=False):
+        texts[k] += " " + word
+    docs = frame(spark, texts)
+    model = op4_toxicity.train(docs, spark.createDataFrame(labels[:400], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in op4_toxicity.toxicity(docs, model).collect()}
+    assert sum(got[k] != t for k, t in labels if k >= 400) <= 6
+
+
 def bpe():
     import public_tokenizers as public
 
