@@ -1,6 +1,11 @@
-"""Line dedup over content-defined chunks.
+"""Line dedup over repeated runs of lines; and over content-defined chunks.
 
-A rolling hash over the last WINDOW line hashes closes a chunk where it is a multiple of EVERY, so boundaries move
+The query (`drop_repeated_runs`) takes every two lines that follow one another as a chunk of its own, so that any run of at least two lines
+that stands in an earlier document, or earlier in its own, is covered whole by chunks that repeat. Chunks meet by the hashes of both lines; all
+lines meet by (hash, bytes), and a hash that two lines share drops nothing, so equality is decided on the bytes. The document with the
+smallest doc_id keeps a chunk. A line that goes stays in a document with a smaller doc_id or earlier in its own.
+
+`drop_repeated_chunks` cuts each text once instead, and finds a repeated run only where boundaries fall inside it: a rolling hash over the last WINDOW line hashes closes a chunk where it is a multiple of EVERY, so boundaries move
 with the text when lines are put in or taken out; a chunk of MOST lines closes anyway. Chunks of at least two
 lines meet globally by (hash, bytes): equality is decided on the bytes, in each task, in Spark's combining before
 the shuffle and after it. Where one content stands in several documents, the one with the smallest doc_id keeps it; the
@@ -140,5 +145,110 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return matched.mapInArrow(lean(_cleaned), CLEANED)
 
 
+class Lines:
+    """Lines of a batch of texts and the pairs of neighbours: pair p is of lines pair[p] and pair[p] + 1."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data, self.edges = joined(texts)
+        self.end = np.flatnonzero(self.data == 10)
+        self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
+        self.hash = signed(run_hashes(self.data, self.start, self.end))
+        self.first = np.searchsorted(self.start, self.edges)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.pair = np.flatnonzero(self.text[1:] == self.text[:-1])
+
+    def firsts(self) -> np.ndarray:
+        """For each pair the place in `pair` of the first equal one of its text."""
+        a, b, t = self.hash[self.pair], self.hash[self.pair + 1], self.text[self.pair]
+        order = np.lexsort((self.pair, b, a, t))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]) | (t[order[1:]] != t[order[:-1]])
+        out = np.empty(len(order), np.int64)
+        out[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
+        return out
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, content) of lines, each once for as long as it is held."""
+    known: dict[int, bytes] = {}
+    held: set[tuple[int, bytes]] = set()
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        # held: further lines of a hash that is known
+        rows = [*known.items(), *held]
+        for i in range(0, len(rows), 20_000):
+            part = rows[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=["hash", "content"])
+
+    for batch in batches:
+        for _, part in in_batches(as_bytes(batch.column(0))):
+            lines = Lines(part)
+            for h, content in zip(lines.hash.tolist(), (c for t in part for c in t.split(b"\n")), strict=True):
+                if (seen := known.setdefault(h, content)) is content:
+                    size += len(content) + 200
+                elif seen != content:
+                    held.add((h, content))
+        if size > HELD_BYTES:
+            yield from out()
+            known.clear()
+            held.clear()
+            size = 0
+    yield from out()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, doc): the hashes of two lines that follow one another, once for each text."""
+    for batch in batches:
+        ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+        for at, part in in_batches(as_bytes(batch.column(1))):
+            lines = Lines(part)
+            p = lines.pair[lines.firsts() == np.arange(len(lines.pair))]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.hash[p]), pa.array(lines.hash[p + 1]), pa.array(ids[at + lines.text[p]])], names=["a", "b", "doc"])
+
+
+def _without(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsure: np.ndarray = shared.value
+        for batch in batches:
+            ids, drops = batch.column(0), batch.column(2)
+            for at, part in in_batches(as_bytes(batch.column(1))):
+                lines = Lines(part)
+                p, first = lines.pair, lines.firsts()
+                # a copy that overlaps the first one of its text is part of that
+                drop = p - p[first] >= LEAST if len(p) else np.empty(0, bool)
+                of = np.searchsorted(lines.text[p], np.arange(len(part) + 1))
+                for k in range(len(part)):
+                    found = drops[at + k]
+                    if found.is_valid:
+                        gone = set(zip(found.values.field("a").to_pylist(), found.values.field("b").to_pylist(), strict=True))
+                        mine = p[of[k] : of[k + 1]]
+                        drop[of[k] : of[k + 1]] |= np.fromiter((x in gone for x in zip(lines.hash[mine].tolist(), lines.hash[mine + 1].tolist(), strict=True)), bool, len(mine))
+                if len(unsure):
+                    drop &= ~(np.isin(lines.hash[p], unsure) | np.isin(lines.hash[p + 1], unsure))
+                gone = np.zeros(len(lines.start), bool)
+                gone[p[drop]] = gone[p[drop] + 1] = True
+                removed = np.add.reduceat(gone.astype(np.int32), lines.first[:-1]) if len(part) else np.empty(0, np.int32)
+                texts = [t if not n else b"\n".join(c for c, g in zip(t.split(b"\n"), gone[lines.first[k] : lines.first[k + 1]].tolist(), strict=True) if not g) for k, (t, n) in enumerate(zip(part, removed.tolist(), strict=True))]
+                texts = [t.decode("utf-8", "surrogatepass") for t in texts]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(np.diff(lines.first).astype(np.int32)), pa.array(removed.astype(np.int32)), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
+
+    return run
+
+
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: doc_id, n_lines, n_removed (lines), n_chars and text without the lines of repeated runs of at least two."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lines = base.select("text").mapInArrow(lean(_lines), "hash long, content binary").repartition("hash").groupBy("hash", "content").agg(F.count(F.lit(1)).alias("n"))
+    # hashes of several lines: none, but for one chance in many
+    unsure = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash").toArrow().column("hash").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(unsure)
+    pairs = base.mapInArrow(lean(_pairs), "a long, b long, doc long")
+    first = pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
+    later = pairs.join(first, ["a", "b"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+    matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
+    return matched.mapInArrow(lean(_without(shared)), CLEANED)
+
+
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    return drop_repeated_runs(table(spark, sf_dir, "documents"))

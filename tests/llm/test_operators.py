@@ -137,6 +137,34 @@ def test_line_chunks_against_brute_force(spark):
         assert got[d] == (b"\n".join(kept).decode(), removed), d
 
 
+def runs_of_lines_gone(texts):
+    """Kept lines of each text, by comparing neighbouring lines themselves: what stood in an earlier text, or two lines earlier in its own, goes."""
+    seen, out = set(), []
+    for t in texts:
+        lines = (t or "").split("\n")
+        pairs, first, gone = list(zip(lines, lines[1:], strict=False)), {}, set()
+        for k, p in enumerate(pairs):
+            if p in seen or k - first.setdefault(p, k) >= 2:
+                gone |= {k, k + 1}
+        seen |= set(pairs)
+        out.append(([x for k, x in enumerate(lines) if k not in gone], len(gone)))
+    return out
+
+
+def test_repeated_runs_of_lines_against_brute_force(spark):
+    r = random.Random(3)
+    lines = [" ".join(words(4, k)) for k in range(60)]
+    texts: list[str | None] = [None, "", "\n\n", "\n\n", "a\na\na\na", *("\n".join([f"own {k}", *lines[(s := r.randrange(50)) : s + r.randrange(1, 12)] * r.randrange(1, 3), f"end {k}"]) for k in range(60)), "\n".join(lines * 300)]
+    got = {x["doc_id"]: (x["text"].split("\n"), x["n_removed"], x["n_lines"]) for x in op2_line_chunks.drop_repeated_runs(frame(spark, texts)).collect()}
+    for d, (kept, n) in enumerate(runs_of_lines_gone(texts)):
+        assert got[d] == (kept or [""], n, (texts[d] or "").count("\n") + 1), d
+    passage = "\n".join(lines[:3])
+    rows = [("x\n" + passage + "\ny", 2), ("z\n" + passage, 2), ("q\n" + passage + "\nw", None), (passage, 5)]
+    got = sorted((x["doc_id"] or 99, x["text"]) for x in op2_line_chunks.drop_repeated_runs(frame(spark, *map(list, zip(*rows, strict=True)))).collect())
+    assert got == [(2, rows[0][0]), (2, rows[1][0]), (5, ""), (99, "q\nw")]
+    assert op2_line_chunks.drop_repeated_runs(frame(spark, [])).count() == 0
+
+
 def test_chunk_boundaries_move_with_the_text():
     lines = [" ".join(words(4, k)).encode() for k in range(200)]
     of = lambda x: {c.content(k) for c in [op2_line_chunks.Chunks([b"\n".join(x)])] for k in range(len(c.lines))}
