@@ -1,8 +1,8 @@
 """Substring dedup over sliding sentence spans.
 
 A sentence ends at a newline or after . ! ? before white space; one of over PIECE words is cut into several at words
-whose hash is a multiple of 8, and after 4 * PIECE words at the latest. From every sentence on, the shortest run of at least RUN sentences and WORDS words is hashed by its words (A-Z
-lower-cased, white space ignored). Equal hashes meet globally: a task sends each hash once per document, Spark adds up counts and
+whose hash is a multiple of 8, and after 4 * PIECE words at the latest. From every sentence on, and up to every sentence, the shortest run of at least RUN sentences and WORDS words is hashed by
+its words (A-Z lower-cased, white space ignored); the one or the other covers each sentence of a repeated passage that is long enough, its closing ones too. Equal hashes meet globally: a task sends each hash once per document, Spark adds up counts and
 the smallest doc_id before and after the shuffle, and each document with a larger doc_id gets the hash back.
 Its text is then cut again into runs, and every sentence that a returned run covers goes, as does any run that stood earlier in
 the same document. So a passage that any number of documents share stays once, in the document with the smallest doc_id.
@@ -58,9 +58,12 @@ class Runs:
         s = len(self.word) - 1
         # the run from each sentence: its last sentence is the first with enough sentences and words behind the run's start
         stop = np.maximum(np.arange(s) + run, np.searchsorted(self.word, self.word[:s] + least, "left"))
-        limit = np.repeat(self.first[1:], np.diff(self.first))
-        self.from_ = np.flatnonzero(stop <= limit)
-        self.stop = stop[self.from_]
+        from_ = np.flatnonzero(stop <= np.repeat(self.first[1:], np.diff(self.first)))
+        # the run up to each sentence, likewise
+        back = np.minimum(np.arange(1, s + 1) - run, np.searchsorted(self.word, self.word[1:] - least, "right") - 1)
+        last = np.flatnonzero(back >= np.repeat(self.first[:-1], np.diff(self.first)))
+        both = np.unique(np.concatenate([from_ * (s + 1) + stop[from_], back[last] * (s + 1) + last + 1]))
+        self.from_, self.stop = both // (s + 1), both % (s + 1)
         self.hash = span_hashes(hashes, self.word[self.from_], self.word[self.stop])
         self.text = np.searchsorted(self.first, self.from_, "right") - 1
 

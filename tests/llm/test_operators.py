@@ -458,6 +458,26 @@ def test_substring_dedup_against_brute_force(spark):
     assert got[len(texts) - 1]["n_removed"] > 0
 
 
+def sentences_gone(texts, run=2, least=20):
+    """For each text, a list of sentences, which of them lie in a run of enough sentences and words that an earlier text holds."""
+    seen, out = set(), []
+    for t in texts:
+        runs = [(i, j) for i in range(len(t)) for j in range(i + run, len(t) + 1) if sum(len(x.split()) for x in t[i:j]) >= least]
+        out.append({k for i, j in runs if tuple(t[i:j]) in seen for k in range(i, j)})
+        seen |= {tuple(t[i:j]) for i, j in runs}
+    return out
+
+
+def test_substring_dedup_covers_every_sentence_of_a_passage(spark):
+    r = random.Random(12)
+    sentences = [" ".join(words(r.randint(2, 14), 300 + k)) + "." for k in range(60)]
+    own = lambda: " ".join(words(r.randint(2, 14), r.randrange(10**6, 10**9))) + "."
+    texts = [[own(), *sentences[(s := r.randrange(50)) : s + r.randrange(1, 10)], own(), own()] for _ in range(80)]
+    got = {x["doc_id"]: x["text"] for x in op10_substring_dedup.drop_repeated_spans(frame(spark, [" ".join(t) for t in texts])).collect()}
+    for d, gone in enumerate(sentences_gone(texts)):
+        assert got[d] == " ".join(x for k, x in enumerate(texts[d]) if k not in gone), d
+
+
 def test_substring_dedup_keeps_unique_text_and_rows_of_one_document(spark):
     text = "  First of all.  Then " + " ".join(words(40, 1)) + ".\n End "
     docs = frame(spark, [text, text, "Other. " + text], [1, 1, 2])
