@@ -8,7 +8,8 @@ stretch holds at least `share` of the item's words as matches and at least `leas
 Words are runs of other than ASCII white space, A-Z lower-cased.
 
 The seeds of the items are a sorted array in each task, at most SEEDS entries; a larger benchmark is cut into parts
-of at most that many seeds, with one pass over the documents for each part. Null or empty texts and items have no words and give no
+of at most that many seeds, with one pass over the documents for each part. What a part finds travels with its row into the next pass, so rows
+are never matched up by doc_id. Null or empty texts and items have no words and give no
 hits. Repeated items count once each by item_id; repeated documents get equal results; of equally good items the smallest item_id is named. An
 item shorter than the masks is sought by all its words. Only the named columns are read.
 """
@@ -28,7 +29,8 @@ from framewright.llm.common import as_bytes, in_batches, lean, mix, table, words
 MASKS = ("1110110111", "1101011011", "1011101101", "11111111")
 SEEDS = 2_000_000
 SHARE, LEAST = 0.5, 8
-HIT = "doc_id long, contaminated boolean, n_items int, item_id long, overlap double, first_word long, last_word long"
+#: What a row carries from pass to pass: its text, and the best item so far.
+CARRIED = "doc_id long, text binary, n_items int, item_id long, overlap double, first_word long, last_word long"
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -106,26 +108,37 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end - 1, int(same[start:end].sum())
 
 
-def _searched(shared, share: float, least: int):
+def _searched(shared, share: float, least: int, last_pass: bool):
+    """A pass: rows of CARRIED, with the items of the index counted in; the last one gives no texts back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            ids = batch.column(0)
             for at, part in in_batches(as_bytes(batch.column(1))):
+                ids, text, *before = (c.slice(at, len(part)) for c in batch.columns)
                 words, edges = words_of(part)
-                n, best = [set() for _ in part], [None] * len(part)
+                n, best = [set() for _ in part], [None if o is None else (-o, i, a, b) for i, o, a, b in zip(*(c.to_pylist() for c in before[1:]), strict=True)]
                 for doc, item, overlap, first, last in index.verified(words, edges, share, least):
                     n[doc].add(index.ids[item])
                     case = (-overlap, index.ids[item], first, last)
-                    if best[doc] is None or case < best[doc]:
+                    if best[doc] is None or _order(case) < _order(best[doc]):
                         best[doc] = case
                 pick = lambda k, t, best=best: pa.array([None if b is None else b[k] for b in best], t)
-                overlap = pa.array([0.0 if b is None else -b[0] for b in best], pa.float64())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([b is not None for b in best]), pa.array(list(map(len, n)), pa.int32()), pick(1, pa.int64()), overlap, pick(2, pa.int64()), pick(3, pa.int64())], names=[x.split()[0] for x in HIT.split(", ")])
+                overlap = pa.array([None if b is None else -b[0] for b in best], pa.float64())
+                # parts share no item_id, so counts add up
+                total = pa.array([a + len(b) for a, b in zip(before[0].to_pylist(), n, strict=True)], pa.int32())
+                if last_pass:
+                    text = pa.nulls(len(part), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, text, total, pick(1, pa.int64()), overlap, pick(2, pa.int64()), pick(3, pa.int64())], names=[x.split()[0] for x in CARRIED.split(", ")])
 
     return run
 
 
+def _order(case: tuple) -> tuple:
+    """A null item_id comes last."""
+    return case[0], case[1] is None, case[1] or 0, case[2:]
+
+
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in parts whose seeds stay within SEEDS, by hash of item_id."""
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
@@ -140,15 +153,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, l
     """One row per document: doc_id, contaminated, n_items, and of the best item: item_id, overlap (share of its words matched), first_word, last_word."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passes = [base.mapInArrow(lean(_searched(spark.sparkContext.broadcast(Index(items)), share, least)), HIT) for items in _parts(benchmark)]
-    if len(passes) == 1:
-        return passes[0]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    best = F.min(F.struct((-F.col("overlap")).alias("o"), F.coalesce("item_id", F.lit((1 << 63) - 1)).alias("i"), "item_id", "overlap", "first_word", "last_word")).alias("b")
-    grouped = found.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").cast("int").alias("n_items"), best)
-    return grouped.select("doc_id", "contaminated", "n_items", "b.item_id", "b.overlap", "b.first_word", "b.last_word")
+    rest = [F.lit(0).alias("n_items"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in CARRIED.split(", ")[3:]))]
+    found = base.select("doc_id", F.col("text").cast("binary").alias("text"), *rest)
+    parts = _parts(benchmark)
+    items = next(parts)
+    while items is not None:
+        following = next(parts, None)
+        found = found.mapInArrow(lean(_searched(spark.sparkContext.broadcast(Index(items)), share, least, following is None)), CARRIED)
+        items = following
+    overlap = F.coalesce("overlap", F.lit(0.0)).alias("overlap")
+    return found.select("doc_id", F.expr("overlap IS NOT NULL").alias("contaminated"), "n_items", "item_id", overlap, "first_word", "last_word")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, text_col: str = "text") -> DataFrame:

@@ -343,6 +343,17 @@ def test_decontamination_in_parts_equals_one_pass(spark, monkeypatch):
     assert sorted(map(tuple, op6_decontaminate.contamination(docs, bench).collect())) == whole
 
 
+def test_decontamination_in_parts_keeps_rows_that_share_a_doc_id(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, " ".join(words(20, 1000 + k))) for k in range(20)], "item_id long, text string")
+    texts = [" ".join(words(9, k) + (words(20, 1000 + k) + words(20, 1001 + k) if k % 2 else [])) for k in range(15)]
+    docs = frame(spark, [*texts, None], [None if k % 3 == 0 else k // 4 for k in range(16)])
+    rows = lambda: sorted(map(str, op6_decontaminate.contamination(docs, bench).collect()))
+    whole = rows()
+    monkeypatch.setattr(op6_decontaminate, "SEEDS", 400)
+    assert len(list(op6_decontaminate._parts(bench))) > 1 and len(whole) == 16
+    assert rows() == whole
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdeaeiou", "bb": "vwxyzaeiou", "cc": "абвгдежзик"}
