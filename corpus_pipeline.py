@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import shared_dir, small_batches, table
+from framewright.llm.common import shared_dir, small_batches, stash, table
 from framewright.llm.op5_byte_bpe import round_trip
 from framewright.llm.op6_decontaminate import without_contaminated
 from framewright.llm.op7_language_id import trained_on, without_rejected
@@ -19,10 +19,21 @@ from framewright.llm.op8_jaccard_join import jaccard_components
 from framewright.llm.op9_exact_dedup import exact_dedup
 
 
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of each row in KEY, which follows doc_id (null last): doc_id itself where that is unique, else numbers that are written down with the rows."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
+    return stash(docs.orderBy(F.col("doc_id").asc_nulls_last(), *rest).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def _dropped(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of `docs` without the doc_ids of which `verdict` (doc_id, stays) lets no row stay."""
-    gone = verdict.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_dropped_id"]), "left_anti")
+    """The rows of `docs` without those whose key `verdict` (doc_id, stays; doc_id is the key) does not let stay."""
+    gone = verdict.where("NOT stays").select(F.col("doc_id").alias("_dropped_key"))
+    return docs.join(gone, docs[KEY] == gone["_dropped_key"], "left_anti").drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +45,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one stays that exact dedup names."""
     small_batches(spark)
-    return _dropped(docs, exact_dedup(docs).select("doc_id", F.col("kept").alias("stays")))
+    docs = _keyed(docs)
+    return _dropped(docs, exact_dedup(docs, id_col=KEY).select("doc_id", F.col("kept").alias("stays")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked texts the document with the smallest doc_id stays."""
     small_batches(spark)
-    return _dropped(docs, jaccard_components(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
+    docs = _keyed(docs)
+    return _dropped(docs, jaccard_components(docs, id_col=KEY).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,5 +39,16 @@ def test_clean_documents_stay_in_the_language_stage(spark):
     assert corpus_pipeline.language(spark, docs, SF).count() >= 0.99 * docs.count()
 
 
+def test_dedup_stages_keep_one_row_of_equal_texts_whatever_their_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, far = " ".join(words), " ".join(reversed(words))
+    rows = [(1, far), (1, far), (1, near), (2, near), (None, near + " end"), (None, "a b c"), (None, "a b c"), (3, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(str, corpus_pipeline.exact(spark, docs, SF).collect()))
+    assert kept == sorted(map(str, spark.createDataFrame([(1, far), (1, near), (None, near + " end"), (None, "a b c"), (3, "x y z")], docs.schema).collect()))
+    kept = sorted(map(str, corpus_pipeline.near(spark, docs, SF).collect()))
+    assert kept == sorted(map(str, spark.createDataFrame([(1, far), (1, near), (None, "a b c"), (3, "x y z")], docs.schema).collect()))
+
+
 def test_every_query_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
