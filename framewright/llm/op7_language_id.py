@@ -8,10 +8,11 @@ language with the lowest cross-entropy per character wins; ties go to the first
 prediction is rejected when that cross-entropy is above the language's limit, which is set from training
 texts that the counts have not seen.
 
-The classifier is fitted on a bounded sample: at most about `per_lang` texts of each language, chosen by a
+The classifier is fitted on a bounded sample: at most about `per_lang` texts and `bytes_per_lang` bytes of each language, chosen by a
 hash of their id; counting cost and model size are bounded by it. Every text is scored whole. A text that is null or
 has no letter gets `und`, score 0 and rejected. Labels that are null are not learned from; without any training text
-every prediction is `und`. Repeated rows get equal results. Only the named columns are read.
+every prediction is `und`. Repeated rows get equal results; a text's result is the same
+alone, in any batch and in any order. Bytes that are no UTF-8 are read as U+FFFD, no letter. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, lean, table
+from framewright.llm.common import as_bytes, as_text, in_batches, lean, table
 
 ORDER = 5
 BITS = 12
@@ -44,26 +45,26 @@ def _classes() -> np.ndarray:
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, runs of non-letters as one space, four spaces before each text; and where each text begins, with the total last."""
-    code = np.frombuffer("\n".join([t.lower() for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Symbols of all texts, one space after each run of letters and nothing else; and where each text begins, with the total last."""
+    lowered = [t.lower() for t in texts]
+    code = np.frombuffer("".join([t + "\n" for t in lowered]).encode("utf-32-le", "replace"), np.uint32)
     sym = _classes()[code]
+    # the newline behind each text ends its last run, so what a text gives does not depend on its neighbours
+    keep = sym != 0
+    keep[1:] |= keep[:-1]
     sym[sym == 0] = 32
-    lengths = np.array([len(t.lower()) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-    keep = np.ones(len(sym), bool)
-    keep[1:] = (sym[1:] != 32) | (sym[:-1] != 32)
-    # a text that begins after a separator keeps its first symbol, whatever it is
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
-    edges = np.concatenate([kept_before[np.minimum(starts, len(sym))], [kept_before[-1]]])
-    return sym[keep], edges
-
-
-def codes(sym: np.ndarray, n: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each symbol, 12 bits for each; before the first symbol there are spaces."""
-    wide = np.concatenate([np.full(n - 1, 32, np.uint64), sym.astype(np.uint64)])
+    ends = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    return sym[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+
+
+def codes(sym: np.ndarray, edges: np.ndarray, n: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at each symbol, 12 bits for each; before the first symbol of each text there are spaces."""
+    at = np.arange(len(sym)) + (n - 1) * np.repeat(np.arange(1, len(edges)), np.diff(edges))
+    wide = np.full(len(sym) + (n - 1) * (len(edges) - 1), 32, np.uint64)
+    wide[at] = sym
     out = np.zeros(len(sym), np.uint64)
     for k in range(n):
-        out = (out << np.uint64(BITS)) | wide[k : k + len(sym)]
+        out = (out << np.uint64(BITS)) | wide[at - (n - 1 - k)]
     return out
 
 
@@ -71,11 +72,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, 5-gram, count) of each Arrow batch."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(1))]
+        texts = [as_text(t) for t in as_bytes(batch.column(1))]
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
             for _, part in in_batches(own, 1_000_000):
-                grams, n = np.unique(codes(symbols(part)[0]), return_counts=True)
+                grams, n = np.unique(codes(*symbols(part)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
@@ -114,8 +115,12 @@ class Model:
         """Mean log probability per symbol for each text and language, and the number of symbols."""
         sym, edges = symbols(texts)
         size = np.diff(edges)
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.look(codes(sym)), axis=0, dtype=np.float64)])
-        return (total[edges[1:]] - total[edges[:-1]]) / np.maximum(size, 1)[:, None], size
+        total = np.zeros((len(texts), len(self.langs)))
+        some = np.flatnonzero(size)
+        if len(some):
+            # each text is added up by itself, so its sum is the same in any batch
+            total[some] = np.add.reduceat(self.look(codes(sym, edges)).astype(np.float64), edges[some], axis=0)
+        return total / np.maximum(size, 1)[:, None], size
 
 
 def build_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Model:
@@ -160,7 +165,7 @@ def _entropies(shared, langs: list[str]):
         model: Model = shared.value
         for batch in batches:
             own = batch.column(0).to_pylist()
-            texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(1))]
+            texts = [as_text(t) for t in as_bytes(batch.column(1))]
             for at, part in in_batches(texts, 300_000):
                 mean, size = model.means(part)
                 k = [langs.index(x) for x in own[at : at + len(part)]]
@@ -169,16 +174,17 @@ def _entropies(shared, langs: list[str]):
     return run
 
 
-def train(labelled: DataFrame, per_lang: int = 1500) -> tuple[Model | None, dict[str, int]]:
-    """A model from rows (doc_id, text, lang), null langs left out; per_lang bounds the texts of a language that it learns from."""
+def train(labelled: DataFrame, per_lang: int = 1500, bytes_per_lang: int = 64_000_000) -> tuple[Model | None, dict[str, int]]:
+    """A model from rows (doc_id, text, lang), null langs left out; per_lang and bytes_per_lang bound what of a language it learns from, as shares of its texts."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    seen = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    seen, size = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["size"] for r in sizes}
     langs = sorted(seen)
     if not langs:
         return None, {}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for a in langs for x in (a, min(1_000_000, -(-1_000_000 * per_lang // seen[a])))])
+    share = F.create_map(*[F.lit(x) for a in langs for x in (a, min(1_000_000, -(-1_000_000 * per_lang // seen[a]), -(-1_000_000 * bytes_per_lang // max(1, size[a]))))])
     sample = rows.where(place < share[F.col("lang")])
     held = F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(HOLD)) == 0
     counts = sample.where(~held).select("lang", "text").mapInArrow(lean(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -189,10 +195,11 @@ def train(labelled: DataFrame, per_lang: int = 1500) -> tuple[Model | None, dict
     model = build_model(langs, k.astype(np.int64) - 1, gram.view(np.uint64), n)
     shared = spark.sparkContext.broadcast(model)
     limits = sample.where(held).select("lang", "text").mapInArrow(lean(_entropies(shared, langs)), "k int, entropy double, size long")
-    limits = limits.where("size >= 20").groupBy("k").agg(F.avg("entropy").alias("m"), F.max("entropy").alias("top"))
+    # decimals add up to the same in any order
+    limits = limits.where("size >= 20").groupBy("k").agg(F.sum(F.col("entropy").cast("decimal(20, 9)")).alias("s"), F.count(F.lit(1)).alias("n"), F.max("entropy").alias("top"))
     for r in limits.collect():
         # above all that unseen labelled text showed, and at least halfway from its mean to a uniform guess
-        model.limit[r["k"]] = max(r["top"] * 1.15, (r["m"] - float(model.floor[r["k"]])) / 2)
+        model.limit[r["k"]] = max(r["top"] * 1.15, (float(r["s"]) / r["n"] - float(model.floor[r["k"]])) / 2)
     return model, seen
 
 
@@ -214,7 +221,7 @@ def verdicts(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarr
 def _identified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(1))]
+            texts = [as_text(t) for t in as_bytes(batch.column(1))]
             for at, part in in_batches(texts, 300_000):
                 lang, score, entropy, rejected = verdicts(shared.value, part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
@@ -236,7 +243,7 @@ def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column(k))]
+            texts = [as_text(t) for t in as_bytes(batch.column(k))]
             keep = [~verdicts(shared.value, part)[3] for _, part in in_batches(texts, 300_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
 
