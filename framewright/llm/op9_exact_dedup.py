@@ -8,9 +8,13 @@ each of which compares the full normalised content and never the digest alone:
    `salts` tasks, and each of those gets at most one entry from each task of stage 1;
 3. the salts' winners meet by (digest, content).
 
+Rows meet their winner by 192 bits of two digests of the content; the winners of hot groups, at most HOT_GROUPS, are broadcast, so that their members
+are not shuffled.
+
 Null texts count as empty; empty and white-space texts form one group. Of equal texts the one with the most code points in the
 original, then the smallest doc_id, stays (a null doc_id comes last). Rows that repeat a doc_id are rows of
-their own: each counts in group_size, each is returned. An empty table gives an empty result. Only the
+their own: each counts in group_size, each is returned, and one row of each group is kept: of rows equal in length and doc_id, too, the first as
+written down. Any bytes do: those that continue no code point count as one. An empty table gives an empty result. Only the
 two named columns are read, so further columns of any name are harmless.
 """
 
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import ASCII_SPACE, as_bytes, lean, table
+from framewright.llm.common import ASCII_SPACE, as_bytes, lean, stash, table
 
 #: Bytes of content that a task holds for stage 1; beyond it the entries go out and the task starts afresh.
 HELD_BYTES = 48_000_000
+#: Groups with more than a HOT_GROUPSth of all rows, and more than HOT_ROWS, are not shuffled to their winner.
+HOT_GROUPS, HOT_ROWS = 1000, 10_000
 #: Above any HALF - doc_id.
 SPAN = 10**20
 HALF = 1 << 63
@@ -36,6 +42,10 @@ ENTRY = "digest binary, check binary, content binary, best decimal(38,0), n long
 MEMBER = "doc_id long, n_chars long, digest binary, check binary"
 
 
+#: All bytes but the 64 that continue a code point.
+_STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
+
+
 def _normalised(text: bytes) -> bytes:
     return text.translate(None, ASCII_SPACE)
 
@@ -46,8 +56,8 @@ def _digests(content: bytes) -> tuple[bytes, bytes]:
 
 
 def _length(text: bytes) -> int:
-    """Code points of UTF-8."""
-    return len(text.decode("utf-8", "surrogatepass" if b"\xed" in text else "strict")) if not text.isascii() else len(text)
+    """Code points of UTF-8: bytes that continue none. Defined for any bytes."""
+    return len(text) if text.isascii() else len(text) - len(text.translate(None, _STARTS))
 
 
 def _best(length: int, doc: int | None) -> int:
@@ -118,10 +128,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = base.mapInArrow(lean(_combine(salts)), ENTRY)
     salted = _merged(entries, "digest", "check", "content", "salt")
     winners = _merged(salted, "digest", "check", "content").select(
-        "digest", "check", F.col("n").alias("group_size"), F.expr(f"CAST(nullif({HALF}BD - pmod(best, {SPAN}BD), {HALF}BD) AS LONG)").alias("keep_id")
+        "digest",
+        "check",
+        F.col("n").alias("group_size"),
+        F.expr(f"CAST(nullif({HALF}BD - pmod(best, {SPAN}BD), {HALF}BD) AS LONG)").alias("keep_id"),
+        F.expr(f"CAST((best - pmod(best, {SPAN}BD)) / {SPAN}BD AS LONG)").alias("length"),
     )
-    joined = base.mapInArrow(lean(_members), MEMBER).join(winners, ["digest", "check"])
-    return joined.select("doc_id", "n_chars", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    winners = stash(winners, "winners")
+    members = base.mapInArrow(lean(_members), MEMBER)
+    # groups with more than a share of all rows: at most HOT_GROUPS can be, so they are joined where their members are
+    least = max(HOT_ROWS, (winners.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]) // HOT_GROUPS)
+    on = ["digest", "check"]
+    hot = winners.where(F.col("group_size") > least).select(*on, F.struct("group_size", "keep_id", "length").alias("hot"))
+    members = members.join(F.broadcast(hot), on, "left")
+    rest = members.where("hot IS NULL").join(winners.where(F.col("group_size") <= least), on).drop("hot")
+    joined = rest.select("doc_id", "n_chars", *on, "group_size", "keep_id", "length").unionByName(members.where("hot IS NOT NULL").select("doc_id", "n_chars", *on, "hot.*"))
+    # rows that only their place tells apart: the first of those with the winner's length and doc_id stays
+    joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("length")))
+    joined = stash(joined.select("doc_id", "n_chars", "keep_id", "group_size", "kept", *on, F.monotonically_increasing_id().alias("place")), "members")
+    tied = joined.where("kept").groupBy(*on).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select(*on, "first")
+    kept = F.col("kept") & F.coalesce(F.col("place") == F.col("first"), F.lit(True))
+    return joined.join(tied, on, "left").select("doc_id", "n_chars", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
