@@ -9,8 +9,9 @@ Decoding reverses the table: a token is a run of bytes, and a character whose by
 comes back when the bytes are joined.
 
 Null and empty texts encode to no ids. Ties cannot arise: each text is encoded on its own, repeated rows get equal
-results. An empty table gives an empty result. Only the two named columns are read. A very long text is
-held once as text, once as ids; a long piece is encoded in O(n log n).
+results. An empty table gives an empty result. Only the two named columns are read. Bytes that are no UTF-8 are read as U+FFFD. Texts are
+coded in runs of about 400 KB; a longer one by itself, for which its pieces, ids, their decimal text and the decoded bytes
+are held at once, some 30 times its size. A long piece is encoded in O(n log n).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, lean, table
+from framewright.llm.common import as_bytes, as_text, in_batches, lean, table
 
 #: Pieces that a task keeps encoded.
 KEPT_PIECES = 200_000
@@ -147,12 +148,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 def _coded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str):
     tool = encoder(ranks_path, pattern)
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(part.column(1))]
+        for at, part in in_batches(as_bytes(batch.column(1))):
+            texts = [as_text(t) for t in part]
             pairs = [tool.encode(t) for t in texts]
             ids = [p[1] for p in pairs]
-            yield part.column(0), texts, ids, [p[0] for p in pairs], [tool.decode(x) for x in ids]
+            yield batch.column(0).slice(at, len(part)), texts, ids, [p[0] for p in pairs], [tool.decode(x) for x in ids]
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
