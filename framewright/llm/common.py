@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.session import materialised, shared_dir
 
@@ -17,7 +18,7 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Written into the shared folder and read again: cuts the lineage and survives lost executors.
 stash = materialised
 
-__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "chained", "in_batches", "joined", "lean", "mix", "run_hashes", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
+__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
 
 
 #: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
@@ -82,9 +83,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Items (words, lines) whose hashes a Python worker keeps, and the longest item it keeps.
+KEPT_ITEMS, KEPT_BYTES = 200_000, 64
+_kept: dict[bytes, bytes] = {}
+
+
+def digest16(content: bytes) -> bytes:
+    """The 128 bits that stand for a content wherever contents are not compared themselves."""
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def _item(item: bytes) -> bytes:
+    made = digest16(item)
+    if len(item) <= KEPT_BYTES:
+        if len(_kept) >= KEPT_ITEMS:
+            _kept.clear()
+        _kept[item] = made
+    return made
+
+
+def item_hashes(items: list[bytes], both: bool = False) -> np.ndarray:
+    """The first 64 bits of each item's digest, or with `both` all 128 as two columns; a digest of a cryptographic hash, so no plain texts are known to share one."""
+    known = _kept.get
+    found = np.frombuffer(b"".join([known(x) or _item(x) for x in items]), np.uint64).reshape(-1, 2)
+    return found if both else np.ascontiguousarray(found[:, 0])
 
 
 _BASE = 0xD6E8FEB86659FD93
@@ -105,16 +127,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[s:e] for each s, e: differences of a prefix polynomial, moved to offset 0 and mixed with the length."""
-    if not len(start):
-        return np.empty(0, np.uint64)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE)] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -138,9 +150,11 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of all texts, and for each text where its words begin, with the total last."""
-    data, edges = joined([t.translate(LOWER) for t in texts])
-    start, end = word_spans(data)
-    return run_hashes(data, start, end), np.searchsorted(start, edges)
+    # bytes.split and bytes.lower know ASCII only
+    words = [t.lower().split() for t in texts]
+    edges = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(w) for w in words], out=edges[1:])
+    return item_hashes([w for of in words for w in of]), edges
 
 
 def chained(words: np.ndarray, n: int) -> np.ndarray:
@@ -166,13 +180,87 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 
 
+def as_text(data: bytes) -> str:
+    """UTF-8 as text; bytes that are none are read as U+FFFD."""
+    return data.decode("utf-8", "replace")
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Like run_hashes, for runs of 64-bit values instead of bytes."""
+    """A 64-bit hash of values[s:e] for each s, e: differences of a prefix polynomial, moved to offset 0 and mixed with the length; the values are hashes themselves."""
     if not len(start):
         return np.empty(0, np.uint64)
     up, down = _power(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values | np.uint64(1)) * up[: len(values)], out=total[1:])
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+#: Most bits, as a power of two, of a filter; a full filter costs time only.
+FILTER_BITS = 26
+#: Stands for a null doc_id: after all others.
+LAST = (1 << 63) - 1
+
+
+def _slot(ids: np.ndarray, power: int) -> np.ndarray:
+    return (mix(ids) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit value of each pair of 64-bit values, for filters."""
+    return mix(a.view(np.uint64)) + b.view(np.uint64)
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch of one or two long columns; null stands as LAST."""
+    columns = [np.asarray(c.fill_null(LAST)).astype(np.int64).view(np.uint64) for c in batch.columns]
+    return columns[0] if len(columns) == 1 else paired(*columns)
+
+
+def filter_of(ids: DataFrame):
+    """A broadcast filter over the one long column of `ids`, or its two as pairs, of at most 2**FILTER_BITS bits however many there are; it errs towards yes."""
+    power = min(FILTER_BITS, max(12, (16 * ids.count()).bit_length()))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.unique(_slot(_ids(batch), power))
+            word, start = np.unique(s >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (s & 63).astype(np.uint64), start) if len(s) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(bits))], names=["word", "bits"])
+
+    words = ids.mapInArrow(slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast((power, bits))
+
+
+def maybe(shared, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter may know."""
+    power, bits = shared.value
+    slot = _slot(ids.view(np.uint64), power)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def by_filter(shared, known: bool = True):
+    """For mapInArrow: the rows whose first column the filter may know, or with known=False the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(shared, _ids(batch.select([0]))) == known))
+
+    return run
+
+
+def clear_of(docs: DataFrame, found: DataFrame, clean, schema: str) -> DataFrame:
+    """`docs` (doc_id, text) through `clean`, which takes them with the `drops` that `found` (doc, drops) has for them.
+
+    Only documents that `found` may name are shuffled; the others are cleaned where they are read.
+    """
+    found = stash(found, "drops")
+    shared = filter_of(found.select("doc"))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_filter(shared, False)(batches):
+            yield from clean(iter([batch.append_column("drops", pa.nulls(batch.num_rows))]))
+
+    matched = docs.mapInArrow(by_filter(shared), docs.schema).join(found, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left")
+    return docs.mapInArrow(lean(alone), schema).unionByName(matched.select("doc_id", "text", "drops").mapInArrow(lean(clean), schema))

@@ -8,7 +8,8 @@ Its text is then cut again into runs, and every sentence that a returned run cov
 the same document. So a passage that any number of documents share stays once, in the document with the smallest doc_id.
 
 Only links from a hash to its first document travel, never pairs of documents; the join that returns them is one that
-Spark can split where a passage is very common. Two runs with one 64-bit hash are taken as equal.
+Spark can split where a passage is very common. Runs whose 64-bit hash no other document has are left out before 128 bits, taken from cryptographic digests of the words, decide.
+A text with fewer than RUN sentences or WORDS words is one run, so repeated short texts go whole.
 Null texts give an empty text, as do texts all of whose sentences repeat. Rows that share a doc_id are one document: none of them
 loses what it shares only with the others. A null doc_id comes after all others. Only the two named columns are read.
 """
@@ -22,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import LOWER, as_bytes, in_batches, joined, lean, run_hashes, signed, span_hashes, table, word_spans
+from framewright.llm.common import LAST, as_bytes, as_text, clear_of, filter_of, in_batches, item_hashes, joined, lean, maybe, signed, span_hashes, stash, table, word_spans
 
 RUN, WORDS, PIECE = 2, 20, 16
-LAST = (1 << 63) - 1
 
 
 class Runs:
@@ -45,7 +45,8 @@ class Runs:
         begins = np.ones(n, bool)
         begins[1:] = breaks[:-1]
         begins[first[:-1][first[:-1] < n]] = True
-        hashes = run_hashes(np.frombuffer(self.data.tobytes().translate(LOWER), np.uint8), start, end)
+        both = item_hashes([w for t in texts for w in t.lower().split()], both=True)
+        hashes = np.ascontiguousarray(both[:, 0])
         # a long sentence is cut by its content, so that pieces agree wherever the sentence began
         opened = np.flatnonzero(begins)
         length = np.diff(np.append(opened, n))
@@ -62,17 +63,21 @@ class Runs:
         # the run up to each sentence, likewise
         back = np.minimum(np.arange(1, s + 1) - run, np.searchsorted(self.word, self.word[1:] - least, "right") - 1)
         last = np.flatnonzero(back >= np.repeat(self.first[:-1], np.diff(self.first)))
-        both = np.unique(np.concatenate([from_ * (s + 1) + stop[from_], back[last] * (s + 1) + last + 1]))
-        self.from_, self.stop = both // (s + 1), both % (s + 1)
-        self.hash = span_hashes(hashes, self.word[self.from_], self.word[self.stop])
+        # a text too short for either is a run of its own
+        low, high = self.first[:-1], self.first[1:]
+        small = np.flatnonzero((high > low) & ((high - low < run) | (self.word[high] - self.word[low] < least)))
+        found = np.unique(np.concatenate([from_ * (s + 1) + stop[from_], back[last] * (s + 1) + last + 1, low[small] * (s + 1) + high[small]]))
+        self.from_, self.stop = found // (s + 1), found % (s + 1)
+        of = self.word[self.from_], self.word[self.stop]
+        self.hash, self.check = span_hashes(hashes, *of), span_hashes(np.ascontiguousarray(both[:, 1]), *of)
         self.text = np.searchsorted(self.first, self.from_, "right") - 1
 
     def first_in_text(self) -> np.ndarray:
         """Whether each run is the first with its hash in its text."""
-        order = np.lexsort((self.from_, self.hash, self.text))
-        h, t = self.hash[order], self.text[order]
+        order = np.lexsort((self.from_, self.check, self.hash, self.text))
+        h, c, t = self.hash[order], self.check[order], self.text[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+        fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1])
         out = np.empty(len(order), bool)
         out[order] = fresh
         return out
@@ -94,14 +99,21 @@ class Runs:
         return b"".join(self.data[a:b].tobytes() for a, b, g in zip(at[:-1], at[1:], gone[low:high].tolist(), strict=True) if not g).rstrip()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc_id), once for each hash of a document."""
-    for batch in batches:
-        ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-        for at, part in in_batches(as_bytes(batch.column(1))):
-            runs = Runs(part)
-            keep = runs.first_in_text()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(runs.hash[keep])), pa.array(ids[at + runs.text[keep]])], names=["hash", "doc"])
+def _runs(shared=None):
+    """(hash, check, doc), once for each run of a document, and of them those whose hash the filter may know; without a filter check is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            for at, part in in_batches(as_bytes(batch.column(1))):
+                runs = Runs(part)
+                keep = runs.first_in_text()
+                if shared is not None:
+                    keep &= maybe(shared, runs.hash)
+                check = signed(runs.check[keep]) if shared is not None else np.zeros(int(keep.sum()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(runs.hash[keep])), pa.array(check), pa.array(ids[at + runs.text[keep]])], names=["hash", "check", "doc"])
+
+    return run
 
 
 CLEANED = "doc_id long, n_sentences int, n_removed int, n_chars long, text string"
@@ -114,12 +126,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = Runs(part)
             drop = ~runs.first_in_text()
             for k in range(len(part)):
-                hashes = drops[at + k]
-                if hashes.is_valid:
+                found = drops[at + k]
+                if found.is_valid:
+                    gone = set(zip(found.values.field("hash").to_pylist(), found.values.field("check").to_pylist(), strict=True))
                     a, b = np.searchsorted(runs.text, [k, k + 1])
-                    drop[a:b] |= np.isin(runs.hash[a:b], hashes.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    drop[a:b] |= np.fromiter((x in gone for x in zip(signed(runs.hash[a:b]).tolist(), signed(runs.check[a:b]).tolist(), strict=True)), bool, b - a)
             gone = runs.covered(drop)
-            texts = [runs.without(gone, k).decode("utf-8", "surrogatepass") for k in range(len(part))]
+            texts = [as_text(runs.without(gone, k)) for k in range(len(part))]
             total = np.concatenate([[0], np.cumsum(gone)])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, len(part)), pa.array(np.diff(runs.first).astype(np.int32)), pa.array((total[runs.first[1:]] - total[runs.first[:-1]]).astype(np.int32)), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())],
@@ -130,11 +143,14 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_sentences, n_removed, n_chars and text without the removed sentences."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = base.mapInArrow(lean(_runs), "hash long, doc long")
-    first = runs.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
-    later = runs.join(first, "hash").where("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
-    matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return matched.mapInArrow(lean(_cleaned), CLEANED)
+    schema = "hash long, check long, doc long"
+    span = [F.min("doc").alias("first"), F.max("doc").alias("last")]
+    # 64 bits name the candidates, 128 decide
+    repeated = base.mapInArrow(lean(_runs()), schema).groupBy("hash").agg(*span).where("first < last").select("hash")
+    runs = base.mapInArrow(lean(_runs(filter_of(stash(repeated, "repeated")))), schema)
+    first = runs.groupBy("hash", "check").agg(*span).where("first < last").select("hash", "check", "first")
+    later = runs.join(first, ["hash", "check"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("hash", "check")).alias("drops"))
+    return clear_of(base, later, _cleaned, CLEANED)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

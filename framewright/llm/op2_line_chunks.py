@@ -7,13 +7,14 @@ smallest doc_id keeps a chunk. A line that goes stays in a document with a small
 
 `drop_repeated_chunks` cuts each text once instead, and finds a repeated run only where boundaries fall inside it: a rolling hash over the last WINDOW line hashes closes a chunk where it is a multiple of EVERY, so boundaries move
 with the text when lines are put in or taken out; a chunk of MOST lines closes anyway. Chunks of at least two
-lines meet globally by (hash, bytes): equality is decided on the bytes, in each task, in Spark's combining before
+lines meet globally by their bytes, in each task, in Spark's combining before
 the shuffle and after it. Where one content stands in several documents, the one with the smallest doc_id keeps it; the
-others get the hash back, are cut again and lose that chunk. Of several copies inside one document the first stays.
+others get its 128-bit digest back, are cut again and lose that chunk. Of several copies inside one document the first stays.
 
 A task holds the chunks it has seen once each up to HELD_BYTES, then passes them on, so a chunk that a third of all rows
 share crosses the shuffle once per task. Null texts give an empty text; empty lines are lines. Rows that share a doc_id are one document: none loses what only they
-share. A null doc_id comes after all others. Only the two named columns are read.
+share. A null doc_id comes after all others. Bytes that are no UTF-8 come back as U+FFFD in
+the text. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, joined, lean, mix, run_hashes, signed, span_hashes, table
+from framewright.llm.common import LAST, as_bytes, as_text, clear_of, digest16, filter_of, in_batches, item_hashes, joined, lean, maybe, mix, paired, signed, stash, table
 
 WINDOW, EVERY, MOST, LEAST = 2, 4, 16, 2
 HELD_BYTES = 48_000_000
-LAST = (1 << 63) - 1
 
 
 class Chunks:
@@ -39,7 +39,7 @@ class Chunks:
         self.data, self.edges = joined(texts)
         end = np.flatnonzero(self.data == 10)
         start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-        hashes = run_hashes(self.data, start, end)
+        hashes = item_hashes([x for t in texts for x in t.split(b"\n")])
         self.first_line = np.searchsorted(start, self.edges)
         n = len(start)
         text = np.repeat(np.arange(len(texts)), np.diff(self.first_line))
@@ -58,7 +58,6 @@ class Chunks:
         self.from_ = np.concatenate([[0], self.stop[:-1]]) if len(self.stop) else self.stop
         self.text = text[self.from_] if n else text
         self.lines = self.stop - self.from_
-        self.hash = span_hashes(hashes, self.from_, self.stop)
         self.low, self.high = start[self.from_], end[self.stop - 1]
         self.first = np.searchsorted(self.from_, self.first_line)
 
@@ -67,7 +66,7 @@ class Chunks:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, content, first, last): each content once for as long as it is held, with the smallest and largest doc_id that had it."""
+    """(name, content, first, last): each content once for as long as it is held, with the smallest and largest doc_id that had it."""
     held: dict[bytes, list[int]] = {}
     size = 0
 
@@ -75,18 +74,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(held.items())
         for i in range(0, len(rows), 20_000):
             part = rows[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([v[2] for _, v in part], pa.int64()), pa.array([c for c, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["hash", "content", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest16(c) for c, _ in part], pa.binary()), pa.array([c for c, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["name", "content", "first", "last"])
 
     for batch in batches:
         ids = [LAST if x is None else x for x in batch.column(0).to_pylist()]
         for at, part in in_batches(as_bytes(batch.column(1))):
             chunks = Chunks(part)
-            of, hashes = chunks.text.tolist(), signed(chunks.hash).tolist()
+            of = chunks.text.tolist()
             for c in np.flatnonzero(chunks.lines >= LEAST).tolist():
                 content, doc = chunks.content(c), ids[at + of[c]]
                 seen = held.get(content)
                 if seen is None:
-                    held[content] = [doc, doc, hashes[c]]
+                    held[content] = [doc, doc]
                     size += len(content) + 250
                 else:
                     seen[0], seen[1] = min(seen[0], doc), max(seen[1], doc)
@@ -98,13 +97,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc) of every chunk of at least two lines."""
+    """(name, doc) of every chunk of at least two lines."""
     for batch in batches:
         ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
         for at, part in in_batches(as_bytes(batch.column(1))):
             chunks = Chunks(part)
-            keep = chunks.lines >= LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(signed(chunks.hash[keep])), pa.array(ids[at + chunks.text[keep]])], names=["hash", "doc"])
+            keep = np.flatnonzero(chunks.lines >= LEAST)
+            yield pa.RecordBatch.from_arrays([pa.array([digest16(chunks.content(c)) for c in keep.tolist()], pa.binary()), pa.array(ids[at + chunks.text[keep]])], names=["name", "doc"])
 
 
 CLEANED = "doc_id long, n_lines int, n_removed int, n_chars long, text string"
@@ -115,22 +114,20 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, drops = batch.column(0), batch.column(2)
         for at, part in in_batches(as_bytes(batch.column(1))):
             chunks = Chunks(part)
-            hashes = signed(chunks.hash).tolist()
             texts, removed = [], []
             for k, text in enumerate(part):
                 gone = set(drops[at + k].as_py() or ())
                 low, high = int(chunks.first[k]), int(chunks.first[k + 1])
-                own: dict[int, bytes] = {}
+                own: set[bytes] = set()
                 kept, lines = [], 0
                 for c in range(low, high):
-                    h = hashes[c]
-                    if chunks.lines[c] >= LEAST and (h in gone or h in own and own[h] == chunks.content(c)):
+                    content = chunks.content(c)
+                    if chunks.lines[c] >= LEAST and (content in own or gone and digest16(content) in gone):
                         lines += int(chunks.lines[c])
                         continue
-                    content = chunks.content(c)
-                    own[h] = content
+                    own.add(content)
                     kept.append(content)
-                texts.append((b"\n".join(kept) if lines else text).decode("utf-8", "surrogatepass"))
+                texts.append(as_text(b"\n".join(kept) if lines else text))
                 removed.append(lines)
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(np.diff(chunks.first_line).astype(np.int32)), pa.array(removed, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
 
@@ -138,11 +135,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_removed (lines), n_chars and text without the removed chunks."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    contents = base.mapInArrow(lean(_chunks), "hash long, content binary, first long, last long").groupBy("hash", "content").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    repeated = contents.where("first < last").select("hash", "first")
-    later = base.mapInArrow(lean(_owned), "hash long, doc long").join(repeated, "hash").where("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("drops"))
-    matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return matched.mapInArrow(lean(_cleaned), CLEANED)
+    contents = base.mapInArrow(lean(_chunks), "name binary, content binary, first long, last long").groupBy("name", "content").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    repeated = contents.where("first < last").select("name", "first")
+    later = base.mapInArrow(lean(_owned), "name binary, doc long").join(repeated, "name").where("doc > first").groupBy("doc").agg(F.collect_set("name").alias("drops"))
+    return clear_of(base, later, _cleaned, CLEANED)
 
 
 class Lines:
@@ -152,7 +148,7 @@ class Lines:
         self.data, self.edges = joined(texts)
         self.end = np.flatnonzero(self.data == 10)
         self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
-        self.hash = signed(run_hashes(self.data, self.start, self.end))
+        self.hash = signed(item_hashes([x for t in texts for x in t.split(b"\n")]))
         self.first = np.searchsorted(self.start, self.edges)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.pair = np.flatnonzero(self.text[1:] == self.text[:-1])
@@ -197,14 +193,20 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, doc): the hashes of two lines that follow one another, once for each text."""
-    for batch in batches:
-        ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-        for at, part in in_batches(as_bytes(batch.column(1))):
-            lines = Lines(part)
-            p = lines.pair[lines.firsts() == np.arange(len(lines.pair))]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.hash[p]), pa.array(lines.hash[p + 1]), pa.array(ids[at + lines.text[p]])], names=["a", "b", "doc"])
+def _pairs(shared=None):
+    """(a, b, doc): the hashes of two lines that follow one another, once for each text, and of them what the filter may know."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            for at, part in in_batches(as_bytes(batch.column(1))):
+                lines = Lines(part)
+                p = lines.pair[lines.firsts() == np.arange(len(lines.pair))]
+                if shared is not None:
+                    p = p[maybe(shared, paired(lines.hash[p], lines.hash[p + 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.hash[p]), pa.array(lines.hash[p + 1]), pa.array(ids[at + lines.text[p]])], names=["a", "b", "doc"])
+
+    return run
 
 
 def _without(shared):
@@ -230,7 +232,7 @@ def _without(shared):
                 gone[p[drop]] = gone[p[drop] + 1] = True
                 removed = np.add.reduceat(gone.astype(np.int32), lines.first[:-1]) if len(part) else np.empty(0, np.int32)
                 texts = [t if not n else b"\n".join(c for c, g in zip(t.split(b"\n"), gone[lines.first[k] : lines.first[k + 1]].tolist(), strict=True) if not g) for k, (t, n) in enumerate(zip(part, removed.tolist(), strict=True))]
-                texts = [t.decode("utf-8", "surrogatepass") for t in texts]
+                texts = [as_text(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(np.diff(lines.first).astype(np.int32)), pa.array(removed.astype(np.int32)), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
 
     return run
@@ -240,14 +242,14 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: doc_id, n_lines, n_removed (lines), n_chars and text without the lines of repeated runs of at least two."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = base.select("text").mapInArrow(lean(_lines), "hash long, content binary").repartition("hash").groupBy("hash", "content").agg(F.count(F.lit(1)).alias("n"))
-    # hashes of several lines: none, but for one chance in many
+    # hashes that several different lines have: of a cryptographic hash's 64 bits, a few hundred among 1e11 lines
     unsure = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash").toArrow().column("hash").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(unsure)
-    pairs = base.mapInArrow(lean(_pairs), "a long, b long, doc long")
-    first = pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
-    later = pairs.join(first, ["a", "b"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
-    matched = base.join(later, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return matched.mapInArrow(lean(_without(shared)), CLEANED)
+    pairs = base.mapInArrow(lean(_pairs()), "a long, b long, doc long")
+    first = stash(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "first")
+    again = base.mapInArrow(lean(_pairs(filter_of(first.select("a", "b")))), "a long, b long, doc long")
+    later = again.join(first, ["a", "b"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+    return clear_of(base, later, _without(shared), CLEANED)
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

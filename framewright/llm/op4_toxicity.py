@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, lean, table
+from framewright.llm.common import as_bytes, as_text, lean, table
 
 LEVEL = 9
 #: Words of a dictionary, bytes of a window (a longer word is cut into such windows), windows a task keeps measured.
@@ -115,7 +115,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 500):
             counts = {(kind, t): Counter() for kind in "wg" for t in (0, 1)}
             for toxic, raw in zip(labels[start : start + 500], as_bytes(batch.column(1).slice(start, 500)), strict=True):
-                words = {w[:WINDOW] for w in _WORD(raw.decode("utf-8", "surrogatepass").lower())}
+                words = {w[:WINDOW] for w in _WORD(as_text(raw).lower())}
                 counts["w", toxic].update(words)
                 counts["g", toxic].update(set().union(*map(grams, words)) if words else ())
             for (kind, toxic), c in counts.items():
@@ -127,7 +127,7 @@ def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            tops = [sorted((m for m in model.margins(t.decode("utf-8", "surrogatepass")) if m > 0), reverse=True) for t in as_bytes(batch.column(1))]
+            tops = [sorted((m for m in model.margins(as_text(t)) if m > 0), reverse=True) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(map(str, sorted(Counter(x).elements(), reverse=True)[:64])) for x in tops], pa.string())], names=["toxic", "margins"])
 
     return run
@@ -202,7 +202,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            score = [model.score(t.decode("utf-8", "surrogatepass")) for t in as_bytes(batch.column(1))]
+            score = [model.score(as_text(t)) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return run

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A text's set holds its distinct 4-word shingles (64-bit hashes; fewer words give one shingle of all of them).
+A text's set holds its distinct 4-word shingles (64-bit hashes for the search; fewer words give one shingle of all of them).
 Two texts link when 100 * |A & B| >= 85 * |A | B|, so of a set with n shingles any partner has at least
-T = ceil(0.85 n). Texts with one and the same set form a class, and classes stand for their texts from there on.
+T = ceil(0.85 n). Texts with one and the same set form a class, named by 128 bits (of the shingles' bytes where there are few), and classes stand for their texts from there on.
 
 Candidates. Shingles are ordered from rare to frequent; a set and any partner share one of the set's n - T + 1
 first shingles, so only these short inverted lists are made and merged; the T - 1 others are the long lists, which are
@@ -12,7 +12,7 @@ sets may differ in shingles are dropped; that bound is exact.
 
 Verification. A hub meets its candidates in blocks of at most about BLOCK: the block's inverted lists are split into long and short ones, the
 short ones merged by counting, candidates with at least T - L hits kept, and their missing hits found by
-binary search in the L long lists (DivideSkip).
+binary search in the L long lists (DivideSkip). A link counts when the shingles themselves, not their hashes, overlap enough.
 
 Classes already linked need no further pairs. Lists that still hold several components get a second hub, and
 what then remains apart is compared pair by pair, behind the sketches, so every pair that shares a short list is either in
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, chained, in_batches, lean, mix, signed, span_hashes, stash, table, words_of
+from framewright.llm.common import as_bytes, by_filter, chained, digest16, filter_of, in_batches, lean, signed, span_hashes, stash, table, words_of
 from framewright.llm.components import components
 
 SHINGLE = 4
@@ -40,8 +40,8 @@ PERCENT = 85
 SEEN, PER_COUNT, FREQUENT = 2, 3_000_000, 1_000_000
 SKETCH_WORDS, WIDE_FROM = 8, 512
 BLOCK = 256
-#: Most bits, as a power of two, of the filter that tells which texts verification needs; a full filter costs time only.
-FILTER_BITS = 26
+#: Up to so many shingles a class is named by the shingles' own bytes, beyond by their hashes.
+SPELLED = 16
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -57,13 +57,17 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def class_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A hash of each whole set; 0 for the empty one."""
-    edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    h = span_hashes(mix(flat), edges[:-1], edges[1:])
-    h[edges[1:] == edges[:-1]] = 0
-    return h
+def shingles_of(text: bytes) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves."""
+    words = text.lower().split()
+    return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)} - {()}
+
+
+def class_of(sets: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """128 bits for each whole set, as two columns; 0 for the empty one."""
+    spelled = lambda t: b"\n".join(sorted(map(b" ".join, shingles_of(t))))
+    names = [bytes(16) if not len(s) else digest16(s.tobytes() if len(s) > SPELLED else spelled(t)) for s, t in zip(sets, texts, strict=True)]
+    return np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -104,18 +108,24 @@ def least_overlap(n: int) -> int:
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[np.ndarray], np.ndarray]]:
+    """ids, texts, sets and classes"""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for at, part in in_batches(as_bytes(batch.column(1))):
             sets = shingle_sets(part)
-            yield ids[at : at + len(part)], part, sets, class_of(sets)
+            yield ids[at : at + len(part)], part, sets, class_of(sets, part)
+
 
+FIRST = "doc_id long, n long, cls long, check long, sketch binary, wide binary, shingle long, seen long"
 
-FIRST = "doc_id long, n long, cls long, sketch binary, wide binary, shingle long, seen long"
+
+def _named(classes: np.ndarray) -> list[pa.Array]:
+    """cls and check"""
+    return [pa.array(signed(np.ascontiguousarray(classes[:, k]))) for k in (0, 1)]
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two kinds of rows: (doc_id, n, cls, sketch) of each text, and (shingle, seen) of shingles that several different texts of a window hold."""
+    """Two kinds of rows: (doc_id, n, cls, check, sketch) of each text, and (shingle, seen) of shingles that several different texts of a window hold."""
     held: list[np.ndarray] = []
     size, known = 0, set()
     names = [x.split()[0] for x in FIRST.split(", ")]
@@ -125,12 +135,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n = s[n >= SEEN], n[n >= SEEN]
         none = pa.nulls(len(s), pa.int64())
         nothing = pa.nulls(len(s), pa.binary())
-        yield pa.RecordBatch.from_arrays([none, none, none, nothing, nothing, pa.array(signed(s)), pa.array(n)], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, nothing, nothing, pa.array(signed(s)), pa.array(n)], names=names)
 
     for ids, _, sets, classes in _each(batches):
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(classes)), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()), none, none], names=names)
-        for s, c in zip(sets, classes.tolist(), strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *_named(classes), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()), none, none], names=names)
+        for s, c in zip(sets, map(tuple, classes.tolist()), strict=True):
             if c not in known:
                 known.add(c)
                 held.append(s)
@@ -175,13 +185,13 @@ def _prio(rare: int, cls: int) -> int:
 def _postings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency: Frequency = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for _, _, sets, classes in _each(batches):
             tokens, cls, prio = [], [], []
-            for s, c in zip(sets, classes.tolist(), strict=True):
-                if c in seen or not len(s):
+            for s, (c, check) in zip(sets, classes.tolist(), strict=True):
+                if (c, check) in seen or not len(s):
                     continue
-                seen.add(c)
+                seen.add((c, check))
                 ranked, rare = frequency.ranked(s)
                 short = ranked[: len(s) - least_overlap(len(s)) + 1]
                 tokens.append(short)
@@ -224,8 +234,10 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from rows (a, block, b, text) in order; the first row of each (a, block) is the hub itself (b null)."""
-    query, hub = None, None
+    """Links (a, b) from rows (a, block, b, text) in order; the first row of each (a, block) is the hub itself (b null).
+
+    What the hashes link is compared shingle by shingle, so no link rests on a hash."""
+    query, hub, own = None, None, None
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         block = batch.column(1).to_pylist()
@@ -235,7 +247,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = 0
             while k < len(part):
                 if b[at + k] is None:
-                    query, hub = sets[k], (a[at + k], block[at + k])
+                    query, hub, own = sets[k], (a[at + k], block[at + k]), shingles_of(part[k])
                     k += 1
                     continue
                 stop = k
@@ -245,55 +257,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError("candidates without their hub")
                 good = divide_skip(query, sets[k:stop])
                 for j in np.flatnonzero(good).tolist():
+                    other = shingles_of(part[k + j])
+                    both = len(own & other)
+                    if 100 * both < PERCENT * (len(own) + len(other) - both):
+                        continue
                     left.append(a[at + k])
                     right.append(b[at + k + j])
                 k = stop
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _needed(shared):
-    """Rows whose first column the filter may know."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, bits = shared.value
-        for batch in batches:
-            slot = _slot(batch.column(0).to_numpy().view(np.uint64), power)
-            yield batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
-
-    return run
-
-
-def _slot(ids: np.ndarray, power: int) -> np.ndarray:
-    return (mix(ids) >> np.uint64(64 - power)).astype(np.int64)
-
-
-def _slots(power: int):
-    """(word, bits) of the filter from ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.unique(_slot(batch.column(0).to_numpy().view(np.uint64), power))
-            word, start = np.unique(s >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (s & 63).astype(np.uint64), start) if len(s) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(signed(bits))], names=["word", "bits"])
-
-    return run
-
-
-def _filter_of(ids: DataFrame):
-    """A broadcast filter over the one column of `ids`, of at most 2**FILTER_BITS bits however many there are; it errs towards yes."""
-    power = min(FILTER_BITS, max(12, (16 * ids.count()).bit_length()))
-    words = ids.mapInArrow(lean(_slots(power)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (power - 6), np.uint64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return ids.sparkSession.sparkContext.broadcast((power, bits))
-
-
 def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts link."""
     pairs = stash(pairs, "pairs")
     both = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    shared = _filter_of(both)
+    shared = filter_of(both)
     # a doc_id that several rows carry stands for its class by one of them; any of the class will do, so rows of other classes go
     texts = base.where("doc_id IS NOT NULL").mapInArrow(lean(_needed_texts(shared)), "doc_id long, text binary, cls long")
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))
@@ -308,8 +286,8 @@ def _needed_texts(shared):
     """The texts that the filter may know, with their classes; one function, so that a task needs one Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _, classes in _each(_needed(shared)(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(signed(classes))], names=["doc_id", "text", "cls"])
+        for ids, texts, _, classes in _each(by_filter(shared)(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), _named(classes)[0]], names=["doc_id", "text", "cls"])
 
     return run
 
@@ -327,12 +305,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = stash(base.mapInArrow(lean(_first_pass), FIRST), "first")
     frequent = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast(Frequency(frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
-    of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch", "wide")
+    of_docs = first.where("n IS NOT NULL").select("doc_id", "n", "cls", "check", "sketch", "wide")
     parts = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH_WORDS)]
     sketches = [f"s{k}" for k in range(SKETCH_WORDS)]
     # min of the sketch is any of the class: all are equal
-    classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", *parts)
-    classes = stash(classes.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
+    classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", "check", *parts)
+    classes = stash(classes.groupBy("cls", "check", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
     wides = stash(of_docs.where("wide IS NOT NULL").select("doc_id", "cls", "wide").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).select("cls", "wide").dropDuplicates(["cls"]), "wide")
 
     def narrowed(pairs: DataFrame) -> DataFrame:
@@ -343,7 +321,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(lean(_postings(shared)), POSTINGS), "postings")
     hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("hub < other OR c0 < c1").select("token", "hub")
     hubs = stash(hubs, "hubs")
-    shorter = postings.mapInArrow(lean(_needed(_filter_of(hubs.select("token")))), POSTINGS)
+    shorter = postings.mapInArrow(lean(by_filter(filter_of(hubs.select("token")))), POSTINGS)
     lists = stash(shorter.join(hubs, "token").select("token", "cls", "prio", "hub").distinct(), "lists")
     hub_of = lists.select("prio", F.col("cls").alias("hub_cls")).distinct()
 
@@ -376,8 +354,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls"), most).distinct()
     links = stash(links.unionByName(_links(base, narrowed(pairs))), "links")
     labels = components(links)
-    of_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("cls", F.col("n").alias("cn"), F.coalesce("label", "rep").alias("component"))
-    found = of_docs.join(of_class, (of_docs["cls"] == of_class["cls"]) & (of_docs["n"] == of_class["cn"]) & (of_docs["n"] > 0), "left")
+    of_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("cls", "check", F.col("n").alias("cn"), F.coalesce("label", "rep").alias("component"))
+    found = of_docs.join(of_class, (of_docs["cls"] == of_class["cls"]) & (of_docs["check"] == of_class["check"]) & (of_docs["n"] == of_class["cn"]) & (of_docs["n"] > 0), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -379,7 +379,7 @@ def test_language_held_out_accuracy_and_edges(spark):
 
 def test_kneser_ney_sums_to_one():
     texts = ["abracadabra banana", "cab bad bab"]
-    grams, n = np.unique(op7_language_id.codes(op7_language_id.symbols(texts)[0]), return_counts=True)
+    grams, n = np.unique(op7_language_id.codes(*op7_language_id.symbols(texts)), return_counts=True)
     model = op7_language_id.build_model(["x"], np.zeros(len(grams), int), grams, n)
     letters = np.unique(op7_language_id.symbols(texts)[0]).astype(np.uint64)
     for context in (0x061062072061, 0x020020020020):
@@ -459,12 +459,12 @@ def test_substring_dedup_against_brute_force(spark):
     texts.append(" ".join(words(70, 4)))  # one sentence of 70 words
     texts.append("Before it. " + " ".join(words(70, 4)) + " and after")
     got = {x["doc_id"]: x for x in op10_substring_dedup.drop_repeated_spans(frame(spark, texts)).collect()}
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     for d, t in enumerate(texts):
         runs = op10_substring_dedup.Runs([(t or "").encode()])
-        drop = np.array([h in seen for h in runs.hash.tolist()], bool) | ~runs.first_in_text()
+        drop = np.array([h in seen for h in zip(runs.hash.tolist(), runs.check.tolist(), strict=True)], bool) | ~runs.first_in_text()
         gone = runs.covered(drop)
-        seen |= set(runs.hash.tolist())
+        seen |= set(zip(runs.hash.tolist(), runs.check.tolist(), strict=True))
         assert got[d]["n_removed"] == int(gone.sum()) and got[d]["text"] == runs.without(gone, 0).decode(), d
     assert got[len(texts) - 1]["n_removed"] > 0
 
@@ -495,3 +495,61 @@ def test_substring_dedup_keeps_unique_text_and_rows_of_one_document(spark):
     got = sorted((x["doc_id"], x["text"]) for x in op10_substring_dedup.drop_repeated_spans(docs).collect())
     assert got[0] == got[1] == (1, text) and len(got[2][1]) < len(text)
     assert op10_substring_dedup.drop_repeated_spans(docs.limit(0)).count() == 0
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word and its complement, which every polynomial hash modulo a power of two confuses."""
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_and_lines_stay_apart(spark):
+    x, y = thue_morse(1024)
+    docs = frame(spark, [x, y])
+    assert sorted(r["component_id"] for r in op8_jaccard_join.jaccard_components(docs).collect()) == [0, 1]
+    docs = frame(spark, [f"{x}\n{x}", f"{x}\n{x}", f"{y}\n{y}"])
+    for drop in (op2_line_chunks.drop_repeated_runs, op2_line_chunks.drop_repeated_chunks):
+        assert {r["doc_id"]: r["n_removed"] for r in drop(docs).collect()} == {0: 0, 1: 2, 2: 0}
+    texts = [f"{x} a. {x} b.", f"{y} a. {y} b."]
+    assert [r["n_removed"] for r in op10_substring_dedup.drop_repeated_spans(frame(spark, texts)).collect()] == [0, 0]
+
+
+def test_short_texts_that_repeat_go_whole(spark):
+    got = {r["doc_id"]: r["text"] for r in op10_substring_dedup.drop_repeated_spans(frame(spark, ["Thank you.", "THANK  you.", "Thank you. Bye.", "Thank you. Bye."])).collect()}
+    assert got == {0: "Thank you.", 1: "", 2: "Thank you. Bye.", 3: ""}
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = frame(spark, ["6162ff63", "6162FF6320", "e9", "c3a9"]).selectExpr("doc_id", "CAST(unhex(text) AS STRING) AS text")
+    exact = {r["doc_id"]: (r["keep_id"], r["n_chars"]) for r in op9_exact_dedup.exact_dedup(docs).collect()}
+    assert exact == {0: (1, 4), 1: (1, 5), 2: (2, 1), 3: (3, 1)}
+    assert {r["doc_id"]: r["component_id"] for r in op8_jaccard_join.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["text"] for r in op10_substring_dedup.drop_repeated_spans(docs).collect()} == {0: "ab�c", 1: "", 2: "�", 3: "é"}
+    assert [r["text"] for r in op2_line_chunks.drop_repeated_runs(docs).orderBy("doc_id").collect()] == ["ab�c", "ab�c ", "�", "é"]
+    path, pattern = bpe()
+    assert [r["exact"] for r in op5_byte_bpe.round_trip(docs, path, pattern).collect()] == [True] * 4
+    assert op7_language_id.identify(docs, None).count() == op4_toxicity.toxicity(docs, op4_toxicity.Model()).count() == 4
+
+
+def test_one_row_of_equal_texts_is_kept(spark):
+    rows = [("a b", 1), ("ab", 1), ("ab", 2), ("same text", 5), ("same text", 5), ("x", None), ("x", None)]
+    for hot in (10_000, 0):
+        op9_exact_dedup.HOT_ROWS, before = hot, op9_exact_dedup.HOT_ROWS
+        try:
+            found = op9_exact_dedup.exact_dedup(frame(spark, *map(list, zip(*rows, strict=True)))).collect()
+        finally:
+            op9_exact_dedup.HOT_ROWS = before
+        kept = sorted(((r["doc_id"], r["n_chars"], r["group_size"]) for r in found if r["kept"]), key=str)
+        assert kept == sorted([(1, 3, 3), (5, 9, 2), (None, 1, 2)], key=str) and len(found) == len(rows)
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours():
+    texts = ["abc, déf!", "", "123 - x", "über uns", " .a", "z" * 50, "!?"]
+    alone = [op7_language_id.codes(*op7_language_id.symbols([t])).tolist() for t in texts]
+    assert op7_language_id.codes(*op7_language_id.symbols(texts)).tolist() == [c for a in alone for c in a]
+    sym, edges = op7_language_id.symbols(texts)
+    grams, n = np.unique(op7_language_id.codes(sym, edges), return_counts=True)
+    model = op7_language_id.build_model(["x", "y"], np.arange(len(grams)) % 2, grams, n)
+    together, back = model.means(texts)[0], model.means(texts[::-1])[0]
+    assert (together == back[::-1]).all()
+    assert all((together[k] == model.means([t])[0][0]).all() for k, t in enumerate(texts))
