@@ -18,7 +18,7 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Written into the shared folder and read again: cuts the lineage and survives lost executors.
 stash = materialised
 
-__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
+__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "digest_columns", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
 
 
 #: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
@@ -102,6 +102,12 @@ def _item(item: bytes) -> bytes:
     return made
 
 
+def digest_columns(texts: list[bytes]) -> list[np.ndarray]:
+    """The 128 bits of each text as two columns of Spark's long."""
+    found = np.frombuffer(b"".join(map(digest16, texts)), np.int64).reshape(-1, 2)
+    return [np.ascontiguousarray(found[:, k]) for k in (0, 1)]
+
+
 def item_hashes(items: list[bytes], both: bool = False) -> np.ndarray:
     """The first 64 bits of each item's digest, or with `both` all 128 as two columns; a digest of a cryptographic hash, so no plain texts are known to share one."""
     known = _kept.get

@@ -1,17 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is the hash of the words at the kept positions of a fixed mask; words at ignored positions may
-differ. Each benchmark item gives a seed for each mask and offset, each document one for each mask and word;
-equal seeds are hits. Around a hit the item is laid over the document and the best-scoring aligned stretch (a
-match counts 1, a substituted word -1) is found; the document is contaminated by the item when that
+differ. Each benchmark item gives a seed for each mask and offset, each text one for each mask and word.
+Seeds of texts that a filter of the items' seeds, of bounded size, cannot rule out are joined with the items' seeds, salted, as
+a seed may be common; the join names candidate pairs of text and item, once each however many seeds they share.
+
+A candidate text meets its items in blocks of about BLOCK. Around the seeds that both hold the item is laid over the text
+and the best-scoring aligned stretch (a match counts 1, a substituted word -1) is found; the text is contaminated by the item when that
 stretch holds at least `share` of the item's words as matches and at least `least` of them (all, for a shorter item).
-Words are runs of other than ASCII white space, A-Z lower-cased.
+Words are runs of other than ASCII white space, A-Z lower-cased, and are compared by 64 bits of a cryptographic digest. What is held for a pair
+grows with the lengths of text and item, not with their product.
 
-The seeds of the items are a sorted array in each task, at most SEEDS entries; a larger benchmark is cut into parts
-of at most that many seeds, with one pass over the documents for each part. What a part finds travels with its row into the next pass, so rows
-are never matched up by doc_id. Null or empty texts and items have no words and give no
-hits. Repeated items count once each by item_id; repeated documents get equal results; of equally good items the smallest item_id is named. An
-item shorter than the masks is sought by all its words. Only the named columns are read.
+Texts go by 128 bits of their digest, so copies are searched once, and rows are never matched up by doc_id: each row gives one row, whatever
+ids repeat or are null. Null or empty texts and items have no words and give no
+hits. Repeated items count once each by item_id; of equally good items the smallest item_id is named, a null one last. An
+item shorter than the masks is sought by all its words. Any bytes do. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, in_batches, lean, mix, table, words_of
+from framewright.llm.common import as_bytes, digest_columns, filter_of, in_batches, lean, maybe, mix, paired, signed, stash, table, words_of
 
 #: 1: the word counts; 0: any word will do.
 MASKS = ("1110110111", "1101011011", "1011101101", "11111111")
-SEEDS = 2_000_000
+SPAN = min(map(len, MASKS))
 SHARE, LEAST = 0.5, 8
-#: What a row carries from pass to pass: its text, and the best item so far.
-CARRIED = "doc_id long, text binary, n_items int, item_id long, overlap double, first_word long, last_word long"
+#: Items that a candidate text meets at once, salts of the joins, and texts whose digests a task remembers.
+BLOCK, SALTS, REMEMBERED = 256, 8, 200_000
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -49,140 +52,241 @@ def hash_of(mask: str) -> np.uint64:
     return np.uint64(int(mask, 2) * 1_000_003 + len(mask))
 
 
-class Index:
-    """The seeds of some benchmark items: sorted, with item and offset beside each."""
-
-    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...] = MASKS):
-        self.ids = [i for i, _ in items]
-        self.words = [words_of([t])[0] for _, t in items]
-        span = min(map(len, masks))
-        self.masks = [*masks, *("1" * n for n in sorted({len(w) for w in self.words if 0 < len(w) < span}))]
-        found = []
-        for k, w in enumerate(self.words):
-            for m in self.masks:
-                if len(m) == len(w) or (m in masks and len(m) < len(w)):
-                    s = seeds(w, m)
-                    found.append((s, np.full(len(s), k), np.arange(len(s))))
-        cat = (lambda n, t: np.concatenate([f[n] for f in found]).astype(t)) if found else (lambda n, t: np.empty(0, t))
-        key, item, offset = cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.offset = key[order], item[order], offset[order]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.key >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, document word over which the item's first word lies)."""
-        out = []
-        for mask in self.masks:
-            s = seeds(words, mask)
-            at = np.flatnonzero(self.filter[(s >> np.uint64(42)).astype(np.int64)])
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.key, s[at], "left"), np.searchsorted(self.key, s[at], "right")
-            n = high - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            doc = np.searchsorted(edges, at, "right") - 1
-            inside = at + len(mask) <= edges[doc + 1]
-            at, low, n, doc = at[inside], low[inside], n[inside], doc[inside]
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-            out.append(np.stack([np.repeat(doc, n), self.item[entry], np.repeat(at, n) - self.offset[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
-
-    def verified(self, words: np.ndarray, edges: np.ndarray, share: float, least: int) -> Iterator[tuple[int, int, float, int, int]]:
-        """(document, item, overlap, first word, last word) of the hits that hold, words counted from the document's start."""
-        for doc, item, lies in self.hits(words, edges).tolist():
-            own, low, high = self.words[item], int(edges[doc]), int(edges[doc + 1])
-            a, b = max(lies, low), min(lies + len(own), high)
-            same = words[a:b] == own[a - lies : b - lies]
-            first, last, matches = best_stretch(same)
-            if matches >= min(least, len(own)) and matches >= share * len(own):
-                yield doc, item, matches / len(own), a + first - low, a + last - low
+def masks_of(n: int) -> list[str]:
+    """The masks by which an item of n words is sought."""
+    return [m for m in MASKS if len(m) <= n] if n >= SPAN else ["1" * n] * (n > 0)
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """First and last index and matches of the stretch with the highest score, by prefix sums and their running minimum."""
+    """First and last index and matches of the stretch with the highest score, the longest and then the first of equal ones, by prefix sums and their running minimum."""
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
+    gain = total - low
+    ends = np.flatnonzero(gain == gain.max())
+    starts = np.searchsorted(-low, -low[ends], "left")
+    k = int(np.argmax(ends - starts))
+    start, end = int(starts[k]), int(ends[k])
     return start, end - 1, int(same[start:end].sum())
 
 
-def _searched(shared, share: float, least: int, last_pass: bool):
-    """A pass: rows of CARRIED, with the items of the index counted in; the last one gives no texts back."""
+class Text:
+    """The words of a text and, for each mask asked for, where its seeds stand."""
+
+    def __init__(self, text: bytes):
+        self.words = words_of([text])[0]
+        self.sorted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(self, mask: str) -> tuple[np.ndarray, np.ndarray]:
+        if mask not in self.sorted:
+            s = seeds(self.words, mask)
+            order = np.argsort(s, kind="stable")
+            self.sorted[mask] = s[order], order
+        return self.sorted[mask]
+
+    def laid(self, own: np.ndarray) -> np.ndarray:
+        """The words of the text over which the first word of an item can lie, by shared seeds; negative ones before its start."""
+        over = np.zeros(len(self.words) + len(own), bool)
+        for mask in masks_of(len(own)):
+            key, at = self.places(mask)
+            s = seeds(own, mask)
+            low, high = np.searchsorted(key, s, "left"), np.searchsorted(key, s, "right")
+            for offset in np.flatnonzero(high > low).tolist():
+                over[at[low[offset] : high[offset]] - offset + len(own)] = True
+        return np.flatnonzero(over) - len(own)
+
+    def held(self, own: np.ndarray, share: float, least: int) -> tuple[float, int, int] | None:
+        """(overlap, first word, last word) of the best stretch that holds, the first of equally good ones."""
+        best = None
+        for lies in self.laid(own).tolist():
+            a, b = max(lies, 0), min(lies + len(own), len(self.words))
+            first, last, matches = best_stretch(self.words[a:b] == own[a - lies : b - lies])
+            if matches >= min(least, len(own)) and matches >= share * len(own):
+                case = (-matches / len(own), a + first, a + last)
+                best = case if best is None else min(best, case)
+                if matches == len(own):
+                    break  # what follows is not better and lies further on
+        return None if best is None else (-best[0], *best[1:])
+
+
+ITEM = "item_id long, text binary, i1 long, i2 long, seed long"
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct seeds of each item, named by item_id and text."""
+    for batch in batches:
+        for at, part in in_batches(as_bytes(batch.column(1))):
+            ids = batch.column(0).slice(at, len(part))
+            names = digest_columns([b"%s " % str(i).encode() + t for i, t in zip(ids.to_pylist(), part, strict=True)])
+            words, edges = words_of(part)
+            own = [words[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            found = [np.unique(np.concatenate([np.empty(0, np.uint64), *(seeds(w, m) for m in masks_of(len(w)))])) for w in own]
+            row = np.repeat(np.arange(len(part)), [len(f) for f in found])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(part, pa.binary()).take(take), *(pa.array(n[row]) for n in names), pa.array(signed(np.concatenate(found)))], names=[x.split()[0] for x in ITEM.split(", ")])
+
+
+def _text_seeds(shared, masks: list[str]):
+    """(d1, d2, seed): the seeds of each text that the filter may know, once for each text as long as its digest is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at, part in in_batches(as_bytes(batch.column(1))):
-                ids, text, *before = (c.slice(at, len(part)) for c in batch.columns)
-                words, edges = words_of(part)
-                n, best = [set() for _ in part], [None if o is None else (-o, i, a, b) for i, o, a, b in zip(*(c.to_pylist() for c in before[1:]), strict=True)]
-                for doc, item, overlap, first, last in index.verified(words, edges, share, least):
-                    n[doc].add(index.ids[item])
-                    case = (-overlap, index.ids[item], first, last)
-                    if best[doc] is None or _order(case) < _order(best[doc]):
-                        best[doc] = case
-                pick = lambda k, t, best=best: pa.array([None if b is None else b[k] for b in best], t)
-                overlap = pa.array([None if b is None else -b[0] for b in best], pa.float64())
-                # parts share no item_id, so counts add up
-                total = pa.array([a + len(b) for a, b in zip(before[0].to_pylist(), n, strict=True)], pa.int32())
-                if last_pass:
-                    text = pa.nulls(len(part), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, text, total, pick(1, pa.int64()), overlap, pick(2, pa.int64()), pick(3, pa.int64())], names=[x.split()[0] for x in CARRIED.split(", ")])
+            for _, part in in_batches(as_bytes(batch.column(0))):
+                names = [n.tolist() for n in digest_columns(part)]
+                fresh = []
+                for t, name in zip(part, zip(*names, strict=True), strict=True):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append((t, name))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if not fresh:
+                    continue
+                words, edges = words_of([t for t, _ in fresh])
+                at, key = [], []
+                for mask in masks:
+                    s = seeds(words, mask)
+                    hit = np.flatnonzero(maybe(shared, s))
+                    text = np.searchsorted(edges, hit, "right") - 1
+                    inside = hit + len(mask) <= edges[text + 1]
+                    at.append(text[inside])
+                    key.append(s[hit[inside]])
+                found = np.unique(np.stack([np.concatenate(at).astype(np.int64), signed(np.concatenate(key))], axis=1), axis=0) if at else np.empty((0, 2), np.int64)
+                name = np.array([n for _, n in fresh], np.int64).reshape(-1, 2)[found[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["d1", "d2", "seed"])
 
     return run
 
 
-def _order(case: tuple) -> tuple:
-    """A null item_id comes last."""
-    return case[0], case[1] is None, case[1] or 0, case[2:]
+def _needed(shared):
+    """(d1, d2, text) of the texts that the filter may know, once for each as long as it is remembered."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            d1, d2 = digest_columns(texts)
+            rows = []
+            for k in np.flatnonzero(maybe(shared, paired(d1, d2))).tolist():
+                if (name := (int(d1[k]), int(d2[k]))) not in seen:
+                    seen.add(name)
+                    rows.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(d1[rows]), pa.array(d2[rows]), pa.array([texts[k] for k in rows], pa.binary())], names=["d1", "d2", "text"])
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in parts whose seeds stay within SEEDS, by hash of item_id."""
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    words = rows.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    n = int(words * len(MASKS) // SEEDS) + 1
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r["item_id"], bytes(r["text"])) for r in part.orderBy("item_id").collect()]
+    return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, and of the best item: item_id, overlap (share of its words matched), first_word, last_word."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rest = [F.lit(0).alias("n_items"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in CARRIED.split(", ")[3:]))]
-    found = base.select("doc_id", F.col("text").cast("binary").alias("text"), *rest)
-    parts = _parts(benchmark)
-    items = next(parts)
-    while items is not None:
-        following = next(parts, None)
-        found = found.mapInArrow(lean(_searched(spark.sparkContext.broadcast(Index(items)), share, least, following is None)), CARRIED)
-        items = following
-    overlap = F.coalesce("overlap", F.lit(0.0)).alias("overlap")
-    return found.select("doc_id", F.expr("overlap IS NOT NULL").alias("contaminated"), "n_items", "item_id", overlap, "first_word", "last_word")
+MET = "d1 long, d2 long, n_items long, item_id long, overlap double, first_word long, last_word long"
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that no item contaminates; nothing is shuffled."""
-    spark, k = docs.sparkSession, docs.columns.index(text_col)
+def _met(share: float, least: int):
+    """Of rows (d1, d2, block, is_item, item_id, text) in order, a text before its items: what the items of a block find, as one row of MET."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, found = None, None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                item, (overlap, first, last) = min(found.items(), key=lambda x: (-x[1][0], x[0] is None, x[0] or 0))
+                values = [*key[:2], len(found), item, overlap, first, last]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.float64() if n == "overlap double" else pa.int64()) for v, n in zip(values, MET.split(", "), strict=True)], names=[x.split()[0] for x in MET.split(", ")])
 
-    def clean_by(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d1, d2, block, is_item, ids = (batch.column(k).to_pylist() for k in range(5))
+            for k, own in enumerate(as_bytes(batch.column(5))):
+                if not is_item[k]:
+                    yield from out()
+                    key, text, found = (d1[k], d2[k], block[k]), Text(own), {}
+                    continue
+                if key != (d1[k], d2[k], block[k]):
+                    raise ValueError("items without their text")
+                case = text.held(words_of([own])[0], share, least)
+                if case is not None and (ids[k] not in found or (-case[0], *case[1:]) < (-found[ids[k]][0], *found[ids[k]][1:])):
+                    found[ids[k]] = case
+        yield from out()
+
+    return run
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+
+
+def found_items(texts: DataFrame, benchmark: DataFrame, share: float, least: int) -> DataFrame:
+    """MET for each contaminated text of the one column of `texts`, named by its digest."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = stash(items.mapInArrow(lean(_item_seeds), ITEM).dropDuplicates(["i1", "i2", "seed"]), "item-seeds")
+    # at most SPAN - 1 lengths are below SPAN
+    short = items.where(F.octet_length("text") >= 0).select(F.size(F.split(F.trim(F.regexp_replace(F.decode("text", "ISO-8859-1"), r"[\t\n\x0b\f\r ]+", " ")), " ")).alias("n")).where(f"n < {SPAN}").distinct().collect()
+    masks = [*MASKS, *("1" * r["n"] for r in sorted(short, key=lambda r: r["n"]))]
+    hits = texts.mapInArrow(lean(_text_seeds(filter_of(items.select("seed")), masks)), "d1 long, d2 long, seed long")
+    hits = hits.withColumn("salt", F.pmod(F.col("d1"), F.lit(SALTS)).cast("int"))
+    pairs = stash(hits.join(_salted(items.select("seed", "i1", "i2")), ["seed", "salt"]).select("d1", "d2", "i1", "i2").distinct(), "candidates")
+    per_text = pairs.groupBy("d1", "d2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    whole = items.select("i1", "i2", "item_id", "text").dropDuplicates(["i1", "i2"])
+    # all items of one item_id are in one block, so blocks add up
+    blocked = pairs.join(per_text, ["d1", "d2"]).join(whole, ["i1", "i2"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")))
+    blocked = stash(blocked.select("d1", "d2", "block", F.lit(True).alias("is_item"), "item_id", "text"), "blocks")
+    known = texts.mapInArrow(lean(_needed(filter_of(per_text.select("d1", "d2")))), "d1 long, d2 long, text binary").dropDuplicates(["d1", "d2"])
+    heads = blocked.select("d1", "d2", "block").distinct().join(known, ["d1", "d2"]).select("d1", "d2", "block", F.lit(False).alias("is_item"), F.lit(None).cast("long").alias("item_id"), "text")
+    rows = heads.unionByName(blocked).repartition("d1", "d2", "block").sortWithinPartitions("d1", "d2", "block", "is_item", "item_id")
+    met = rows.mapInArrow(lean(_met(share, least)), MET)
+    best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("item_id").isNull().alias("z"), "item_id", "first_word", "last_word")).alias("best")
+    met = met.groupBy("d1", "d2").agg(F.sum("n_items").alias("n_items"), best)
+    return stash(met.select("d1", "d2", "n_items", "best.item_id", (-F.col("best.o")).alias("overlap"), "best.first_word", "best.last_word"), "contaminated")
+
+
+def _parted(docs: DataFrame, text_col: str, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` that `met` cannot name, and the others with the digest of their text and a salt in the columns given last."""
+    shared, k, schema = filter_of(met.select("d1", "d2")), docs.columns.index(text_col), docs.schema
+    d1, d2, salt = _free(docs, "d1"), _free(docs, "d2"), _free(docs, "salt")
+
+    def run(known: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for at, part in in_batches(as_bytes(batch.column(k))):
-                    for doc, *_ in shared.value.verified(*words_of(part), share, least):
-                        keep[at + doc] = False
-                yield batch.filter(pa.array(keep))
+                names = digest_columns(as_bytes(batch.column(k)))
+                keep = pa.array(maybe(shared, paired(*names)) == known)
+                if known:
+                    salts = (np.arange(n, n + batch.num_rows) % SALTS).astype(np.int32)
+                    n += batch.num_rows
+                    batch = pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, names), pa.array(salts)], names=[*batch.schema.names, d1, d2, salt])
+                yield batch.filter(keep)
+
+        return lean(rows)
+
+    wide = docs.select("*", F.lit(0).cast("long").alias(d1), F.lit(0).cast("long").alias(d2), F.lit(0).alias(salt)).schema
+    return docs.mapInArrow(run(False), schema), docs.mapInArrow(run(True), wide)
 
-        return run
 
-    for items in _parts(benchmark):
-        docs = docs.mapInArrow(lean(clean_by(spark.sparkContext.broadcast(Index(items)))), docs.schema)
-    return docs
+def _free(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, contaminated, n_items, and of the best item: item_id, overlap (share of its words matched), first_word, last_word."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    met = found_items(base.select("text"), benchmark, share, least)
+    clean, rest = _parted(base, "text", met)
+    joined = rest.join(_salted(met), ["d1", "d2", "salt"], "left")
+    none = {c: F.lit(None).cast("long").alias(c) for c in ("item_id", "first_word", "last_word")}
+    clean = clean.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).alias("n_items"), none["item_id"], F.lit(0.0).alias("overlap"), none["first_word"], none["last_word"])
+    found = joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("int").alias("n_items"), "item_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), "first_word", "last_word")
+    return clean.unionByName(found)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that no item contaminates; null texts stay; only rows that may go are shuffled."""
+    met = found_items(docs.select(F.col(text_col).alias("text")), benchmark, share, least)
+    clean, rest = _parted(docs, text_col, met)
+    d1, d2, salt = rest.columns[-3:]
+    gone = _salted(met.select("d1", "d2")).select(F.col("d1").alias(d1), F.col("d2").alias(d2), F.col("salt").alias(salt))
+    return clean.unionByName(rest.join(gone, [d1, d2, salt], "left_anti").select(*docs.columns))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,26 +334,77 @@ def test_decontamination_tolerates_substitutions(spark):
     assert op6_decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontamination_in_parts_equals_one_pass(spark, monkeypatch):
-    bench = spark.createDataFrame([(k, " ".join(words(20, 1000 + k))) for k in range(20)], "item_id long, text string")
-    docs = frame(spark, [" ".join(words(9, k) + words(20, 1000 + k)) for k in range(25)])
-    whole = sorted(map(tuple, op6_decontaminate.contamination(docs, bench).collect()))
-    monkeypatch.setattr(op6_decontaminate, "SEEDS", 400)
-    assert len(list(op6_decontaminate._parts(bench))) > 1
-    assert sorted(map(tuple, op6_decontaminate.contamination(docs, bench).collect())) == whole
+def held_by(text: str, item: str) -> float:
+    """The best overlap of an item over all ways to lay it over a text that share a seed, by comparing words; 0 if none holds."""
+    w, own = text.lower().split(), item.lower().split()
+    best, n = 0.0, len(own)
+    for lies in range(-n + 1, len(w)):
+        same = [0 <= lies + k < len(w) and w[lies + k] == own[k] for k in range(n)]
+        masks = [m for m in op6_decontaminate.MASKS if len(m) <= n] if n >= 8 else ["1" * n]
+        if not any(all(same[o + k] for k, c in enumerate(m) if c == "1") and 0 <= lies + o and lies + o + len(m) <= len(w) for m in masks for o in range(n - len(m) + 1)):
+            continue
+        score = start = 0
+        stretches = []
+        low, high = max(0, -lies), min(n, len(w) - lies)
+        for start in range(low, high):
+            score = 0
+            for end in range(start, high):
+                score += 1 if same[end] else -1
+                stretches.append((score, start, -end, sum(same[start : end + 1])))
+        top = max(s[0] for s in stretches)
+        matches = max(s[3] for s in stretches if s[0] == top)
+        if matches >= min(8, n) and 2 * matches >= n:
+            best = max(best, matches / n)
+    return best
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(21)
+    items = [(k, " ".join(words(r.randint(1, 22), 700 + k))) for k in range(14)]
+    texts = []
+    for k in range(60):
+        w = words(r.randint(5, 30), 9000 + k)
+        for _ in range(r.randint(0, 2)):
+            own = r.choice(items)[1].split()
+            own = [x if r.random() > 0.15 else "zz" for x in own[r.randrange(3) :]]
+            at = r.randrange(len(w))
+            w[at:at] = own
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: x for x in op6_decontaminate.contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        held = {i: held_by(t, item) for i, item in items}
+        n = sum(x > 0 for x in held.values())
+        assert (got[k]["n_items"], got[k]["contaminated"]) == (n, n > 0), k
+        assert n == 0 or abs(got[k]["overlap"] - max(held.values())) < 1e-9 and held[got[k]["item_id"]] == max(held.values())
 
 
-def test_decontamination_in_parts_keeps_rows_that_share_a_doc_id(spark, monkeypatch):
-    bench = spark.createDataFrame([(k, " ".join(words(20, 1000 + k))) for k in range(20)], "item_id long, text string")
+def test_decontamination_rows_blocks_and_clashing_names(spark, monkeypatch):
+    bench = spark.createDataFrame([*((k, " ".join(words(20, 1000 + k))) for k in range(20)), (None, " ".join(words(20, 1001)))], "item_id long, text string")
     texts = [" ".join(words(9, k) + (words(20, 1000 + k) + words(20, 1001 + k) if k % 2 else [])) for k in range(15)]
-    docs = frame(spark, [*texts, None], [None if k % 3 == 0 else k // 4 for k in range(16)])
+    docs = frame(spark, [*texts, texts[1], None], [None if k % 3 == 0 else k // 4 for k in range(17)]).withColumnRenamed("hash", "d1").withColumnRenamed("doc", "_d1").withColumnRenamed("n", "salt")
     rows = lambda: sorted(map(str, op6_decontaminate.contamination(docs, bench).collect()))
     whole = rows()
-    monkeypatch.setattr(op6_decontaminate, "SEEDS", 400)
-    assert len(list(op6_decontaminate._parts(bench))) > 1 and len(whole) == 16
+    assert len(whole) == 17 and sum("contaminated=True" in x for x in whole) == 8
+    left = op6_decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == 9
+    monkeypatch.setattr(op6_decontaminate, "BLOCK", 1)
+    monkeypatch.setattr(op6_decontaminate, "REMEMBERED", 0)
     assert rows() == whole
 
 
+def test_decontamination_of_repetitive_texts():
+    import tracemalloc
+
+    text = op6_decontaminate.Text(b"word " * 40_000)
+    own = words_of([b"word " * 400])[0]
+    tracemalloc.start()
+    assert text.held(own, 0.5, 8) == (1.0, 0, 399)
+    other = words_of([b"word " * 399 + b"end"])[0]
+    assert text.held(other, 0.5, 8) == (399 / 400, 0, 398)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdeaeiou", "bb": "vwxyzaeiou", "cc": "абвгдежзик"}
