@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import os
@@ -77,13 +78,23 @@ def test_small_facts(spark):
     assert [r[0] for r in cov.select(snapshot.evidence_level()).collect()] == ["sample_verified", "metadata_verified", "official_claim"]
 
 
-def test_typed_trees():
-    assert canonical.typed_digest(1) != canonical.typed_digest(1.0) and canonical.same_json({"a": 1, "b": [True]}, {"b": [True], "a": 1})
-    assert not canonical.same_json(1, True) and not canonical.same_json(1, 1.0)
-    with pytest.raises(ValueError):
-        canonical.typed(math.nan)
-    with pytest.raises(ValueError):
-        canonical.typed(1 << 60)
+def test_typed_form(spark):
+    value = {"b": [None, True, False, 3, 3.0, -0.5, "é"], "a": {"z": [], "é": {}, "y": 1e15}}
+    want = '["object",[["a",["object",[["y",["number","integer","1000000000000000"]],["z",["array",[]]],["é",["object",[]]]]]],["b",["array",[["null"],["bool","true"],["bool","false"],["number","integer","3"],["number","integer","3"],["number","float64","bfe0000000000000"],["string","é"]]]]]]'
+    assert canonical.typed_text(value) == want and json.loads(want)[0] == "object"
+    assert canonical.typed_digest(value) == hashlib.sha256(want.encode()).hexdigest()
+    assert canonical.typed_digest(1) == canonical.typed_digest(1.0) != canonical.typed_digest(True)
+    for bad in (math.nan, 1 << 60, 1e300, {1: 2}, "\ud800", {1}, {"a": -math.inf}):
+        with pytest.raises(ValueError):
+            canonical.typed_text(bad)
+    deep = []
+    for _ in range(50_000):
+        deep = [deep]
+    assert canonical.typed_text(deep).count("array") == 50_001
+    texts = spark.createDataFrame([('{"a": 1.0}',), ('{"a": 1}',), ("nope",), ("NaN",), (None,)], "t string")
+    got = [r[0] for r in texts.select(canonical.typed_digests(F.col("t"))).collect()]
+    assert got == [canonical.typed_digest({"a": 1})] * 2 + [None] * 3
+    assert canonical.same_json({"a": 1, "b": [True]}, {"b": [True], "a": 1}) and not canonical.same_json(1, True) and not canonical.same_json(1, 1.0)
     assert canonical.plain_json({"b": math.inf, "a": [math.nan]}) == '{"a":["NaN"],"b":"Infinity"}'
 
 
