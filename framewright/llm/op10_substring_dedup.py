@@ -8,7 +8,7 @@ Its text is then cut again into runs, and every sentence that a returned run cov
 the same document. So a passage that any number of documents share stays once, in the document with the smallest doc_id.
 
 Only links from a hash to its first document travel, never pairs of documents; the join that returns them is one that
-Spark can split where a passage is very common. Runs whose 64-bit hash no other document has are left out before 128 bits, taken from cryptographic digests of the words, decide.
+Spark can split where a passage is very common. Runs whose 64-bit hash no other document has are left out before 128 bits, polynomials over the words' hashes, decide.
 A text with fewer than RUN sentences or WORDS words is one run, so repeated short texts go whole.
 Null texts give an empty text, as do texts all of whose sentences repeat. Rows that share a doc_id are one document: none of them
 loses what it shares only with the others. A null doc_id comes after all others. Only the two named columns are read.
@@ -45,7 +45,7 @@ class Runs:
         begins = np.ones(n, bool)
         begins[1:] = breaks[:-1]
         begins[first[:-1][first[:-1] < n]] = True
-        both = item_hashes([w for t in texts for w in t.lower().split()], both=True)
+        both = item_hashes(np.frombuffer(self.data.tobytes().lower(), np.uint8), start, end, both=True)
         hashes = np.ascontiguousarray(both[:, 0])
         # a long sentence is cut by its content, so that pieces agree wherever the sentence began
         opened = np.flatnonzero(begins)
@@ -147,7 +147,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     span = [F.min("doc").alias("first"), F.max("doc").alias("last")]
     # 64 bits name the candidates, 128 decide
     repeated = base.mapInArrow(lean(_runs()), schema).groupBy("hash").agg(*span).where("first < last").select("hash")
-    runs = base.mapInArrow(lean(_runs(filter_of(stash(repeated, "repeated")))), schema)
+    runs = stash(base.mapInArrow(lean(_runs(filter_of(stash(repeated, "repeated")))), schema), "runs")
     first = runs.groupBy("hash", "check").agg(*span).where("first < last").select("hash", "check", "first")
     later = runs.join(first, ["hash", "check"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("hash", "check")).alias("drops"))
     return clear_of(base, later, _cleaned, CLEANED)

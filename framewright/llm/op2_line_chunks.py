@@ -39,7 +39,7 @@ class Chunks:
         self.data, self.edges = joined(texts)
         end = np.flatnonzero(self.data == 10)
         start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-        hashes = item_hashes([x for t in texts for x in t.split(b"\n")])
+        hashes = item_hashes(self.data, start, end)
         self.first_line = np.searchsorted(start, self.edges)
         n = len(start)
         text = np.repeat(np.arange(len(texts)), np.diff(self.first_line))
@@ -148,7 +148,7 @@ class Lines:
         self.data, self.edges = joined(texts)
         self.end = np.flatnonzero(self.data == 10)
         self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
-        self.hash = signed(item_hashes([x for t in texts for x in t.split(b"\n")]))
+        self.hash = signed(item_hashes(self.data, self.start, self.end))
         self.first = np.searchsorted(self.start, self.edges)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.pair = np.flatnonzero(self.text[1:] == self.text[:-1])
@@ -242,7 +242,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: doc_id, n_lines, n_removed (lines), n_chars and text without the lines of repeated runs of at least two."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = base.select("text").mapInArrow(lean(_lines), "hash long, content binary").repartition("hash").groupBy("hash", "content").agg(F.count(F.lit(1)).alias("n"))
-    # hashes that several different lines have: of a cryptographic hash's 64 bits, a few hundred among 1e11 lines
+    # hashes that several different lines have: by chance a few hundred among 1e11 lines
     unsure = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash").toArrow().column("hash").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(unsure)
     pairs = base.mapInArrow(lean(_pairs()), "a long, b long, doc long")

@@ -8,7 +8,7 @@ a seed may be common; the join names candidate pairs of text and item, once each
 A candidate text meets its items in blocks of about BLOCK. Around the seeds that both hold the item is laid over the text
 and the best-scoring aligned stretch (a match counts 1, a substituted word -1) is found; the text is contaminated by the item when that
 stretch holds at least `share` of the item's words as matches and at least `least` of them (all, for a shorter item).
-Words are runs of other than ASCII white space, A-Z lower-cased, and are compared by 64 bits of a cryptographic digest. What is held for a pair
+Words are runs of other than ASCII white space, A-Z lower-cased, and are compared by 64-bit hashes. What is held for a pair
 grows with the lengths of text and item, not with their product.
 
 Texts go by 128 bits of their digest, so copies are searched once, and rows are never matched up by doc_id: each row gives one row, whatever
