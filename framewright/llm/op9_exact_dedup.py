@@ -33,7 +33,7 @@ from framewright.llm.common import ASCII_SPACE, as_bytes, lean, stash, table
 #: Bytes of content that a task holds for stage 1; beyond it the entries go out and the task starts afresh.
 HELD_BYTES = 48_000_000
 #: Groups with more than a HOT_GROUPSth of all rows, and more than HOT_ROWS, are not shuffled to their winner.
-HOT_GROUPS, HOT_ROWS = 1000, 10_000
+HOT_GROUPS, HOT_ROWS = 1000, 100
 #: Above any HALF - doc_id.
 SPAN = 10**20
 HALF = 1 << 63

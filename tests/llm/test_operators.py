@@ -584,7 +584,7 @@ def test_bytes_that_are_no_utf8(spark):
 
 def test_one_row_of_equal_texts_is_kept(spark):
     rows = [("a b", 1), ("ab", 1), ("ab", 2), ("same text", 5), ("same text", 5), ("x", None), ("x", None)]
-    for hot in (10_000, 0):
+    for hot in (100, 0):
         op9_exact_dedup.HOT_ROWS, before = hot, op9_exact_dedup.HOT_ROWS
         try:
             found = op9_exact_dedup.exact_dedup(frame(spark, *map(list, zip(*rows, strict=True)))).collect()
@@ -604,3 +604,46 @@ def test_language_of_a_text_does_not_depend_on_its_neighbours():
     together, back = model.means(texts)[0], model.means(texts[::-1])[0]
     assert (together == back[::-1]).all()
     assert all((together[k] == model.means([t])[0][0]).all() for k, t in enumerate(texts))
+
+
+NAV = "".join(f"<div><span>entry {k}</span> <b>go</b></div>" for k in range(12))
+PARAGRAPHS = [("long words of a story " * 12).strip() + f" {k}" for k in range(6)]
+STORY = "<div><h2>Head</h2>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "<p>Short end.</p></div>"
+STORY_TEXT = "\n".join(["Head", *PARAGRAPHS, "Short end."])
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post comments-open", "main-content with-ads", "related-work", "social-science"])
+def test_pages_without_article_give_their_text(name):
+    page = f"<body><h1>Title</h1><div>{NAV}</div><div class='{name}'>{STORY}</div><div class='footer'>no</div><div>{NAV}</div></body>"
+    assert op3_html_text.main_text(page) == f"Title\n{STORY_TEXT}"
+    assert op3_html_text.main_text(f"<body><form id='f'><input>{page}</form></body>") == f"Title\n{STORY_TEXT}"
+
+
+def test_clustering_decides_where_no_element_does(monkeypatch):
+    # entries outweigh the story together, but their ratio of text to tags is low
+    many = NAV * 16
+    page = f"<div><div>{many}</div>{STORY}</div>"
+    assert op3_html_text.main_text(page) == STORY_TEXT
+    monkeypatch.setattr(op3_html_text, "two_means", lambda values: -1.0)
+    assert op3_html_text.main_text(page) != STORY_TEXT
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ['<a b="', "<a ", "<!--", "</", "<!", "<?x", "<div class=x>", "<b>", "<main>", "<a b='\"", "<button>", "<![CDATA[", "<script>", "<p><i><p>", "<div class=ads-x><main>", "&lt", "<form>x", '<a b="x" c=\'y" '],
+)
+def test_reading_takes_time_in_proportion(unit):
+    import time
+
+    began = time.time()
+    op3_html_text.main_text(unit * (1_000_000 // len(unit)))
+    op3_html_text.main_text(unit * (300_000 // len(unit)) + "</i><p></p>" * 50_000)
+    assert time.time() - began < 60
+
+
+def test_what_never_ends_is_text():
+    assert op3_html_text.calm("<p class='x'>a <b c=\"d>e</b> f") == "<p class='x'>a &lt;b c=\"d>e</b> f"
+    assert op3_html_text.calm("<script>a<b='</script><p>x") == "<script>a<b='</script><p>x"
+    assert op3_html_text.calm("<!-- a < b --><p>1 < 2 <!-- c") == "<!-- a < b --><p>1 < 2 &lt;!-- c"
+    for page in ("", "<p>x", "<a href='x'>y</a>", "<!DOCTYPE html><p>a", "<p>1 < 2</p>"):
+        assert op3_html_text.calm(page) == page
