@@ -1,16 +1,19 @@
 """Files of a data set: layout, inventory, Parquet footers, digests, path policy.
 
-Listing and contents go through Spark's binaryFile source, so any file system that Spark reads will do; only the
+Listing goes through Spark's binaryFile source, so any file system that Spark reads will do. Footers and digests are read on the executors by ranges, so
+a footer costs its own bytes whatever the file's size; for file systems that only Spark opens whole files go through binaryFile instead. Only the
 symlink policy looks at a local file system, as others have no symlinks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import model
@@ -54,33 +57,91 @@ def _column(field: pa.Field) -> dict:
     return {"name": field.name, "type": str(kind), "shape": shape, "nullable": field.nullable}
 
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: File systems that Arrow opens by range, with Arrow's name for them.
+RANGED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+BLOCK = 1 << 20
+
+
+def _scheme(uri: Column) -> Column:
+    return F.regexp_extract(uri, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+
+
+def _opened(uri: str):
+    """A file by URI for reading by ranges."""
+    from pyarrow import fs
+
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + unquote(rest).lstrip("/"))
+    store, path = fs.FileSystem.from_uri(f"{RANGED[scheme]}:{rest}")
+    return store.open_input_file(path)
+
+
+def _footer(path: str, source) -> dict:
+    """What a Parquet file's last bytes say; reads those only."""
     import pyarrow.parquet as pq
 
-    fields = pa.struct([("name", pa.string()), ("type", pa.string()), ("shape", pa.list_(pa.int64())), ("nullable", pa.bool_())])
-    schema = pa.schema([("path", pa.string()), ("num_rows", pa.int64()), ("row_groups", pa.int32()), ("unfinalized", pa.bool_()), ("columns", pa.list_(fields)), ("error", pa.string())])
-    for batch in batches:
-        rows = []
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = data.as_buffer()
-            row = {"path": path, "num_rows": None, "row_groups": None, "unfinalized": raw.size < 8 or raw[raw.size - 4 :].to_pybytes() != b"PAR1", "columns": None, "error": None}
-            try:
-                f = pq.ParquetFile(pa.BufferReader(raw))
-                row |= {"num_rows": f.metadata.num_rows, "row_groups": f.metadata.num_row_groups, "columns": [_column(x) for x in f.schema_arrow]}
-            except (pa.ArrowException, OSError) as e:
-                row["error"] = f"{type(e).__name__}"
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    row = {"path": path, "num_rows": None, "row_groups": None, "unfinalized": True, "columns": None, "error": None}
+    try:
+        with source() as f:
+            size = f.size()
+            f.seek(max(0, size - 4))
+            row["unfinalized"] = size < 8 or f.read(4) != b"PAR1"
+            meta = pq.read_metadata(f)
+            row |= {"num_rows": meta.num_rows, "row_groups": meta.num_row_groups, "columns": [_column(x) for x in meta.schema.to_arrow_schema()]}
+    except (pa.ArrowException, OSError) as e:
+        row["error"] = f"{type(e).__name__}"
+    return row
+
+
+_COLUMNS = pa.struct([("name", pa.string()), ("type", pa.string()), ("shape", pa.list_(pa.int64())), ("nullable", pa.bool_())])
+_FOOTERS = pa.schema([("path", pa.string()), ("num_rows", pa.int64()), ("row_groups", pa.int32()), ("unfinalized", pa.bool_()), ("columns", pa.list_(_COLUMNS)), ("error", pa.string())])
+
+
+def _digest(path: str, source) -> dict:
+    total = hashlib.sha256()
+    with source() as f:
+        while block := f.read(BLOCK):
+            total.update(block)
+    return {"path": path, "sha256": total.hexdigest()}
+
+
+_DIGESTS = pa.schema([("path", pa.string()), ("sha256", pa.string())])
+
+
+def _by_range(read, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read(path, lambda uri=uri: _opened(uri)) for path, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _whole(read, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read(path, lambda data=data: pa.BufferReader(data.as_buffer())) for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _of_files(spark: SparkSession, files: DataFrame, read, schema: pa.Schema, ddl: str) -> DataFrame:
+    """`read` over each file of (path, uri): by ranges where Arrow knows the file system, else from whole contents."""
+    ranged = _scheme(F.col("uri")).isin(*RANGED)
+    uris = files.select("path", "uri")
+    found = uris.where(ranged).repartition("uri").mapInArrow(_by_range(read, schema), ddl)
+    others = [r["uri"] for r in uris.where(~ranged).select("uri").collect()]
+    if not others:
+        return found
+    content = spark.read.format("binaryFile").load(others).select(F.col("path").alias("uri"), "content")
+    return found.unionByName(content.join(uris, "uri").select("path", "content").mapInArrow(_whole(read, schema), ddl))
 
 
 def footers(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The footers of the Parquet files of an inventory (path, uri): what Arrow declares, which Spark's own reader widens; a broken file gives a row with its error."""
-    uris = files.select("path", "uri")
-    paths = [r["uri"] for r in uris.collect()]
-    if not paths:
-        return spark.createDataFrame([], FOOTER)
-    content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("uri"), "content")
-    return content.join(uris, "uri").select("path", "content").mapInArrow(_footers, FOOTER)
+    return _of_files(spark, files, _footer, _FOOTERS, FOOTER)
 
 
 def footer_findings(found: DataFrame) -> DataFrame:
@@ -91,12 +152,8 @@ def footer_findings(found: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """path, sha256 of whole files."""
-    paths = [r["uri"] for r in files.select("uri").collect()]
-    if not paths:
-        return spark.createDataFrame([], "path string, sha256 string")
-    content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("uri"), F.sha2("content", 256).alias("sha256"))
-    return content.join(files.select("path", "uri"), "uri").select("path", "sha256")
+    """path, sha256 of whole files, a block at a time."""
+    return _of_files(spark, files, _digest, _DIGESTS, "path string, sha256 string")
 
 
 def path_policy(root: str, follow: bool = False) -> list[tuple[str, str]]:

@@ -205,3 +205,25 @@ def test_samples_read_three_shards(spark):
     feet = spark.createDataFrame([(f"data/{k:02d}", 1, [], None, False) for k in range(9)], "path string, num_rows long, columns array<struct<name string, type string>>, error string, unfinalized boolean")
     assert sorted(r["path"] for r in frames.selected(feet, "sample").collect()) == ["data/00", "data/04", "data/08"]
     assert frames.selected(feet, "metadata").count() == 0 and frames.selected(feet, "full").count() == 9
+
+
+def test_footers_and_digests_by_range_and_whole_agree(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from framewright.sources import files
+
+    (tmp_path / "data").mkdir()
+    pq.write_table(pa.table({"x": pa.array([[1.0, 2.0]] * 5, pa.list_(pa.float32(), 2)), "n": pa.array(range(5), pa.uint8())}), tmp_path / "data/a b.parquet")
+    (tmp_path / "data/cut.parquet").write_bytes((tmp_path / "data/a b.parquet").read_bytes()[:-6])
+    (tmp_path / "data/none.parquet").write_bytes(b"PAR")
+    listed = files.inventory(spark, str(tmp_path))
+    get = lambda: (sorted(map(str, files.footers(spark, listed).collect())), sorted(map(tuple, files.checksums(spark, listed).collect())))
+    ranged = get()
+    good = next(r for r in files.footers(spark, listed).collect() if r["path"].endswith("a b.parquet"))
+    assert (good["num_rows"], good["unfinalized"], [(c["name"], c["type"], c["shape"]) for c in good["columns"]]) == (5, False, [("x", "float", [2]), ("n", "uint8", [])])
+    assert dict(ranged[1])["data/none.parquet"] == hashlib.sha256(b"PAR").hexdigest()
+    monkeypatch.setattr(files, "RANGED", {})
+    assert get() == ranged
