@@ -47,6 +47,8 @@ def conflicting_sizes(inventory: DataFrame) -> DataFrame:
 def sampled_episodes(episodes: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Evenly spread episodes, by index, up to the budget."""
     n = episodes.select("episode_index").distinct().count()
+    if n <= budget.episodes:
+        return episodes.select("episode_index").distinct()
     places = even_places(n, budget.episodes)
     ranked = episodes.select("episode_index").distinct().withColumn("_p", F.row_number().over(Window.orderBy("episode_index")) - 1)
     return ranked.where(F.col("_p").isin(places)).drop("_p") if places else ranked.drop("_p").limit(0)

@@ -666,3 +666,7 @@ SELECT * FROM (SELECT 'documents' AS fact, count(*) AS value FROM documents UNIO
 def catalog_facts(spark, d):
     docs = read(spark, d, "documents").agg(F.count(F.lit(1)).alias("a"), F.sum("n_chars").alias("b"), F.countDistinct("lang").alias("c")).select(F.expr("stack(3, 'documents', a, 'bytes', b, 'streams', c) AS (fact, value)"))
     return docs.unionByName(read(spark, d, "labels").agg(F.lit("labelled").alias("fact"), F.countDistinct("doc_id").alias("value")))
+
+
+# the other registered queries put themselves into QUERIES and SQL
+from framewright.plans import catalog_rules  # noqa: E402, F401
