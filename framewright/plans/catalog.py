@@ -669,4 +669,4 @@ def catalog_facts(spark, d):
 
 
 # the other registered queries put themselves into QUERIES and SQL
-from framewright.plans import catalog_rules  # noqa: E402, F401
+from framewright.plans import catalog_files, catalog_rules  # noqa: E402, F401
