@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text; they share the ordinary content, and the
-toxic one adds the words that mark toxic text. A window is a word between its delimiters. Its margin is the
-length it compresses to with the ordinary dictionary less the length with the toxic one; a carrier string that both
+toxic one adds the words that mark toxic text. A window is a word between its delimiters. Its margin is the share by which
+the toxic dictionary shortens what it compresses to with the ordinary one, in steps; a carrier string that both
 dictionaries hold stands before and after it, so that zstandard emits a compressed block even for a short window. The words that a
 dictionary gets are chosen from labelled texts: those that occur, or hold character 5-grams that occur, in a far larger share of toxic than
 of ordinary texts go to the toxic one, those in most ordinary texts to the ordinary one.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import as_bytes, as_text, lean, table
 
 LEVEL = 9
-#: Words of a dictionary, bytes of a window (a longer word is cut into such windows), windows a task keeps measured.
+#: Words of a dictionary, characters of a window (a longer word is cut into such windows), windows a task keeps measured.
 DICTIONARY_WORDS, WINDOW, KEPT = 1500, 48, 500_000
 #: A 5-gram marks toxic text from this many texts, this share of toxic texts and this ratio of shares on.
 LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
@@ -38,21 +38,23 @@ LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
 WORD_SHARE = 0.003
 BEFORE = bytes([*range(1, 9), *range(14, 32), *range(0x80, 0xA0)])
 AFTER = bytes(range(0xC0, 0xE0))
+#: A window's score is in steps of its normalised distance, for windows of at least so many compressed bytes.
+STEPS, LEAST_BYTES = 16, 3
+THRESHOLDS = range(1, STEPS + 1)
 BINS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
 
 
 _WORD = re.compile(r"\w+").findall
 
 
-def windows(text: str) -> list[bytes]:
-    """The distinct words, each as one window or, if long, as several that overlap by half."""
-    out = []
+def windows(text: str) -> set[str]:
+    """The distinct words, each as one window or, if long, as several that overlap by half; for training and scoring alike."""
+    out = set()
     for w in set(_WORD(text.lower())):
-        b = w.encode("utf-8", "surrogatepass")
-        if len(b) <= WINDOW:
-            out.append(b)
+        if len(w) <= WINDOW:
+            out.add(w)
         else:
-            out += {b[i : i + WINDOW] for i in range(0, len(b), WINDOW // 2)}
+            out.update(w[i : i + WINDOW] for i in range(0, len(w), WINDOW // 2))
     return out
 
 
@@ -71,23 +73,31 @@ class Model:
 
     def __post_init__(self) -> None:
         self._tools = None
-        self._margins: dict[bytes, int] = {}
+        self._margins: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
         return {"toxic": self.toxic, "ordinary": self.ordinary, "threshold": self.threshold, "levels": self.levels, "_tools": None, "_margins": {}}
 
-    def _measure(self, window: bytes) -> int:
+    def _lengths(self, window: str) -> tuple[int, int]:
+        """Bytes that the window adds to an empty one, by the ordinary and by the toxic dictionary."""
         if self._tools is None:
             import zstandard as z
 
             make = lambda d: z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._tools = (make(self.ordinary).compress, make(self.toxic).compress)
-        framed = b"".join((BEFORE, b" ", window, b" ", AFTER))
-        margin = len(self._tools[0](framed)) - len(self._tools[1](framed))
+            by = make(self.ordinary).compress, make(self.toxic).compress
+            empty = b"".join((BEFORE, b" ", AFTER))
+            self._tools = (*by, *(len(c(empty)) for c in by))
+        ordinary, toxic, o, t = self._tools
+        framed = b"".join((BEFORE, f" {window} ".encode(), AFTER))
+        return len(ordinary(framed)) - o, len(toxic(framed)) - t
+
+    def _measure(self, window: str) -> int:
+        o, t = self._lengths(window)
+        score = round(STEPS * (o - t) / o) if o >= LEAST_BYTES else 0
         if len(self._margins) >= KEPT:
             self._margins.clear()
-        self._margins[window] = margin
-        return margin
+        self._margins[window] = score
+        return score
 
     def margins(self, text: str) -> list[int]:
         known, measure = self._margins.get, self._measure
@@ -115,7 +125,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 500):
             counts = {(kind, t): Counter() for kind in "wg" for t in (0, 1)}
             for toxic, raw in zip(labels[start : start + 500], as_bytes(batch.column(1).slice(start, 500)), strict=True):
-                words = {w[:WINDOW] for w in _WORD(as_text(raw).lower())}
+                words = windows(as_text(raw))
                 counts["w", toxic].update(words)
                 counts["g", toxic].update(set().union(*map(grams, words)) if words else ())
             for (kind, toxic), c in counts.items():
@@ -124,11 +134,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _evidence(shared):
+    """(toxic, found): for each text its evidence under every threshold of THRESHOLDS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            tops = [sorted((m for m in model.margins(as_text(t)) if m > 0), reverse=True) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(map(str, sorted(Counter(x).elements(), reverse=True)[:64])) for x in tops], pa.string())], names=["toxic", "margins"])
+            found = []
+            for raw in as_bytes(batch.column(1)):
+                m = np.array(model.margins(as_text(raw)), np.int64)
+                found.append([int(np.maximum(m - (t - 1), 0).sum()) for t in THRESHOLDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "found"])
 
     return run
 
@@ -179,17 +194,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Model:
     # a chosen word that shortens a usual word whose share of ordinary texts is larger than its own of toxic texts goes out again
     against: dict[str, int] = {}
     for word, n in usual.items():
-        if model._measure(word.encode("utf-8", "surrogatepass")) > 1:
+        o, t = model._lengths(word)
+        if o - t > 1:
             against |= {g: max(n, against.get(g, 0)) for g in grams(word, 4)}
     model = _with_words([w for w in chosen if all(against.get(g, 0) / n0 <= texts_of[w] / n1 for g in grams(w, 4))], ordinary)
     shared = spark.sparkContext.broadcast(model)
-    measured = texts.mapInArrow(lean(_evidence(shared)), "toxic int, margins string").groupBy("toxic", "margins").agg(F.count(F.lit(1)).alias("n")).collect()
-    cases = [(r["toxic"], [int(x) for x in r["margins"].split(",") if x], r["n"] * (seen[r["toxic"]] / (n1 if r["toxic"] else n0))) for r in measured]
-    weigh = lambda t, wrong: sum(w for toxic, m, w in cases if (max(m, default=0) >= t) != bool(toxic)) if wrong else 0
-    model.threshold = min(range(1, 13), key=lambda t: (weigh(t, True), t))
+    measured = texts.mapInArrow(lean(_evidence(shared)), "toxic int, found array<long>").groupBy("toxic", "found").agg(F.count(F.lit(1)).alias("n")).collect()
+    cases = [(r["toxic"], r["found"], r["n"] * (seen[r["toxic"]] / (n1 if r["toxic"] else n0))) for r in measured]
+    # the threshold under which some amount of evidence parts the labels best
+    wrong = [min(sum(w for toxic, found, w in cases if (found[k] >= least) != bool(toxic)) for least in BINS[1:]) for k in range(len(THRESHOLDS))]
+    best = int(np.argmin(wrong))
+    model.threshold = THRESHOLDS[best]
     hit, total = np.full(len(BINS), 0.0), np.full(len(BINS), 0.0)
-    for toxic, m, w in cases:
-        k = int(np.searchsorted(BINS, sum(x - model.threshold + 1 for x in m if x >= model.threshold), "right")) - 1
+    for toxic, found, w in cases:
+        k = int(np.searchsorted(BINS, found[best], "right")) - 1
         hit[k] += w * toxic
         total[k] += w
     prior = seen[1] / (seen[0] + seen[1])
