@@ -2,6 +2,9 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of their input. Every stage reads its own input only, but for the benchmark table.
+
+Null, empty and white-space texts have no language and go in the first stage; called by itself, each later stage takes them as empty: one of them stays in exact
+dedup, all of them in the others. Rows that share a doc_id are rows of their own, a null doc_id comes last; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import shared_dir, small_batches, stash, table
+from framewright.llm.common import by_filter, filter_of, lean, shared_dir, small_batches, stash, table
 from framewright.llm.op5_byte_bpe import round_trip
 from framewright.llm.op6_decontaminate import without_contaminated
 from framewright.llm.op7_language_id import trained_on, without_rejected
@@ -19,21 +22,25 @@ from framewright.llm.op8_jaccard_join import jaccard_components
 from framewright.llm.op9_exact_dedup import exact_dedup
 
 
-KEY = "_row_key"
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key of each row in KEY, which follows doc_id (null last): doc_id itself where that is unique, else numbers that are written down with the rows."""
+    """`docs` behind a key of each row that follows doc_id (null last): doc_id itself where that is unique, else numbers that are written down with the rows."""
+    key, taken = "_row_key", {c.lower() for c in docs.columns}
+    while key in taken:
+        key = f"_{key}"
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn(KEY, F.col("doc_id"))
-    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
-    return stash(docs.orderBy(F.col("doc_id").asc_nulls_last(), *rest).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+        return docs.select(F.col("doc_id").cast("long").alias(key), "*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    return stash(docs.orderBy(F.col("doc_id").asc_nulls_last(), *rest).select(F.monotonically_increasing_id().alias(key), "*"), "keyed")
 
 
 def _dropped(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of `docs` without those whose key `verdict` (doc_id, stays; doc_id is the key) does not let stay."""
-    gone = verdict.where("NOT stays").select(F.col("doc_id").alias("_dropped_key"))
-    return docs.join(gone, docs[KEY] == gone["_dropped_key"], "left_anti").drop(KEY)
+    """The rows of keyed `docs` without those whose key `verdict` (doc_id, stays; doc_id is the key) does not let stay; only rows that may go are shuffled."""
+    key = docs.columns[0]
+    gone = stash(verdict.where("NOT stays").select(F.col("doc_id").alias(key)), "gone")
+    shared = filter_of(gone)
+    sure = docs.mapInArrow(lean(by_filter(shared, False)), docs.schema)
+    rest = docs.mapInArrow(lean(by_filter(shared)), docs.schema).join(gone, key, "left_anti")
+    return sure.unionByName(rest).drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +53,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one stays that exact dedup names."""
     small_batches(spark)
     docs = _keyed(docs)
-    return _dropped(docs, exact_dedup(docs, id_col=KEY).select("doc_id", F.col("kept").alias("stays")))
+    return _dropped(docs, exact_dedup(docs, id_col=docs.columns[0]).select("doc_id", F.col("kept").alias("stays")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked texts the document with the smallest doc_id stays."""
     small_batches(spark)
     docs = _keyed(docs)
-    return _dropped(docs, jaccard_components(docs, id_col=KEY).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
+    return _dropped(docs, jaccard_components(docs, id_col=docs.columns[0]).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +85,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Language models and byte-pair merges are beyond SQL; tests/llm hold the pipeline against a plain version.
+#: Language models and byte-pair merges are beyond SQL; tests/llm hold both dedup stages and decontamination against brute force.
 ORACLE_SQL = None
 
 
