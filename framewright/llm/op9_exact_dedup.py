@@ -146,9 +146,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows that only their place tells apart: the first of those with the winner's length and doc_id stays
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("length")))
     joined = stash(joined.select("doc_id", "n_chars", "keep_id", "group_size", "kept", *on, F.monotonically_increasing_id().alias("place")), "members")
-    tied = joined.where("kept").groupBy(*on).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select(*on, "first")
-    kept = F.col("kept") & F.coalesce(F.col("place") == F.col("first"), F.lit(True))
-    return joined.join(tied, on, "left").select("doc_id", "n_chars", "keep_id", "group_size", kept.alias("kept"), "digest")
+    first = joined.where("kept").groupBy(*on).agg(F.min("place").alias("place")).select("place", F.lit(True).alias("stays"))
+    # by place, which no two rows share
+    best = joined.where("kept").join(first, "place", "left").withColumn("kept", F.coalesce("stays", F.lit(False)))
+    return joined.where("NOT kept").unionByName(best.drop("stays")).select("doc_id", "n_chars", "keep_id", "group_size", "kept", "digest")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
