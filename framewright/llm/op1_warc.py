@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from framewright.llm.common import as_bytes, lean, shared_dir, stash, table
 
 END = b"\r\n\r\n"
-#: Records of one archive at most, and the bytes of a range.
-RECORDS_PER_FILE, RANGE = 2000, 1 << 20
+#: Records of one archive at most by the bytes of a payload (below the first number), so that an archive, which Spark reads as one row, stays
+#: within about 512 MB, or is one record; and the bytes of a range.
+RECORDS_PER_FILE, RANGE = ((1 << 18, 2000), (1 << 24, 32), (1 << 62, 1)), 1 << 20
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2000-01-01T00:00:00Z"
@@ -123,10 +124,20 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One record per row of `pages` into WARC files below `path`."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html"))
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    largest = base.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
+    low = 0
+    for high, records in RECORDS_PER_FILE:  # equal payloads are of one size, so groups stay together
+        if low <= largest:
+            _write(base.where((size >= low) & (size < high)) if low or largest >= high else base, f"{path}/below-{high}", records)
+        low = high
+
+
+def _write(base: DataFrame, path: str, records: int) -> None:
     first = base.select("page_id", "html").mapInArrow(lean(_digests), "digest string, check binary, page_id long").groupBy("digest", "check").agg(F.min("page_id").alias("first_id"))
     rows = base.mapInArrow(lean(_payloads), PAYLOAD).join(first, ["digest", "check"])
     lines = rows.select("page_id", "url", "first_id", "n", "digest", "packed").mapInArrow(lean(_records), "value binary")
-    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
@@ -223,3 +234,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (k // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

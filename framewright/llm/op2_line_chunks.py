@@ -254,3 +254,16 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_runs(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (SELECT doc_id, i, ls[i] AS line, ls[i + 1] AS next, len(ls) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+), p AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY line, next) AS first_doc, min(i) OVER (PARTITION BY doc_id, line, next) AS first_i FROM l WHERE i < n
+), g AS (SELECT doc_id, i FROM p WHERE doc_id > first_doc OR i - first_i >= 2
+), gone AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i + 1 FROM g
+), kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id
+), r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+), t AS (SELECT d.doc_id, len(ls) AS n_lines, coalesce(r.n, 0) AS n_removed, CASE WHEN r.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id)
+SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, length(text) AS n_chars, text FROM t
+"""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from framewright.llm.op10_substring_dedup import op10_substring_dedup
+from framewright.llm.op1_warc import SQL as SQL_1
 from framewright.llm.op1_warc import op1_warc
+from framewright.llm.op2_line_chunks import SQL as SQL_2
 from framewright.llm.op2_line_chunks import op2_line_chunks
 from framewright.llm.op3_html_text import op3_html_text
 from framewright.llm.op4_toxicity import op4_toxicity
@@ -29,6 +31,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": SQL_1,
+    "op2_line_chunks": SQL_2,
     "op8_jaccard_join": SQL_8,
     "op9_exact_dedup": SQL_9,
 }

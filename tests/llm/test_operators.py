@@ -105,6 +105,23 @@ def test_warc_round_trip_with_magic_inside(spark):
         assert (got[k]["record_type"], got[k]["refers_to"]) == (("response", None) if f == k else ("revisit", f))
 
 
+def test_warc_odd_rows_large_pages_and_a_cut_archive(spark, monkeypatch):
+    monkeypatch.setattr(op1_warc, "RECORDS_PER_FILE", ((100, 2000), (1000, 3), (1 << 62, 1)))
+    sizes = [5, 5, 99, 100, 500, 500, 999, 1000, 5000, 70_000]
+    rows = [(None, None, "null page"), (None, "u", "null page"), (7, "u", "twice"), (7, "v", "twice"), (9, "u", "twice"), *((100 + k, "u", chr(97 + k) * n) for k, n in enumerate(sizes))]
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    op1_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    found = op1_warc.read_archives(spark, path, block=256).collect()
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found)
+    want = [("None", 9, "response", None)] * 2 + [("7", 5, "response", None)] * 2 + [("9", 5, "revisit", 7)] + [(str(100 + k), n, "response", None) for k, n in enumerate(sizes)]
+    assert got == sorted(want, key=str)
+    # an archive that is cut in its last record gives what stands before that
+    whole = op1_warc.record(1, "u", 1, 3, "D", b"abc") + op1_warc.END
+    cut = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    spark.createDataFrame([((whole * 2 + whole[:-5]).decode(),)], "value string").coalesce(1).write.option("lineSep", "x").text(cut)
+    assert [r["at"] for r in op1_warc.read_archives(spark, cut).orderBy("at").collect()] == [0, len(whole)]
+
+
 def test_warc_chain_exits_and_broken_chain():
     assert op1_warc.exits([(0, 10), (10, 20), (5, 7), (20, 40)], 30) == {0: 40, 10: 40, 20: 40, 5: -1}
     assert op1_warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n", 0) is None

@@ -48,10 +48,13 @@ def test_sql(results, tables, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     columns = ", ".join(results[name].columns)
-    want = sorted(con.sql(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall())
-    assert sorted(map(tuple, results[name].itertuples(index=False))) == want
+    # pandas holds longs with nulls as floats
+    whole = lambda x: None if x != x else int(x) if isinstance(x, float) else x
+    want = sorted(map(repr, con.sql(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall()))
+    assert sorted(repr(tuple(map(whole, r))) for r in results[name].itertuples(index=False)) == want
 
 
 def test_warc(results, tables):
