@@ -44,7 +44,17 @@ def shared_payloads(inputs: DataFrame, digest: str = "digest", source: str = "so
     return inputs.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.countDistinct(source).alias("n_sources"), F.count(F.lit(1)).alias("n_members")).where("n_sources > 1")
 
 
+#: Hexadecimal digits of a row's digest that name its leaf, and of a leaf that name its branch.
+LEAF, BRANCH = 5, 2
+
+
 def component_fingerprints(components: DataFrame, component: str, key: str, row: Column) -> DataFrame:
-    """One digest per component over its rows' digests in key order, so only fixed-size digests gather."""
-    hashed = components.select(component, key, F.sha2(row, 256).alias("_h"))
-    return hashed.groupBy(component).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "_h"))), lambda x: x["_h"]), ""), 256).alias("fingerprint"))
+    """One digest per component over its rows' digests: of a tree whose leaves take rows by the first digits of their digest, in key order.
+
+    So a task holds the digests of one leaf, one row in a million of a component, or of one branch's leaves.
+    """
+    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at))), lambda x: x["_h"]), ""), 256).alias("_h")
+    hashed = components.select(component, F.col(key).alias("_k"), F.sha2(row, 256).alias("_h")).withColumn("_leaf", F.substring("_h", 1, LEAF))
+    leaves = hashed.groupBy(component, "_leaf").agg(joined(["_k", "_h"])).withColumn("_branch", F.substring("_leaf", 1, BRANCH))
+    branches = leaves.groupBy(component, "_branch").agg(joined(["_leaf", "_h"]))
+    return branches.groupBy(component).agg(joined(["_branch", "_h"])).withColumnRenamed("_h", "fingerprint")

@@ -41,29 +41,58 @@ def static_spans(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     return spans.where(F.col("length") >= least).drop("_run")
 
 
+def _behind(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Each row with _seen (the largest `value` of the rows before it in its group), _previous (that of the row just before) and _rank (from 0).
+
+    Ranges of (group, order) are scanned in parallel; what a group brings along from the ranges before is one row for each range that continues a group, so
+    neither a large group nor a table without groups lands in one task.
+    """
+    parts = _ranged(df, [*group, *order])
+    w = Window.partitionBy("_part", *group).orderBy("_within")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("_m", F.max(value).over(before)).withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.row_number().over(w) - 1)
+    edges = parts.groupBy("_part", *group).agg(F.max(value).alias("m"), F.max_by(value, "_within").alias("l"), F.count(F.lit(1)).alias("n"))
+    g = Window.partitionBy(*group).orderBy("_part")
+    past = g.rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.max("m").over(past).alias("_cm"), F.lag("l").over(g).alias("_cl"), F.sum("n").over(past).alias("_cn")).where("_cn IS NOT NULL")
+    same = own["_part"] == F.col("_p")
+    for k, c in enumerate(group):
+        same = same & own[c].eqNullSafe(F.col(f"_g{k}"))
+    # at most one group continues from range to range
+    both = own.join(F.broadcast(carry), same, "left")
+    out = both.withColumn("_seen", F.greatest("_m", "_cm")).withColumn("_previous", F.when(F.col("_r") > 0, F.col("_l")).otherwise(F.col("_cl"))).withColumn("_rank", (F.col("_r") + F.coalesce("_cn", F.lit(0))).cast("long"))
+    return out.drop("_part", "_within", "_m", "_l", "_r", "_p", "_cm", "_cl", "_cn", *[f"_g{k}" for k in range(len(group))])
+
+
 def ledger(df: DataFrame, group: Sequence[str], start: str, end: str, order: Sequence[str], origin: Column | None = None) -> DataFrame:
     """Valid half-open intervals against the furthest end so far: kind is gap or overlap, with furthest and the interval.
 
     The furthest end starts at `origin` (default 0), so a late first interval is a gap, but an overlap needs a predecessor.
     """
     valid = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) < F.col(end)))
-    w = Window.partitionBy(*group).orderBy(start, end, *order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = valid.withColumn("_before", F.max(end).over(w))
-    furthest = F.coalesce("_before", origin if origin is not None else F.lit(0))
-    kind = F.when(F.col(start) > furthest, "gap").when(F.col("_before").isNotNull() & (F.col(start) < F.col("_before")), "overlap")
-    return seen.withColumn("furthest", furthest).withColumn("kind", kind).where("kind IS NOT NULL").drop("_before")
+    seen = _behind(valid, group, [start, end, *order], end)
+    furthest = F.coalesce("_seen", origin if origin is not None else F.lit(0))
+    kind = F.when(F.col(start) > furthest, "gap").when(F.col("_seen").isNotNull() & (F.col(start) < F.col("_seen")), "overlap")
+    return seen.withColumn("furthest", furthest).withColumn("kind", kind).where("kind IS NOT NULL").drop("_seen", "_previous", "_rank")
 
 
 def segment_overlaps(df: DataFrame, group: Sequence[str], start: str, end: str, order: Sequence[str], slack: float = 1e-9) -> DataFrame:
     """Segments that begin before the furthest end so far of their group, by more than `slack`."""
-    w = Window.partitionBy(*group).orderBy(start, end, *order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("furthest", F.max(end).over(w)).where(F.col(start) < F.col("furthest") - F.lit(slack))
+    seen = _behind(df, group, [start, end, *order], end).withColumnRenamed("_seen", "furthest")
+    return seen.where(F.col(start) < F.col("furthest") - F.lit(slack)).drop("_previous", "_rank")
 
 
 def adjacent_collisions(df: DataFrame, group: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:
     """Segments that begin before the end of the segment just before them; unlike `segment_overlaps` it forgets what came earlier."""
-    w = Window.partitionBy(*group).orderBy(start, end, *order)
-    return df.withColumn("previous_end", F.lag(end).over(w)).where(F.col(start) < F.col("previous_end"))
+    seen = _behind(df, group, [start, end, *order], end).withColumnRenamed("_previous", "previous_end")
+    return seen.where(F.col(start) < F.col("previous_end")).drop("_seen", "_rank")
+
+
+def holes(df: DataFrame, group: Sequence[str], index: str, start: int = 0) -> DataFrame:
+    """Missing stretches of an index that should run from `start`, like `keys.gaps`, for groups that are too large for one task, or none at all."""
+    present = df.where(F.col(index) >= start).select(*group, index).distinct()
+    first = F.coalesce(F.col("_previous") + 1, F.lit(start))
+    return _behind(present, group, [index], index).withColumn("first_missing", first).where(F.col(index) > F.col("first_missing")).select(*group, "first_missing", (F.col(index) - 1).alias("last_missing"), (F.col(index) - F.col("first_missing")).alias("n_missing"))
 
 
 def shard_spans(df: DataFrame, shard: str, start: str, end: str, owner: str, rows: DataFrame | None = None) -> DataFrame:
@@ -111,25 +140,25 @@ def _before(parts: DataFrame, value: Column) -> DataFrame:
 
 
 def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", group: Sequence[str] = ()) -> DataFrame:
-    """Rank from 0 by `order`.
+    """Rank from 0 by `order`, in each group if there are any.
 
-    Without a group, ranges are sorted in parallel and each range adds the rows of those before it, so no task sees all rows.
+    Ranges are sorted in parallel and each adds the rows of those before it, so no task sees all rows of a table or of a group.
     """
     if group:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+        return _behind(df, group, order, order[0]).withColumnRenamed("_rank", name).drop("_seen", "_previous")
     parts = _ranged(df, order)
     return parts.join(F.broadcast(_before(parts, F.lit(1))), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
 
 
 def sample_ends(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """First, middle and last row by `order`: places 0, (n-1) div 2 and n-1."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group)) if group else None
     ranked = ordinal(df, order, "place", group)
-    if group:
-        ranked = ranked.withColumn("_n", n)
-    else:
-        ranked = ranked.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
-    return ranked.where((F.col("place") == 0) | (F.col("place") == F.floor((F.col("_n") - 1) / 2)) | (F.col("place") == F.col("_n") - 1)).drop("_n")
+    n = df.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & ranked[c].eqNullSafe(F.col(f"_g{k}"))
+    ranked = ranked.join(n, same) if group else ranked.join(F.broadcast(n))
+    return ranked.where((F.col("place") == 0) | (F.col("place") == F.floor((F.col("_n") - 1) / 2)) | (F.col("place") == F.col("_n") - 1)).drop("_n", *[f"_g{k}" for k in range(len(group))])
 
 
 def even_places(n: int, k: int) -> list[int]:
@@ -149,7 +178,9 @@ def sample_even(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 
 def round_robin(df: DataFrame, group: str, order: Sequence[str], limit: int) -> DataFrame:
     """The first of every group, then the second of every group, ... up to `limit` rows; groups in their order."""
-    ranked = df.withColumn("round", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    # no group gives more than `limit` rows; Spark cuts each task's share of a group to that before the shuffle
+    ranked = df.withColumn("_place", place).where(F.col("_place") <= limit).withColumn("round", (F.col("_place") - 1).cast("long")).drop("_place")
     return ranked.orderBy("round", group).limit(limit)
 
 

@@ -16,15 +16,14 @@ def metadata_findings(b: lerobot.Bundle) -> DataFrame:
     add = lambda df, code, **c: found.unionByName(model.findings(df, code, **c))
     e = F.col("episode_index")
     found = add(keys.duplicate_keys(b.episodes, ["episode_index"]), "LEROBOT_EPISODE_INDEX_DUPLICATE", episode_index=e, evidence=F.col("n").cast("string"))
-    found = add(keys.gaps(b.episodes.select(F.lit(1).alias("_one"), "episode_index"), ["_one"], "episode_index"), "LEROBOT_EPISODE_INDEX_NON_CONTIGUOUS", episode_index=F.col("first_missing"), evidence=F.col("n_missing").cast("string"))
+    found = add(sequence.holes(b.episodes, [], "episode_index"), "LEROBOT_EPISODE_INDEX_NON_CONTIGUOUS", episode_index=F.col("first_missing"), evidence=F.col("n_missing").cast("string"))
     names = keys.orphans(b.episodes.select("episode_index", F.explode("tasks").alias("task")), b.tasks, "task")
     found = add(names, "LEROBOT_TASK_REFERENCE_INVALID", episode_index=e, evidence=F.col("task"))
     ranges = b.relations.where("kind = 'data' AND dataset_from_index IS NOT NULL").drop("kind").join(b.episodes.select("episode_index", "length"), "episode_index", "left")
     bad = sequence.invalid_ranges(ranges, "dataset_from_index", "dataset_to_index", "length")
     found = add(bad.where("reason = 'invalid'"), "LEROBOT_EPISODE_RANGE_INVALID", episode_index=e, path=F.col("path"))
     found = add(bad.where("reason = 'length'"), "LEROBOT_EPISODE_RANGE_LENGTH_MISMATCH", episode_index=e, path=F.col("path"))
-    # a data set has one ledger: its episodes are metadata, so one ordered scan of them is small
-    ledger = sequence.ledger(ranges.withColumn("_one", F.lit(1)), ["_one"], "dataset_from_index", "dataset_to_index", ["episode_index", "path"])
+    ledger = sequence.ledger(ranges, [], "dataset_from_index", "dataset_to_index", ["episode_index", "path"])
     found = add(ledger.where("kind = 'gap'"), "LEROBOT_EPISODE_RANGE_GAP", episode_index=e, path=F.col("path"), evidence=F.col("furthest").cast("string"))
     found = add(ledger.where("kind = 'overlap'"), "LEROBOT_EPISODE_RANGE_OVERLAP", episode_index=e, path=F.col("path"), evidence=F.col("furthest").cast("string"))
     segments = b.relations.where("kind = 'video'")
@@ -95,30 +94,38 @@ def frame_findings(rows: DataFrame, b: lerobot.Bundle, fps: float | None, whole:
 
 
 def vector_findings(rows: DataFrame, features: list[tuple[str, list[int] | None]], stats: DataFrame | None, whole: bool) -> DataFrame:
-    """Shapes and finiteness of every vector feature and, when all rows were read, stored statistics against recomputed ones."""
+    """Shapes and finiteness of every vector feature and, when all rows were read, stored statistics against recomputed ones.
+
+    Each check reads the rows once for all features together, however many there are.
+    """
     found = model.findings(rows.limit(0), "LEROBOT_NUMERIC_NON_FINITE")
-    place = {"episode_index": F.col("episode_index"), "frame_index": F.col("frame_index"), "path": F.col("path")}
-    for name, shape in features:
-        odd = numeric.non_finite(rows.withColumnRenamed(name, "_v"), ["episode_index", "frame_index", "path", "row"], "_v")
-        found = found.unionByName(model.findings(odd, "LEROBOT_NUMERIC_NON_FINITE", feature_key=F.lit(name), location=F.concat_ws(":", "row", "dim"), **place))
-        if shape and len(shape) == 1:
-            wrong = rows.where(F.col(f"`{name}`").isNotNull()).groupBy("path", F.size(f"`{name}`").alias("width")).agg(F.count(F.lit(1)).alias("n")).where(F.col("width") != shape[0])
-            found = found.unionByName(model.findings(wrong, "LEROBOT_FEATURE_SHAPE_MISMATCH", feature_key=F.lit(name), path=F.col("path"), evidence=F.col("width").cast("string")))
-        if stats is None or not whole:
-            continue
-        own = stats.where(F.col("feature") == name)
-        lost = numeric.stats_incomplete(rows.sparkSession.createDataFrame([(name,)], "feature string"), own.groupBy("feature").pivot("field", ["min", "max", "mean", "std", "count"]).agg(F.first("value")), ["min", "max", "mean", "std", "count"])
-        found = found.unionByName(model.findings(lost, "LEROBOT_STATS_FIELD_MISSING", feature_key=F.col("feature"), evidence=F.col("field")))
-        bad = own.where(~numeric.finite(F.col("value")))
-        found = found.unionByName(model.findings(bad, "LEROBOT_STATS_NON_FINITE", feature_key=F.col("feature"), evidence=F.concat_ws(":", "field", "dim")))
-        now = numeric.moments(rows.withColumnRenamed(name, "_v"), "_v")
-        wide = own.where("field <> 'count'").groupBy("dim").pivot("field", ["min", "max", "mean", "std"]).agg(F.first("value"))
-        differs = numeric.stats_mismatch(wide, now)
-        found = found.unionByName(model.findings(differs, "LEROBOT_STATS_VALUE_MISMATCH", feature_key=F.lit(name), location=F.concat_ws(":", "field", "dim"), evidence=F.concat_ws("/", "stored", "recomputed")))
-        n = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        counted = own.where("field = 'count'").join(n, how="cross").where("value <> _n")
-        found = found.unionByName(model.findings(counted, "LEROBOT_STATS_COUNT_MISMATCH", feature_key=F.lit(name), evidence=F.concat_ws("/", "value", "_n")))
-    return found
+    if not features:
+        return found
+    spark, names = rows.sparkSession, [n for n, _ in features]
+    place = ["episode_index", "frame_index", "path", "row"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("_v")) for n in names])).alias("f")
+    long = rows.select(*place, each).select(*place, "f.feature", "f._v")
+    feature = F.col("feature")
+    odd = numeric.non_finite(long, ["feature", *place], "_v")
+    found = found.unionByName(model.findings(odd, "LEROBOT_NUMERIC_NON_FINITE", feature_key=feature, location=F.concat_ws(":", "row", "dim"), **{c: F.col(c) for c in place[:3]}))
+    widths = [x for n, shape in features if shape and len(shape) == 1 for x in (F.lit(n), F.lit(shape[0]))]
+    if widths:
+        wrong = long.where(F.col("_v").isNotNull()).groupBy("path", "feature", F.size("_v").alias("width")).agg(F.count(F.lit(1)).alias("n")).where(F.col("width") != F.create_map(*widths)[feature])
+        found = found.unionByName(model.findings(wrong, "LEROBOT_FEATURE_SHAPE_MISMATCH", feature_key=feature, path=F.col("path"), evidence=F.col("width").cast("string")))
+    if stats is None or not whole:
+        return found
+    fields = ["min", "max", "mean", "std"]
+    own = stats.where(feature.isin(names))
+    lost = numeric.stats_incomplete(spark.createDataFrame([(n,) for n in names], "feature string"), own.groupBy("feature").pivot("field", [*fields, "count"]).agg(F.first("value")), [*fields, "count"])
+    found = found.unionByName(model.findings(lost, "LEROBOT_STATS_FIELD_MISSING", feature_key=feature, evidence=F.col("field")))
+    bad = own.where(~numeric.finite(F.col("value")))
+    found = found.unionByName(model.findings(bad, "LEROBOT_STATS_NON_FINITE", feature_key=feature, evidence=F.concat_ws(":", "field", "dim")))
+    wide = own.where("field <> 'count'").groupBy("feature", "dim").pivot("field", fields).agg(F.first("value"))
+    differs = numeric.stats_mismatch(wide, numeric.moments(long, "_v", ["feature"]), ["feature", "dim"])
+    found = found.unionByName(model.findings(differs, "LEROBOT_STATS_VALUE_MISMATCH", feature_key=feature, location=F.concat_ws(":", "field", "dim"), evidence=F.concat_ws("/", "stored", "recomputed")))
+    n = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    counted = own.where("field = 'count'").join(F.broadcast(n), how="cross").where("value <> _n")
+    return found.unionByName(model.findings(counted, "LEROBOT_STATS_COUNT_MISMATCH", feature_key=feature, evidence=F.concat_ws("/", "value", "_n")))
 
 
 NUMERIC = ("float", "float16", "float32", "float64", "double", "int", "int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64")

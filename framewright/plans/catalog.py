@@ -348,7 +348,14 @@ def merge_digest_overlap(spark, d):
     return digest.shared_payloads(docs.unionByName(read(spark, d, "benchmark").select(F.sha2("text", 256).alias("digest"), F.lit("c").alias("source"))))
 
 
-@query("SELECT lang AS component, sha256(string_agg(sha256(CAST(doc_id AS VARCHAR) || chr(31) || source), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+def tree_sql(rows: str) -> str:
+    """(component, fingerprint) of rows (component, k, h): digests in a tree of leaves and branches."""
+    leaves = f"SELECT component, substr(r.h, 1, 5) AS leaf, sha256(string_agg(r.h, '' ORDER BY k, r.h)) AS lh FROM ({rows}) r GROUP BY component, substr(r.h, 1, 5)"
+    branches = f"SELECT component, substr(leaf, 1, 2) AS branch, sha256(string_agg(lh, '' ORDER BY leaf)) AS bh FROM ({leaves}) GROUP BY component, substr(leaf, 1, 2)"
+    return f"SELECT component, sha256(string_agg(bh, '' ORDER BY branch)) AS fingerprint FROM ({branches}) GROUP BY component"
+
+
+@query(tree_sql("SELECT lang AS component, doc_id AS k, sha256(CAST(doc_id AS VARCHAR) || chr(31) || source) AS h FROM documents"))
 def component_fingerprints(spark, d):
     return digest.component_fingerprints(read(spark, d, "documents").withColumnRenamed("lang", "component"), "component", "doc_id", digest.canonical("doc_id", "source"))
 

@@ -9,7 +9,7 @@ from framewright.functions import canonical, text
 from framewright.operators import diff, evidence, findings, gates, keys, media, merge, numeric, remote, repair, snapshot
 from framewright.plans import receipts
 from framewright.plans.bindings import read
-from framewright.plans.catalog import query
+from framewright.plans.catalog import query, tree_sql
 from framewright.plans.rules import Rule, Rules, inferred_coverage
 
 # ---------------------------------------------------------------- scalar functions
@@ -174,11 +174,10 @@ def snapshot_totals(spark, d):
     return whole.unionByName(snapshot.totals(e, None, t, i, declared, 8.0).select(F.lit("lengths").alias("variant"), "name", "value"))
 
 
-@query("""
-WITH r AS (SELECT 'tasks' AS component, CAST(n_nationkey AS VARCHAR) AS key, n_name AS row FROM nation UNION ALL SELECT 'features', r_name, CAST(r_regionkey AS VARCHAR) FROM region),
-f AS (SELECT component, sha256(string_agg(sha256(row), '' ORDER BY key, sha256(row))) AS fingerprint FROM r GROUP BY 1)
-SELECT component, fingerprint FROM f UNION ALL SELECT 'snapshot', sha256(string_agg(component || '=' || fingerprint, chr(10) ORDER BY component)) FROM f
-""")
+PARTS = "SELECT 'tasks' AS component, CAST(n_nationkey AS VARCHAR) AS k, sha256(n_name) AS h FROM nation UNION ALL SELECT 'features', r_name, sha256(CAST(r_regionkey AS VARCHAR)) FROM region"
+
+
+@query(f"WITH f AS ({tree_sql(PARTS)}) SELECT component, fingerprint FROM f UNION ALL SELECT 'snapshot', sha256(string_agg(component || '=' || fingerprint, chr(10) ORDER BY component)) FROM f")
 def snapshot_fingerprints(spark, d):
     return snapshot.fingerprints(_components(spark, d))
 

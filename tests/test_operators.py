@@ -151,3 +151,33 @@ def test_text_functions(spark):
     assert f("observation.images.top", lambda c: c.rlike(text.glob_regex("observation.images.*"))) and not f("observationXimages", lambda c: c.rlike(text.glob_regex("observation.i*")))
     with pytest.raises(ValueError):
         text.template_path("{a}", b=F.lit(1))
+
+
+def test_ranges_carry_over_what_came_before(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from framewright.operators import keys
+
+    r = random.Random(3)
+    rows = [(None if r.random() < 0.02 else r.choice("aaaaaab"), r.randrange(500), k, None if r.random() < 0.05 else r.randrange(520)) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, start long, id long, finish long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for group in (["g"], []):
+            w = Window.partitionBy(*group).orderBy("start", "finish", "id")
+            past = w.rowsBetween(Window.unboundedPreceding, -1)
+            want = df.withColumn("_seen", F.max("finish").over(past)).withColumn("_previous", F.lag("finish").over(w)).withColumn("_rank", (F.row_number().over(w) - 1).cast("long"))
+            got = sequence._behind(df, group, ["start", "finish", "id"], "finish").select(want.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            held = df.where("g IS NOT NULL")
+            assert sorted(map(str, sequence.holes(held, group, "start").collect())) == sorted(map(str, keys.gaps(held.withColumn("one", F.lit(1)), group or ["one"], "start").drop("one").collect()))
+            places = {x["place"] for x in sequence.sample_ends(df, ["start", "id"], group).collect()}
+            n = [x[0] for x in df.groupBy(*group).count().select("count").collect()]
+            assert places == {p for k in n for p in (0, (k - 1) // 2, k - 1)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
