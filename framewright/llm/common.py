@@ -18,7 +18,7 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Written into the shared folder and read again: cuts the lineage and survives lost executors.
 stash = materialised
 
-__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "digest_columns", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "stash", "table", "word_spans", "words_of"]
+__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "digest_columns", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "spread_join", "stash", "table", "word_spans", "words_of"]
 
 
 #: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
@@ -251,6 +251,24 @@ def maybe(shared, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+#: Keys that hold more than a HOT_KEYSth of all rows are joined in SALTS parts; there are fewer than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 100, 16
+
+
+def spread_join(rows: DataFrame, of_key: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """`rows` joined with the one row that `of_key` has for each key; `n` in it is the number of rows with that key, and is left out.
+
+    A hot key's rows are dealt by `spread` to SALTS parts, so that they do not meet in one task; the hot keys, fewer than HOT_KEYS, are broadcast.
+    `of_key` is read more than once and should be written down.
+    """
+    total = of_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    marks = F.broadcast(of_key.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    left = rows.join(marks, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    right = of_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop("n")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def by_filter(shared, known: bool = True):
     """For mapInArrow: the rows whose first column the filter may know, or with known=False the others."""
 

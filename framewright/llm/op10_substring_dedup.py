@@ -7,8 +7,8 @@ the smallest doc_id before and after the shuffle, and each document with a large
 Its text is then cut again into runs, and every sentence that a returned run covers goes, as does any run that stood earlier in
 the same document. So a passage that any number of documents share stays once, in the document with the smallest doc_id.
 
-Only links from a hash to its first document travel, never pairs of documents; the join that returns them is one that
-Spark can split where a passage is very common. Runs whose 64-bit hash no other document has are left out before 128 bits, polynomials over the words' hashes, decide.
+Only links from a hash to its first document travel, never pairs of documents; the join that returns them deals the links of a very common
+passage to several tasks. Runs whose 64-bit hash no other document has are left out before 128 bits, polynomials over the words' hashes, decide.
 A text with fewer than RUN sentences or WORDS words is one run, so repeated short texts go whole.
 Null texts give an empty text, as do texts all of whose sentences repeat. Rows that share a doc_id are one document: none of them
 loses what it shares only with the others. A null doc_id comes after all others. Only the two named columns are read.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import LAST, as_bytes, as_text, clear_of, filter_of, in_batches, item_hashes, joined, lean, maybe, signed, span_hashes, stash, table, word_spans
+from framewright.llm.common import LAST, as_bytes, as_text, clear_of, filter_of, in_batches, item_hashes, joined, lean, maybe, signed, span_hashes, spread_join, stash, table, word_spans
 
 RUN, WORDS, PIECE = 2, 20, 16
 
@@ -148,8 +148,8 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 64 bits name the candidates, 128 decide
     repeated = base.mapInArrow(lean(_runs()), schema).groupBy("hash").agg(*span).where("first < last").select("hash")
     runs = stash(base.mapInArrow(lean(_runs(filter_of(stash(repeated, "repeated")))), schema), "runs")
-    first = runs.groupBy("hash", "check").agg(*span).where("first < last").select("hash", "check", "first")
-    later = runs.join(first, ["hash", "check"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("hash", "check")).alias("drops"))
+    first = stash(runs.groupBy("hash", "check").agg(*span, F.count(F.lit(1)).alias("n")).where("first < last").select("hash", "check", "first", "n"), "first")
+    later = spread_join(runs, first, ["hash", "check"], "doc").where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("hash", "check")).alias("drops"))
     return clear_of(base, later, _cleaned, CLEANED)
 
 

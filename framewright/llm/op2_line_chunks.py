@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import LAST, as_bytes, as_text, clear_of, digest16, filter_of, in_batches, item_hashes, joined, lean, maybe, mix, paired, signed, stash, table
+from framewright.llm.common import LAST, as_bytes, as_text, clear_of, digest16, filter_of, in_batches, item_hashes, joined, lean, maybe, mix, paired, signed, spread_join, stash, table
 
 WINDOW, EVERY, MOST, LEAST = 2, 4, 16, 2
 HELD_BYTES = 48_000_000
@@ -246,9 +246,9 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unsure = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash").toArrow().column("hash").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(unsure)
     pairs = base.mapInArrow(lean(_pairs()), "a long, b long, doc long")
-    first = stash(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "first")
+    first = stash(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("a", "b", "first", "n"), "first")
     again = base.mapInArrow(lean(_pairs(filter_of(first.select("a", "b")))), "a long, b long, doc long")
-    later = again.join(first, ["a", "b"]).where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+    later = spread_join(again, first, ["a", "b"], "doc").where("doc > first").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
     return clear_of(base, later, _without(shared), CLEANED)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, by_filter, chained, digest16, filter_of, in_batches, lean, signed, span_hashes, stash, table, words_of
+from framewright.llm.common import as_bytes, by_filter, chained, digest16, filter_of, in_batches, lean, signed, span_hashes, spread_join, stash, table, words_of
 from framewright.llm.components import components
 
 SHINGLE = 4
@@ -274,8 +274,8 @@ def _links(base: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = filter_of(both)
     # a doc_id that several rows carry stands for its class by one of them; any of the class will do, so rows of other classes go
     texts = base.where("doc_id IS NOT NULL").mapInArrow(lean(_needed_texts(shared)), "doc_id long, text binary, cls long")
-    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))
-    blocked = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").select("a", "a_cls", "b", "b_cls", block.alias("block"))
+    per_hub = stash(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "per-hub")
+    blocked = stash(spread_join(pairs, per_hub, ["a"], "b").select("a", "a_cls", "b", "b_cls", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "blocked")
     hubs = blocked.select("a", "a_cls", "block").distinct()
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("cls").alias(f"{side}_cls"), "text").dropDuplicates([side, f"{side}_cls"])
     rows = hubs.join(of("a"), ["a", "a_cls"]).select("a", "block", F.lit(None).cast("long").alias("b"), "text").unionByName(blocked.join(of("b"), ["b", "b_cls"]).select("a", "block", "b", "text"))
@@ -309,8 +309,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH_WORDS)]
     sketches = [f"s{k}" for k in range(SKETCH_WORDS)]
     # min of the sketch is any of the class: all are equal
-    classes = of_docs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cls", "check", *parts)
-    classes = stash(classes.groupBy("cls", "check", "n").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in sketches]), "class")
+    classes = of_docs.where("n > 0").select("doc_id", "n", "cls", "check", *parts)
+    every = stash(classes.groupBy("cls", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.min(s).alias(s) for s in sketches]), "class")
+    # a class of rows without an id links with nothing
+    classes = every.where("rep IS NOT NULL")
     wides = stash(of_docs.where("wide IS NOT NULL").select("doc_id", "cls", "wide").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).select("cls", "wide").dropDuplicates(["cls"]), "wide")
 
     def narrowed(pairs: DataFrame) -> DataFrame:
@@ -319,10 +321,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.select("a", "a_cls", "b", "b_cls", "a_wide", "b_wide", "most").mapInArrow(lean(_near_enough), "a long, a_cls long, b long, b_cls long")
 
     postings = stash(base.where("doc_id IS NOT NULL").mapInArrow(lean(_postings(shared)), POSTINGS), "postings")
-    hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("hub < other OR c0 < c1").select("token", "hub")
+    hubs = postings.groupBy("token").agg(F.min("prio").alias("hub"), F.max("prio").alias("other"), F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count(F.lit(1)).alias("n")).where("hub < other OR c0 < c1").select("token", "hub", "n")
     hubs = stash(hubs, "hubs")
     shorter = postings.mapInArrow(lean(by_filter(filter_of(hubs.select("token")))), POSTINGS)
-    lists = stash(shorter.join(hubs, "token").select("token", "cls", "prio", "hub").distinct(), "lists")
+    lists = stash(spread_join(shorter, hubs, ["token"], "cls").select("token", "cls", "prio", "hub").distinct(), "lists")
     hub_of = lists.select("prio", F.col("cls").alias("hub_cls")).distinct()
 
     most = F.expr(f"((a.n + b.n) * {100 - PERCENT}) div {100 + PERCENT}").alias("most")
@@ -337,26 +339,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def apart(rest: DataFrame) -> DataFrame:
         """The entries (token, cls, prio, rep, label) of lists that hold several components."""
         named = rest.join(classes.select("cls", "rep"), "cls").join(components(links), F.col("rep") == F.col("v"), "left").select("token", "cls", "prio", "rep", F.coalesce("label", "rep").alias("label"))
-        mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        return stash(named.join(mixed, "token"), "mixed")
+        named = stash(named, "named")
+        mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("token", "n")
+        return stash(spread_join(named, stash(mixed, "mixed-tokens"), ["token"], "cls"), "mixed")
 
     # a hub has met its whole list and leaves it
     rest = lists.where("prio <> hub").select("token", "cls", "prio")
     named = apart(rest)
     # the second hub: the first class of the list's largest label, so that it is of another component than at least one other
-    other = named.groupBy("token").agg(F.max("label").alias("label"))
-    second = stash(named.join(other, ["token", "label"]).groupBy("token").agg(F.min("prio").alias("hub"), F.first("label").alias("hub_label")), "second")
-    links = stash(links.unionByName(_links(base, candidates(named.join(second, "token").where("label <> hub_label")))), "links")
-    named = apart(named.select("token", "cls", "prio").join(second, "token").where("prio <> hub").select("token", "cls", "prio"))
+    second = named.groupBy("token").agg(F.max(F.struct("label", (-F.col("prio")).alias("p"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    second = stash(second.select("token", (-F.col("m.p")).alias("hub"), F.col("m.label").alias("hub_label"), "n"), "second")
+    met = stash(spread_join(named, second, ["token"], "cls"), "met")
+    links = stash(links.unionByName(_links(base, candidates(met.where("label <> hub_label")))), "links")
+    named = apart(met.where("prio <> hub").select("token", "cls", "prio"))
     full = named.join(classes.select("cls", "n", *sketches), "cls")
     left, right = full.alias("a"), full.alias("b")
     pairs = left.join(right, F.expr(f"a.token = b.token AND a.label < b.label AND {_apart('a', 'b')}"))
     pairs = pairs.select(F.col("a.rep").alias("a"), F.col("a.cls").alias("a_cls"), F.col("b.rep").alias("b"), F.col("b.cls").alias("b_cls"), most).distinct()
     links = stash(links.unionByName(_links(base, narrowed(pairs))), "links")
     labels = components(links)
-    of_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("cls", "check", F.col("n").alias("cn"), F.coalesce("label", "rep").alias("component"))
-    found = of_docs.join(of_class, (of_docs["cls"] == of_class["cls"]) & (of_docs["check"] == of_class["check"]) & (of_docs["n"] == of_class["cn"]) & (of_docs["n"] > 0), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = every.join(labels, F.col("rep") == F.col("v"), "left").select("cls", "check", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.col("copies").alias("n"))
+    some = of_docs.select("doc_id", F.col("n").alias("n_shingles"), "cls", "check")
+    alone = some.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    keys = ["cls", "check", "n_shingles"]
+    named = spread_join(some.where("n_shingles > 0"), stash(of_class, "of-class"), keys, "doc_id")
+    return alone.unionByName(named.select("doc_id", "n_shingles", "component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
