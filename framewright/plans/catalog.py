@@ -69,6 +69,7 @@ def episodes_without_frames(spark, d):
 
 @query(f"SELECT episode_index, frame_index, task_index FROM {FRAMES} WHERE task_index NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def orphan_frames(spark, d):
+    """Small parts are left out of the reference, so that their frames are orphans; every frame is checked."""
     return keys.orphans(frames(spark, d), read(spark, d, "part").where("p_size > 10"), "task_index", "p_partkey").select("episode_index", "frame_index", "task_index")
 
 
@@ -114,6 +115,7 @@ def episode_camera_coverage(spark, d):
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
 def task_fk_check(spark, d):
+    """Nations of one region are left out of the reference, so that their customers are orphans; every customer is checked."""
     return keys.orphans(read(spark, d, "customer"), read(spark, d, "nation").where("n_regionkey <> 2"), "c_nationkey", "n_nationkey").select("c_custkey", "c_nationkey")
 
 
@@ -125,6 +127,7 @@ def key_contiguity(spark, d):
 
 @query("SELECT 'missing' AS side, c_nationkey AS k FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 3 = 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT 'unexpected', s_nationkey FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0)")
 def set_differences(spark, d):
+    """Each side is a fixed part of its table, so that both differ; both parts are compared whole."""
     a = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"))
     b = read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k"))
     return keys.both_ways(a, b, "k")
@@ -492,6 +495,7 @@ JOIN (VALUES ('added', 'non_breaking'), ('removed', 'breaking'), ('dtype_changed
 ON CASE kind WHEN 'added' THEN b.k IS NULL WHEN 'removed' THEN a.k IS NULL WHEN 'dtype_changed' THEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.dtype IS DISTINCT FROM b.dtype ELSE a.k IS NOT NULL AND b.k IS NOT NULL AND a.shape IS DISTINCT FROM b.shape END
 """)
 def diff_features(spark, d):
+    """The later version leaves out and changes some rows, as an edit would; both versions are compared whole."""
     return _feature_changes(spark, d).select("component", "kind", "path", "class")
 
 
@@ -510,6 +514,7 @@ UNION ALL SELECT 'task_index_remapped', '/tasks/' || a.task, 'breaking' FROM a J
 UNION ALL SELECT 'task_identity_remapped', '/tasks/' || a.i, 'breaking' FROM a JOIN b ON a.i = b.i WHERE a.task <> b.task
 """)
 def diff_tasks(spark, d):
+    """The later version leaves out and changes some rows, as an edit would; both versions are compared whole."""
     b = read(spark, d, "nation").select(F.col("n_name").alias("task"), F.col("n_nationkey").cast("long").alias("task_index"))
     a = b.where("task_index <> 9").select(F.when(F.col("task_index") == 5, "NEW").otherwise(F.col("task")).alias("task"), F.when(F.col("task_index") == 7, 107).otherwise(F.col("task_index")).cast("long").alias("task_index"))
     return diff.tasks(b, a).select("kind", "path", "class")
@@ -521,6 +526,7 @@ UNION ALL SELECT 'removed', '/episodes/' || o_orderkey, 'material' FROM orders W
 UNION ALL SELECT 'source_changed', '/episodes/' || o_orderkey, 'non_breaking' FROM orders WHERE o_orderkey % 100 = 10 AND o_orderpriority IS DISTINCT FROM 'moved'
 """)
 def diff_episodes(spark, d):
+    """The later version leaves out and changes some rows, as an edit would; both versions are compared whole."""
     b = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("length"), F.col("o_orderpriority").alias("source"))
     m = F.col("k") % 100
     a = b.where(m != 9).withColumn("length", F.when(m == 8, F.col("length") + 1).otherwise(F.col("length"))).withColumn("source", F.when(m == 10, "moved").otherwise(F.col("source")))
@@ -614,6 +620,7 @@ def merged_totals(spark, d):
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 1 THEN 'missing' ELSE 'changed' END AS kind FROM orders WHERE o_orderkey % 50 IN (1, 2)")
 def episode_reconcile(spark, d):
+    """The merged side leaves out and changes some rows, as a faulty merge would; both sides are compared whole."""
     e = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderpriority")
     a = e.where("k % 50 <> 1").withColumn("o_custkey", F.when(F.col("k") % 50 == 2, -1).otherwise(F.col("o_custkey")))
     return merge.reconcile(e, a, "k", ["o_custkey", "o_orderpriority"])

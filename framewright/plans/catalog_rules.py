@@ -449,6 +449,28 @@ def merge_embodiment(spark, d):
     return merge.agreement(c, "key", "value")
 
 
+@query("""
+SELECT p_type AS feature, CASE WHEN n < w OR f > 1 OR s > 1 THEN 'incompatible' WHEN d > 1 THEN 'transform_required' ELSE 'direct' END AS status, CASE WHEN n < w THEN 'missing' WHEN f > 1 THEN 'dtype_family' WHEN s > 1 THEN 'shape' WHEN d > 1 THEN 'dtype' ELSE 'same' END AS reason
+FROM (SELECT p_type, count(DISTINCT p_partkey % 2) AS n, count(DISTINCT CASE WHEN p_size = 50 THEN 'int' ELSE 'float' END) AS f, count(DISTINCT CASE WHEN p_size = 49 THEN 3 ELSE 2 END) AS s, count(DISTINCT CASE WHEN p_size = 50 THEN 'i' WHEN p_size > 46 THEN 'f8' ELSE 'f4' END) AS d FROM part GROUP BY 1), (SELECT count(DISTINCT p_partkey % 2) AS w FROM part)
+""")
+def merge_feature_tables(spark, d):
+    """Parts as features of two inputs, by type; some sizes have another type or shape."""
+    size = F.col("p_size")
+    rows = read(spark, d, "part").select((F.col("p_partkey") % 2).alias("source"), F.col("p_type").alias("feature"), F.when(size == 50, "int64").when(size > 46, "float64").otherwise("float32").alias("dtype"), F.array(F.when(size == 49, 3).otherwise(2)).alias("shape"))
+    return merge.feature_check(rows)
+
+
+@query("SELECT c_mktsegment AS segment, CASE max(c_nationkey % 4) WHEN 0 THEN 'direct' WHEN 1 THEN 'transform_required' WHEN 2 THEN 'unknown' ELSE 'incompatible' END AS decision, count(*) AS checks FROM customer WHERE c_nationkey % 4 < 2 + length(c_mktsegment) % 3 GROUP BY 1")
+def merge_decisions(spark, d):
+    """One decision for each market segment, over checks whose status follows the nation."""
+    c = read(spark, d, "customer").where("c_nationkey % 4 < 2 + length(c_mktsegment) % 3").select("c_mktsegment", F.element_at(F.array(*map(F.lit, merge.RANK)), (F.col("c_nationkey") % 4 + 1).cast("int")).alias("status"))
+    out = None
+    for r in c.select("c_mktsegment").distinct().collect():  # segments are five
+        one = merge.decision(c.where(F.col("c_mktsegment") == r[0])).select(F.lit(r[0]).alias("segment"), "decision", "checks")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT doc_id AS source, CASE WHEN trim(coalesce(l, '')) = '' THEN 'unknown' WHEN contains(lower(l), 'nc') OR contains(lower(l), 'nd') THEN 'incompatible' ELSE 'direct' END AS status FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CC-BY-NC-4.0' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE 'apache-2.0 ' || source END AS l FROM documents)")
 def merge_licenses(spark, d):
     k = F.col("doc_id")

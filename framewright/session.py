@@ -25,11 +25,17 @@ def build_session(name: str = "framewright", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`, else one below the warehouse (single-machine tests)."""
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`; where a local master has none, one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/framewright-shared"
 
 
+#: Folders below the shared one that this process has written.
+_written: list[str] = []
+
+
 def materialised(df: DataFrame, what: str = "frame") -> DataFrame:
     """`df` written as Parquet into the shared folder and read again.
 
@@ -37,4 +43,14 @@ def materialised(df: DataFrame, what: str = "frame") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what `materialised` has written so far and gives the number of folders; for callers that have stored their results."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
