@@ -66,7 +66,12 @@ def _scheme(uri: Column) -> Column:
     return F.regexp_extract(uri, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
 
 
-def _opened(uri: str):
+def by_range(uri: Column) -> Column:
+    """Whether Arrow opens the file system of a URI."""
+    return _scheme(uri).isin(*RANGED)
+
+
+def opened(uri: str):
     """A file by URI for reading by ranges."""
     from pyarrow import fs
 
@@ -112,7 +117,7 @@ _DIGESTS = pa.schema([("path", pa.string()), ("sha256", pa.string())])
 def _by_range(read, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [read(path, lambda uri=uri: _opened(uri)) for path, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [read(path, lambda uri=uri: opened(uri)) for path, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -129,7 +134,7 @@ def _whole(read, schema: pa.Schema):
 
 def _of_files(spark: SparkSession, files: DataFrame, read, schema: pa.Schema, ddl: str) -> DataFrame:
     """`read` over each file of (path, uri): by ranges where Arrow knows the file system, else from whole contents."""
-    ranged = _scheme(F.col("uri")).isin(*RANGED)
+    ranged = by_range(F.col("uri"))
     uris = files.select("path", "uri")
     found = uris.where(ranged).repartition("uri").mapInArrow(_by_range(read, schema), ddl)
     others = [r["uri"] for r in uris.where(~ranged).select("uri").collect()]
