@@ -6,11 +6,12 @@ that finds the group's smallest, so that a payload which a third of all pages sh
 writer puts the records down with CR LF CR LF as line separator, which is the end of a WARC record; so
 any file system that Spark writes to will do.
 
-Reading: each task scans byte ranges of archives for the magic and emits a candidate for each place that parses as a record
+Reading: each task reads one byte range of an archive, scans it for the magic and emits a candidate for each place that parses as a record
 head, with the offset that its Content-Length says the next record has. Magic inside a payload makes false
 candidates. Within a range the task follows each candidate to the first offset behind the range; pointer
 jumping from offset 0 over those exits, which doubles the distance each round, finds the entries of all ranges, and a walk inside
-each range from its entry keeps the records that are reachable from the file's start.
+each range from its entry keeps the records that are reachable from the file's start. Only their payloads are read again, block by block, for their
+digests. File systems that Arrow cannot open by range give archives whole, to one task each.
 
 A null payload is empty; empty payloads form a group like any other. A null page_id or URL is written as such and read back
 as null. Rows that repeat page_id and payload are all written, and those with the group's smallest page_id are all
@@ -32,17 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import as_bytes, lean, shared_dir, stash, table
+from framewright.sources.files import by_range, opened
 
 END = b"\r\n\r\n"
 #: Records of one archive at most by the bytes of a payload (below the first number), so that an archive, which Spark reads as one row, stays
 #: within about 512 MB, or is one record; and the bytes of a range.
-RECORDS_PER_FILE, RANGE = ((1 << 18, 2000), (1 << 24, 32), (1 << 62, 1)), 1 << 20
+RECORDS_PER_FILE, RANGE = ((1 << 18, 2000), (1 << 24, 32), (1 << 62, 1)), 1 << 23
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2000-01-01T00:00:00Z"
 
 PAYLOAD = "page_id long, url string, n long, digest string, check binary, packed binary"
-CANDIDATE = "file string, block int, at long, next long, exit long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+CANDIDATE = "file string, block int, at long, next long, exit long, start long, end long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, stated string"
+#: Bytes that are read of a head at first.
+HEAD = 2048
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -149,35 +153,68 @@ def _page(value: bytes | None) -> int | None:
     return None if m is None or m[1] == b"null" else int(m[1])
 
 
-def parse(data: bytes, at: int) -> dict | None:
-    """The record that begins at `at`, or None if no record head stands there; `next` is where its successor should begin."""
-    m = MAGIC.match(data, at)
-    if m is None:
-        return None
-    head, pos = {}, m.end()
-    while (f := _FIELD.match(data, pos)) is not None:
-        head[f[1].lower()] = f[2].strip()
-        pos = f.end()
+class Source:
+    """An open archive read by ranges; what was read last is kept."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+        self.low, self.kept = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """n bytes from `at`, fewer at the end."""
+        if not (self.low <= at and at + n <= self.low + len(self.kept)):
+            self.file.seek(at)
+            self.low, self.kept = at, self.file.read(max(0, min(n, self.size - at)))
+        return self.kept[at - self.low : at - self.low + n]
+
+
+def parse(source: Source | bytes, at: int) -> dict | None:
+    """The record that begins at `at`, or None if no record head stands there; `next` is where its successor should begin, start and end are those of its block."""
+    if isinstance(source, bytes):
+        source = Source(pa.BufferReader(source))
+    n = HEAD
+    while True:
+        data = source.read(at, n)
+        m = MAGIC.match(data)
+        if m is None:
+            return None
+        head, pos = {}, m.end()
+        while (f := _FIELD.match(data, pos)) is not None:
+            head[f[1].lower()] = f[2].strip()
+            pos = f.end()
+        if data[pos : pos + 2] == b"\r\n":
+            break
+        if b"\r\n" in data[pos:] or len(data) < n:
+            return None
+        n *= 4  # the head goes on behind what was read
     length = head.get(b"content-length", b"")
-    if data[pos : pos + 2] != b"\r\n" or not length.isdigit():
+    if not length.isdigit():
         return None
-    start, end = pos + 2, pos + 2 + int(length)
-    if data[end : end + 4] != END:
+    start, end = at + pos + 2, at + pos + 2 + int(length)
+    if end + 4 > source.size or source.read(end, 4) != END:
         return None
-    kind = head.get(b"warc-type", b"").decode("latin-1")
-    split = data.find(END, start, end)
-    body = data[split + 4 : end] if split >= 0 else b""
-    n, digest = len(body), sha1_base32(body)
-    if kind == "revisit":
-        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[start:end])
-        n, digest = int(m[1]) if m else 0, head.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:")
-    url = head.get(b"warc-target-uri")
+    url, digest = head.get(b"warc-target-uri"), head.get(b"warc-payload-digest")
     return {
-        "at": at, "next": end + 4, "page_id": _page(head.get(b"warc-record-id")), "payload_bytes": n, "payload_digest": digest, "record_type": kind,
-        "refers_to": _page(head.get(b"warc-refers-to")), "url": None if url is None else url.decode("utf-8", "replace"),
+        "at": at, "next": end + 4, "start": start, "end": end, "page_id": _page(head.get(b"warc-record-id")), "record_type": head.get(b"warc-type", b"").decode("latin-1"),
+        "refers_to": _page(head.get(b"warc-refers-to")), "url": None if url is None else url.decode("utf-8", "replace"), "stated": None if digest is None else digest.decode("latin-1").removeprefix("sha1:"),
     }
 
 
+def payload(source: Source, start: int, end: int, kind: str, stated: str | None) -> tuple[int, str]:
+    """Bytes and digest of the payload of the block [start, end): of a response what stands behind the HTTP head, of a revisit what its head says of the payload it leaves out."""
+    n = HEAD
+    while (split := (data := source.read(start, min(n, end - start))).find(END)) < 0 and len(data) < end - start:
+        n *= 4
+    if kind == "revisit":
+        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data)
+        return int(m[1]) if m else 0, stated or ""
+    at = start + split + 4 if split >= 0 else end
+    total = hashlib.sha1()
+    for low in range(at, end, RANGE):
+        total.update(source.read(low, min(RANGE, end - low)))
+    return end - at, base64.b32encode(total.digest()).decode()
+
+
 def exits(found: list[tuple[int, int]], end: int) -> dict[int, int]:
     """For candidates (at, next) of a range that ends at `end`: where the chain from each leaves the range; -1 if it breaks inside."""
     out: dict[int, int] = {}
@@ -186,22 +223,69 @@ def exits(found: list[tuple[int, int]], end: int) -> dict[int, int]:
     return out
 
 
-def _candidates(block: int):
+_SCHEMA = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (x.split() for x in CANDIDATE.split(", "))])
+
+
+def _in_range(source: Source, file: str, k: int, block: int) -> list[dict]:
+    """The candidates of the k-th range, with where the chain from each leaves it."""
+    low, high = k * block, min((k + 1) * block, source.size)
+    # the magic may straddle the end of the range
+    data = source.read(low, high - low + 9)
+    places = [low + m.start() for m in MAGIC.finditer(data) if low + m.start() < high]
+    rows = [r for at in places if (r := parse(source, at)) is not None]
+    out = exits([(r["at"], r["next"]) for r in rows], high)
+    return [r | {"file": file, "block": k, "exit": out[r["at"]]} for r in rows]
+
+
+def _ranges(block: int):
+    """Candidates of rows (file, range)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (x.split() for x in CANDIDATE.split(", "))])
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                for k in range(-(-len(data) // block)):
-                    low, high = k * block, min((k + 1) * block, len(data))
-                    # the magic may straddle the end of the range
-                    rows = [r for m in MAGIC.finditer(data, low, min(high + 9, len(data))) if m.start() < high and (r := parse(data, m.start())) is not None]
-                    out = exits([(r["at"], r["next"]) for r in rows], high)
+            for file, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(file) as f:
+                    rows = _in_range(Source(f), file, k, block)
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+    return run
+
+
+def _wholes(block: int):
+    """Candidates of rows (file, content), with their payloads at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                source = Source(pa.BufferReader(data.as_buffer()))
+                for k in range(-(-source.size // block)):
+                    rows = [r | dict(zip(("payload_bytes", "payload_digest"), payload(source, r["start"], r["end"], r["record_type"], r["stated"]), strict=True)) for r in _in_range(source, file, k, block)]
                     if rows:
-                        yield pa.RecordBatch.from_pylist([r | {"file": file, "block": k, "exit": out[r["at"]]} for r in rows], schema=schema)
+                        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
 
 
+def _payloads_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of CANDIDATE with the payloads that they lack; a file stays open as long as its rows come."""
+    name, handle, source = None, None, None
+    try:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["payload_digest"] is None:
+                    if r["file"] != name:
+                        if handle is not None:
+                            handle.close()
+                        name, handle = r["file"], opened(r["file"])
+                        source = Source(handle)
+                    r["payload_bytes"], r["payload_digest"] = payload(source, r["start"], r["end"], r["record_type"], r["stated"])
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+    finally:
+        if handle is not None:
+            handle.close()
+
+
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     """The rows of one range on the chain from its entry."""
     after = dict(zip(rows["at"], rows["next"], strict=True))
@@ -214,8 +298,14 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 
 def read_archives(spark: SparkSession, path: str, block: int = RANGE) -> DataFrame:
     """The records of all archives below `path` that are reachable from their file's start, in the columns of CANDIDATE."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    candidates = stash(files.select(F.col("path").alias("file"), "content").mapInArrow(lean(_candidates(block)), CANDIDATE), "warc-candidates")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length", "content")
+    ranged = by_range(F.col("file"))
+    listed = files.where(ranged).select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block).cast("int"))).alias("block"))
+    found = listed.repartition("file", "block").mapInArrow(lean(_ranges(block)), CANDIDATE)
+    # contents are read only where a file has to be taken whole
+    if not files.select("file").where(~ranged).isEmpty():
+        found = found.unionByName(files.where(~ranged).select("file", "content").mapInArrow(lean(_wholes(block)), CANDIDATE))
+    candidates = stash(found, "warc-candidates")
     starts = candidates.where("at = 0").select("file", F.lit(0).cast("long").alias("at"))
     targets = candidates.where("exit >= 0").select("file", F.col("exit").alias("at")).distinct()
     # only what some chain leaves a range for can be an entry
@@ -227,7 +317,8 @@ def read_archives(spark: SparkSession, path: str, block: int = RANGE) -> DataFra
         jumps = stash(jumps.alias("a").join(jumps.alias("b"), F.expr("a.file = b.file AND a.exit = b.at"), "left").selectExpr("a.file", "a.at", "coalesce(b.exit, -1) AS exit"), "warc-jumps")
     marked = candidates.join(reached.withColumn("entry", F.lit(True)), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     names = [x.split()[0] for x in CANDIDATE.split(", ")]
-    return marked.select(*names, "entry").groupBy("file", "block").applyInPandas(_walk, CANDIDATE)
+    kept = marked.select(*names, "entry").groupBy("file", "block").applyInPandas(_walk, CANDIDATE)
+    return kept.mapInArrow(lean(_payloads_read), CANDIDATE)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
