@@ -1,8 +1,9 @@
 """WARC archives: writing, and reading back by boundary-chain verification.
 
-Writing: one record per page, `response` for the smallest page_id of each payload, `revisit` for the others. Of
+Writing: one record per page, `response` for the smallest page_id of each payload, `revisit` for the others. A payload that no other
+row has is written where it is read; the others meet the group's smallest page_id in a join. Of
 rows with one payload that a task sees, only the one with the smallest page_id carries the payload into the join
-that finds the group's smallest, so that a payload which a third of all pages share moves once per task. Spark's text
+so that a payload which a third of all pages share moves once per task. Spark's text
 writer puts the records down with CR LF CR LF as line separator, which is the end of a WARC record; so
 any file system that Spark writes to will do.
 
@@ -27,12 +28,13 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, lean, shared_dir, stash, table
+from framewright.llm.common import as_bytes, filter_of, lean, maybe, shared_dir, stash, table
 from framewright.sources.files import by_range, opened
 
 END = b"\r\n\r\n"
@@ -43,7 +45,7 @@ MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2000-01-01T00:00:00Z"
 
-PAYLOAD = "page_id long, url string, n long, digest string, check binary, packed binary"
+PAYLOAD = "page_id long, url string, n long, digest string, check long, packed binary"
 CANDIDATE = "file string, block int, at long, next long, exit long, start long, end long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, stated string"
 #: Bytes that are read of a head at first.
 HEAD = 2048
@@ -53,51 +55,72 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every row, and the compressed payload unless the task has seen it with a smaller page_id."""
-    import zstandard
+def _checks(texts: list[bytes]) -> np.ndarray:
+    """64 bits of another family than the digest, which go with it wherever payloads meet."""
+    return np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in texts]), np.int64)
 
-    pack = zstandard.ZstdCompressor(level=6).compress
-    seen: dict[bytes, int] = {}
-    for batch in batches:
-        ids, urls, texts = batch.column(0).to_pylist(), batch.column(1), as_bytes(batch.column(2))
-        checks = [hashlib.blake2b(t, digest_size=8).digest() for t in texts]
-        carried = []
-        least: dict[bytes, int] = {}
-        for i, c in zip(ids, checks, strict=True):
-            if i is not None:
-                least[c] = min(i, least.get(c, i))
-        for i, c, t in zip(ids, checks, texts, strict=True):
-            best = min((x for x in (least.get(c), seen.get(c)) if x is not None), default=None)
-            carried.append(pack(t) if i == best else None)
-        for c, i in least.items():
-            seen[c] = min(i, seen.get(c, i))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                urls,
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([sha1_base32(t) for t in texts], pa.string()),
-                pa.array(checks, pa.binary()),
-                pa.array(carried, pa.binary()),
-            ],
-            names=["page_id", "url", "n", "digest", "check", "packed"],
-        )
+
+def _payloads(shared):
+    """Of the rows whose payload may be repeated: digests of every row, and the compressed payload unless the task has seen it with a smaller page_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=6).compress
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            every = as_bytes(batch.column(2))
+            rows = np.flatnonzero(maybe(shared, _checks(every))) if every else np.empty(0, np.int64)
+            batch, texts = batch.take(pa.array(rows)), [every[k] for k in rows.tolist()]
+            ids, checks, digests = batch.column(0).to_pylist(), _checks(texts).tolist(), list(map(sha1_base32, texts))
+            names = list(zip(digests, checks, strict=True))
+            carried = []
+            least: dict[tuple[str, int], int] = {}
+            for i, c in zip(ids, names, strict=True):
+                if i is not None:
+                    least[c] = min(i, least.get(c, i))
+            for i, c, t in zip(ids, names, texts, strict=True):
+                best = min((x for x in (least.get(c), seen.get(c)) if x is not None), default=None)
+                carried.append(pack(t) if i == best else None)
+            for c, i in least.items():
+                seen[c] = min(i, seen.get(c, i))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), pa.array(checks, pa.int64()), pa.array(carried, pa.binary())],
+                names=[x.split()[0] for x in PAYLOAD.split(", ")],
+            )
+
+    return run
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each payload of a batch, with its smallest page_id."""
+    """One row for each payload of a batch, with its smallest page_id and its number of rows."""
     for batch in batches:
-        least: dict[bytes, int | None] = {}
+        found: dict[bytes, list] = {}
         for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            if t not in least or i is not None and (least[t] is None or i < least[t]):
-                least[t] = i
+            own = found.setdefault(t, [i, 0])
+            own[1] += 1
+            if i is not None and (own[0] is None or i < own[0]):
+                own[0] = i
+        texts = list(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([sha1_base32(t) for t in least], pa.string()), pa.array([hashlib.blake2b(t, digest_size=8).digest() for t in least], pa.binary()), pa.array(list(least.values()), pa.int64())],
-            names=["digest", "check", "page_id"],
+            [pa.array([sha1_base32(t) for t in texts], pa.string()), pa.array(_checks(texts)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())],
+            names=["digest", "check", "page_id", "n"],
         )
 
 
+def _alone(shared):
+    """The records of the rows whose payload no other row has, where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(2))
+            rows = np.flatnonzero(~maybe(shared, _checks(texts))).tolist() if texts else []
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([record(ids[k], urls[k], ids[k], len(texts[k]), sha1_base32(texts[k]), texts[k]) for k in rows], pa.binary())], names=["value"])
+
+    return run
+
+
 def _named(page_id: int | None) -> bytes:
     return b"<urn:page:%s>" % (b"null" if page_id is None else str(page_id).encode())
 
@@ -138,9 +161,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def _write(base: DataFrame, path: str, records: int) -> None:
-    first = base.select("page_id", "html").mapInArrow(lean(_digests), "digest string, check binary, page_id long").groupBy("digest", "check").agg(F.min("page_id").alias("first_id"))
-    rows = base.mapInArrow(lean(_payloads), PAYLOAD).join(first, ["digest", "check"])
-    lines = rows.select("page_id", "url", "first_id", "n", "digest", "packed").mapInArrow(lean(_records), "value binary")
+    found = base.select("page_id", "html").mapInArrow(lean(_digests), "digest string, check long, page_id long, n long")
+    repeated = found.groupBy("digest", "check").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    repeated = stash(repeated.withColumn("known", F.lit(True)), "repeated-payloads")
+    shared = filter_of(repeated.select("check"))
+    # a row that the filter took for a repeated one is its own first
+    rows = base.mapInArrow(lean(_payloads(shared)), PAYLOAD).join(repeated, ["digest", "check"], "left")
+    first = F.when(F.col("known"), F.col("first_id")).otherwise(F.col("page_id")).alias("first_id")
+    lines = rows.select("page_id", "url", first, "n", "digest", "packed").mapInArrow(lean(_records), "value binary")
+    lines = base.mapInArrow(lean(_alone(shared)), "value binary").unionByName(lines)
     lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 

@@ -678,3 +678,31 @@ def test_what_never_ends_is_text():
     assert op3_html_text.calm("<!-- a < b --><p>1 < 2 <!-- c") == "<!-- a < b --><p>1 < 2 &lt;!-- c"
     for page in ("", "<p>x", "<a href='x'>y</a>", "<!DOCTYPE html><p>a", "<p>1 < 2</p>"):
         assert op3_html_text.calm(page) == page
+
+
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    from framewright.llm import common
+
+    r = random.Random(8)
+    rows = spark.createDataFrame([(None if k % 50 == 0 else r.choice([1, 1, 1, 2, 3, 4]), k) for k in range(400)], "key long, row long")
+    of_key = rows.where("key < 4").groupBy("key").count().selectExpr("key", "key * 10 AS value", "count AS n")
+    want = sorted(map(tuple, rows.join(of_key.drop("n"), "key").select("key", "row", "value").collect()))
+    for hot, keys in ((100, 1000), (0, 3), (10**6, 1000)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        got = common.spread_join(rows, of_key, ["key"], "row")
+        assert got.columns == ["key", "row", "value"] and sorted(map(tuple, got.collect())) == want
+    assert common.spread_join(rows, of_key.limit(0), ["key"], "row").count() == 0
+
+
+def test_filters_err_towards_yes(spark):
+    from framewright.llm import common
+
+    ids = spark.createDataFrame([(k, k * 7) for k in range(-50, 1000)], "a long, b long")
+    one, two = common.filter_of(ids.select("a")), common.filter_of(ids)
+    a = np.arange(-50, 1000)
+    assert common.maybe(one, a).all() and common.maybe(two, common.paired(a, a * 7)).all()
+    assert common.maybe(one, np.arange(10_000, 20_000)).mean() < 0.2
+    docs = spark.createDataFrame([(5, "in"), (None, "null"), (10**9, "out")], "doc_id long, text string")
+    split = [sorted(str(r["text"]) for r in docs.mapInArrow(common.by_filter(one, k), docs.schema).collect()) for k in (True, False)]
+    assert "in" in split[0] and sorted(split[0] + split[1]) == ["in", "null", "out"]
