@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import as_bytes, as_text, in_batches, lean, table
 
 #: Pieces that a task keeps encoded.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 500_000
 
 # Code points that the pattern library counts as letters or numbers and the reference
 # encoder's older Unicode tables do not.
