@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Written into the shared folder and read again: cuts the lineage and survives lost executors.
 stash = materialised
 
-__all__ = ["ASCII_SPACE", "LOWER", "as_bytes", "as_text", "by_filter", "chained", "clear_of", "digest16", "digest_columns", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "spread_join", "stash", "table", "word_spans", "words_of"]
+__all__ = ["ASCII_SPACE", "as_bytes", "as_text", "at_leave", "by_filter", "chained", "clear_of", "digest16", "digest_columns", "filter_of", "in_batches", "item_hashes", "joined", "lean", "maybe", "mix", "paired", "shared_dir", "signed", "small_batches", "span_hashes", "spread_join", "stash", "table", "word_spans", "words_of"]
 
 
 #: Rows of an Arrow batch at most; whole texts are long, and a batch is held by the JVM and by Python at once.
@@ -33,10 +33,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What modules keep in a worker, by module; and the module that ran there last.
+_kept: dict[str, Callable[[], None]] = {}
+_ran: list[str] = []
+
+
+def at_leave(module: str, release: Callable[[], None]) -> None:
+    """`release` gives back what `module` keeps in a worker, when the worker goes on to a function of another module."""
+    _kept[module] = release
+
+
+def _enter(module: str) -> None:
+    if _ran and _ran[0] != module and _ran[0] in _kept:
+        _kept[_ran[0]]()
+        _trim()
+    _ran[:] = [module]
+
+
 def lean(run):
-    """A function for mapInArrow that hands free memory back to the system when its task ends, as workers outlive tasks."""
+    """A function for mapInArrow that hands free memory back to the system when its task ends, as workers outlive tasks, and before it what the worker kept for another operator."""
 
     def wrapped(batches):
+        _enter(run.__module__)
         try:
             yield from run(batches)
         finally:

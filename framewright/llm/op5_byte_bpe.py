@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import as_bytes, as_text, in_batches, lean, table
+from framewright.llm.common import as_bytes, as_text, at_leave, in_batches, lean, table
 
 #: Pieces that a task keeps encoded.
 KEPT_PIECES = 500_000
@@ -125,6 +125,7 @@ class ByteBpe:
 
 
 _encoders: dict[tuple[str, str], ByteBpe] = {}
+at_leave(__name__, _encoders.clear)
 
 
 def encoder(ranks_path: str, pattern: str) -> ByteBpe:

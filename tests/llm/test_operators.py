@@ -706,3 +706,18 @@ def test_filters_err_towards_yes(spark):
     docs = spark.createDataFrame([(5, "in"), (None, "null"), (10**9, "out")], "doc_id long, text string")
     split = [sorted(str(r["text"]) for r in docs.mapInArrow(common.by_filter(one, k), docs.schema).collect()) for k in (True, False)]
     assert "in" in split[0] and sorted(split[0] + split[1]) == ["in", "null", "out"]
+
+
+def test_workers_give_back_what_another_operator_kept():
+    from framewright.llm import common
+
+    path, pattern = bpe()
+    rows = common.pa.record_batch([common.pa.array([1]), common.pa.array(["a b"])], names=["doc_id", "text"])
+    code = common.lean(lambda batches: ([op5_byte_bpe.encoder(path, pattern).encode(t) for b in batches for t in b.column(1).to_pylist()], None)[1:])
+    code.__closure__[0].cell_contents.__module__ = op5_byte_bpe.__name__
+    list(code(iter([rows])))
+    assert op5_byte_bpe._encoders
+    list(code(iter([rows])))
+    assert op5_byte_bpe._encoders
+    list(common.lean(lambda batches: batches)(iter([rows])))
+    assert not op5_byte_bpe._encoders
