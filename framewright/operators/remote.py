@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.text import glob_regex
-from framewright.operators.sequence import budget_prefix, even_places, round_robin
+from framewright.operators.sequence import at_even_places, budget_prefix, ordinal, round_robin
 
 # What a plan may take by default.
 BYTES, SHARDS, EPISODES, MEDIA = 2_000_000_000, 12, 64, 9
@@ -46,12 +46,13 @@ def conflicting_sizes(inventory: DataFrame) -> DataFrame:
 
 def sampled_episodes(episodes: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Evenly spread episodes, by index, up to the budget."""
-    n = episodes.select("episode_index").distinct().count()
+    every = episodes.select("episode_index").distinct()
+    n = every.count()
     if n <= budget.episodes:
-        return episodes.select("episode_index").distinct()
-    places = even_places(n, budget.episodes)
-    ranked = episodes.select("episode_index").distinct().withColumn("_p", F.row_number().over(Window.orderBy("episode_index")) - 1)
-    return ranked.where(F.col("_p").isin(places)).drop("_p") if places else ranked.drop("_p").limit(0)
+        return every
+    if budget.episodes <= 0:
+        return every.limit(0)
+    return ordinal(every, ["episode_index"], "_p").where(at_even_places(F.col("_p"), n, budget.episodes)).drop("_p")
 
 
 def payload_plan(relations: DataFrame, inventory: DataFrame, episodes: DataFrame, budget: Budget = Budget()) -> DataFrame:

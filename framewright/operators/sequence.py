@@ -170,10 +170,28 @@ def even_places(n: int, k: int) -> list[int]:
     return [0] if k == 1 else sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
 
 
+def at_even_places(place: Column, n: int, k: int) -> Column:
+    """Whether a place is one of `even_places(n, k)`, told from the place alone: no list of places goes to the driver or into a plan."""
+    if n <= 0 or k <= 0:
+        return F.lit(False)
+    if k >= n:
+        return F.lit(True)
+    if k == 1:
+        return place == 0
+    # i * (n - 1) / (k - 1) rounds to this place only for the two i beside place * (k - 1) / (n - 1)
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    low, hit = div(place.cast("long") * F.lit(k - 1), n - 1), F.lit(False)
+    for i in (low, low + 1):
+        whole, rest = div(i * F.lit(n - 1), k - 1), (i * F.lit(n - 1)) % F.lit(k - 1)
+        up = (2 * rest > k - 1) | ((2 * rest == k - 1) & (whole % 2 == 1))
+        hit = hit | ((i <= k - 1) & (whole + up.cast("long") == place))
+    return hit
+
+
 def sample_even(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """k rows spread evenly by `order`."""
-    places = even_places(df.count(), k)
-    return ordinal(df, order, "place").where(F.col("place").isin(places)) if places else df.withColumn("place", F.lit(0).cast("long")).limit(0)
+    n = df.count()
+    return ordinal(df, order, "place").where(at_even_places(F.col("place"), n, k)) if n > 0 and k > 0 else df.withColumn("place", F.lit(0).cast("long")).limit(0)
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[str], limit: int) -> DataFrame:

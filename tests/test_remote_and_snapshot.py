@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import canonical
 from framewright.operators import remote, snapshot
+from framewright.operators.sequence import at_even_places, even_places
 from framewright.plans import render
 
 
@@ -35,6 +36,16 @@ def test_plan_stays_within_each_budget(spark):
     assert remote.sampled_episodes(e, remote.Budget(episodes=3)).count() == 3
 
 
+def test_large_samples_put_no_places_into_the_plan(spark):
+    for n, k in ((10, 3), (11, 5), (9, 4), (1000, 999), (1001, 501), (7, 1), (50, 2), (50, 50), (5, 0)):
+        got = spark.range(n).where(at_even_places(F.col("id"), n, k)).collect()
+        assert sorted(r["id"] for r in got) == even_places(n, k), (n, k)
+    e = spark.range(5000).select(F.col("id").alias("episode_index"))
+    chosen = remote.sampled_episodes(e, remote.Budget(episodes=2500))
+    assert len(chosen._jdf.queryExecution().analyzed().toString()) < 10_000
+    assert sorted(r[0] for r in chosen.collect()) == even_places(5000, 2500)
+
+
 def test_sources_and_patterns(spark):
     df = spark.createDataFrame([("hf://datasets/o/n@" + "a" * 40,), ("hf://datasets/o/n",), ("https://x/y",), ("hf://datasets/o/n?token=1",)], "source string")
     assert [(r["owner"], r["revision"] is not None, r["pinned"]) for r in remote.parse_sources(df).collect()] == [("o", True, True), ("o", False, False), (None, False, False), (None, False, False)]
