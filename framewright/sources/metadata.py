@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.session import materialised
+
 
 def json_objects(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, body (VARIANT; null if the text is no JSON object) and the text, one row per file."""
@@ -14,10 +16,20 @@ def json_objects(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """path, line (from 1), text and body of every non-blank line; body is null where the line is no JSON object."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """path, line (from 1), text and body of every non-blank line; body is null where the line is no JSON object.
+
+    Tasks read ranges of a file; a line's number is its place in its range behind the lines of the ranges before. The lines are written down once, as
+    ranges may be dealt differently in a second read.
+    """
+    dealt = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("_value"), F.monotonically_increasing_id().alias("_id"))
+    lines = materialised(dealt, "lines")
+    ranges = lines.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    past = F.sum("_n").over(Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("path", "_start", "_first", F.coalesce(past, F.lit(0)).alias("_before"))
+    line, text = F.col("_id") - F.col("_first") + F.col("_before") + 1, F.regexp_replace("_value", "\r\\z", "")
+    rows = lines.join(F.broadcast(ranges), ["path", "_start"]).select("path", line.cast("long").alias("line"), text.alias("text"))
     body = F.try_parse_json("text")
-    return rows.where(F.trim("text") != "").select("path", (F.col("line") + 1).cast("long").alias("line"), "text", F.when(F.schema_of_variant(body).startswith("OBJECT"), body).alias("body"))
+    return rows.where(F.trim("text") != "").select("path", "line", "text", F.when(F.schema_of_variant(body).startswith("OBJECT"), body).alias("body"))
 
 
 def get(body: str, path: str, kind: str):

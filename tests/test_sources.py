@@ -227,3 +227,26 @@ def test_footers_and_digests_by_range_and_whole_agree(spark, tmp_path, monkeypat
     assert dict(ranged[1])["data/none.parquet"] == hashlib.sha256(b"PAR").hexdigest()
     monkeypatch.setattr(files, "RANGED", {})
     assert get() == ranged
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are dealt to many tasks even when they are small."""
+    names = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_json_lines_are_read_by_ranges(spark, tmp_path, small_splits):
+    text = [f'{{"k": {n}}}' if n % 7 else ("" if n % 2 else "no json") for n in range(1, 5001)]
+    put(str(tmp_path), "unix.jsonl", "\n".join(text))
+    put(str(tmp_path), "dos.jsonl", "\r\n".join(text) + "\r\n")
+    for name in ("unix", "dos"):
+        rows = metadata.json_lines(spark, str(tmp_path / f"{name}.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r["line"], r["text"], r["k"]) for r in rows.select("line", "text", metadata.get("body", "$.k", "long").alias("k")).collect())
+        assert got == [(n, t, n if n % 7 else None) for n, t in enumerate(text, 1) if t]
