@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from framewright.sources import files, lerobot, metadata
+from framewright.sources import files, lerobot, metadata, staged
 
 FEATURES = {"action": {"dtype": "float32", "shape": [2]}, "timestamp": {"dtype": "float32", "shape": [1]}, "cam": {"dtype": "video", "shape": [4, 4, 3]}}
 
@@ -250,3 +250,25 @@ def test_json_lines_are_read_by_ranges(spark, tmp_path, small_splits):
         assert rows.rdd.getNumPartitions() > 1
         got = sorted((r["line"], r["text"], r["k"]) for r in rows.select("line", "text", metadata.get("body", "$.k", "long").alias("k")).collect())
         assert got == [(n, t, n if n % 7 else None) for n, t in enumerate(text, 1) if t]
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    tasks = lambda: {r[0] for r in seen.collect()}
+    df = spark.range(0, 3000, 1, 6).select("id", F.array(F.col("id").cast("double")).alias("v"), F.spark_partition_id().alias("task"))
+    path = staged.as_parquet(df, str(tmp_path / "p/one.parquet"))
+    assert os.path.isfile(path) and pq.read_metadata(path).num_rows == 3000
+    seen = spark.read.parquet(path).select("task").distinct()
+    assert tasks() == set(range(6))
+    assert [r["id"] for r in spark.read.parquet(path).where("v[0] >= 2990").orderBy("id").collect()] == list(range(2990, 3000))
+    path = staged.as_text(spark.range(0, 3000, 1, 6).orderBy(F.desc("id")).select(F.concat_ws(" ", "id").alias("value")), str(tmp_path / "t/one.txt"))
+    with open(path) as f:
+        assert f.read().split() == [str(n) for n in range(2999, -1, -1)]
+    path = staged.as_text(spark.range(0, 60, 1, 6).select(F.concat_ws(" ", "id", F.spark_partition_id()).alias("value")), str(tmp_path / "t/two.txt"))
+    with open(path) as f:
+        assert [x.split()[1] for x in f] == [str(n // 10) for n in range(60)]
+    with pytest.raises(FileExistsError):
+        staged.as_text(spark.range(1).select(F.lit("x").alias("value")), path)
+    staged.as_parquet(spark.range(0), str(tmp_path / "p/none.parquet"))
+    assert pq.read_metadata(str(tmp_path / "p/none.parquet")).num_rows == 0
