@@ -306,7 +306,7 @@ def report_summary(spark, d):
     found = model.findings(keys.duplicate_keys(read(spark, d, "orders"), ["o_custkey"]), "LEROBOT_EPISODE_INDEX_DUPLICATE", episode_index=F.col("o_custkey"))
     found = found.unionByName(model.findings(read(spark, d, "nation"), "ADVISORY_SHORT_EPISODE", episode_index=F.col("n_nationkey")))
     found = found.withColumn("severity", F.when(F.col("code").startswith("ADVISORY"), "info").otherwise(F.col("severity")))
-    r = render.audit_json(found)
+    r = render.write_audit(found, f"{_root(spark, 'report')}/audit.json")
     s = r["summary"]
     return spark.createDataFrame([(s["error"], s["warning"], s["info"], r["accepted"])], "errors long, warnings long, infos long, accepted boolean")
 

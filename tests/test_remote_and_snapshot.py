@@ -121,6 +121,23 @@ def test_tree_digest(tmp_path):
     assert canonical.tree_digest(str(tmp_path)) != one
 
 
+def test_large_reports_are_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(render, "REPORT_ROWS", 10)
+    rows = [{"code": f"C{n:02}", "severity": "error" if n % 3 else "info"} | ({} if n % 2 else {"path": "p"}) for n in range(25)]
+    found = spark.createDataFrame([(r["code"], r["severity"], r.get("path")) for r in rows], "code string, severity string, path string").repartition(3).orderBy("code")
+    path, head = str(tmp_path / "report/audit.json"), {"summary": {"error": 16, "warning": 0, "info": 9}, "accepted": False}
+    assert render.write_audit(found, path) == head
+    with open(path) as f:
+        assert json.load(f) == head | {"findings": rows}
+    assert render.write_audit(found.limit(0), str(tmp_path / "report/none.json"))["accepted"]
+    with open(tmp_path / "report/none.json") as f:
+        assert json.load(f)["findings"] == []
+    few = found.limit(10)
+    render.write_audit(few, str(tmp_path / "report/few.json"))
+    with open(tmp_path / "report/few.json") as f:
+        assert json.load(f) == render.audit_json(few)
+
+
 def test_artifacts(spark, tmp_path):
     path = str(tmp_path / "deep/out.json")
     found = spark.createDataFrame([("C", "error", None), ("D", "info", "p")], "code string, severity string, path string")
