@@ -11,6 +11,7 @@ from framewright import model
 from framewright.functions import text
 from framewright.operators import diff, digest, findings, gates, keys, media, merge, numeric, repair, sequence, signals
 from framewright.plans.bindings import episodes, frames, read, series
+from framewright.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -406,7 +407,7 @@ def video_contract(spark, d):
 
 
 def _findings(spark, d):
-    f = frames(spark, d)
+    f = spread(frames(spark, d), "episode_index")
     dup = model.findings(keys.duplicate_keys(f, ["episode_index", "frame_index"]), "LEROBOT_FRAME_INDEX_DUPLICATE", episode_index=F.col("episode_index"), frame_index=F.col("frame_index"), evidence=F.col("n").cast("string"))
     gap = model.findings(keys.gaps(f, ["episode_index"], "frame_index"), "LEROBOT_FRAME_INDEX_NON_CONTIGUOUS", episode_index=F.col("episode_index"), frame_index=F.col("first_missing"), evidence=F.col("n_missing").cast("string"))
     lost = model.findings(keys.row_count_mismatch(f, episodes(spark, d), "episode_index", "length"), "LEROBOT_EPISODE_ROW_COUNT_MISMATCH", episode_index=F.col("episode_index"), evidence=F.concat_ws("/", "expected", "observed"))
@@ -422,7 +423,7 @@ UNION ALL SELECT 'LEROBOT_EPISODE_ROW_COUNT_MISMATCH', e.episode_index, NULL, e.
 @query(f"SELECT code, 'error' AS severity, 'alignment' AS layer, episode_index, frame_index, evidence FROM {FOUND}")
 def frame_audit(spark, d):
     """Duplicates, gaps and length mismatches as enriched, de-duplicated findings."""
-    found = findings.deduplicated(findings.enrich(_findings(spark, d), model.registry(spark)), ["code", "episode_index", "frame_index", "evidence"], ["code"])
+    found = findings.deduplicated(findings.enrich(spread(_findings(spark, d), "episode_index"), model.registry(spark)), ["code", "episode_index", "frame_index", "evidence"], ["code"])
     return found.select("code", "severity", "layer", "episode_index", "frame_index", "evidence")
 
 
@@ -444,7 +445,7 @@ def severity_summary(spark, d):
 
 @query(f"SELECT episode_index, count(*) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS infos FROM {FOUND} GROUP BY 1")
 def episode_findings(spark, d):
-    return findings.per_episode(_findings(spark, d))
+    return findings.per_episode(spread(_findings(spark, d), "episode_index"))
 
 
 @query(f"SELECT 'episode' AS kind, CAST(episode_index AS VARCHAR) AS name, count(*) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS advisories FROM {FOUND} GROUP BY 2")

@@ -47,6 +47,23 @@ def materialised(df: DataFrame, what: str = "frame") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input files for each task of `spread`.
+PIECE = 8 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys`, each of which must have few rows, to a task for every PIECE bytes of the files below it.
+
+    Unlike the session's number of shuffle partitions this grows with the input, so what one task holds does not; groups and windows over more than
+    these keys need no other shuffle.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    # a size that Spark does not know is given as a huge one
+    known = sum(x for x in sizes if x < 1 << 60)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-known // PIECE)), *keys)
+
+
 def discard(spark: SparkSession) -> int:
     """Deletes what `materialised` has written so far and gives the number of folders; for callers that have stored their results."""
     jvm, gone = spark.sparkContext._jvm, 0
